@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, mul
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,16 @@ def sum_of(columns: Sequence[Column]) -> Column:
     return reduce(add, columns)
 
 
-def product_of(columns: Sequence[Column]) -> Column:
-    return reduce(mul, columns)
+def number(value: float) -> str:
+    """A DOUBLE literal as SQL text, parenthesised so that a sign is safe anywhere."""
+    value = float(value)
+    if not math.isfinite(value):
+        raise ValueError(f"{value} cannot enter an expression")
+    return f"({value!r}D)"
+
+
+def floored_sql(expression: str, floor: float, eps: float = FACTOR_EPS) -> str:
+    return f"CASE WHEN {expression} < {number(eps)} THEN {number(floor)} ELSE {expression} END"
 
 
 # --- coordinates -----------------------------------------------------------
@@ -69,26 +78,24 @@ def floor_below(value: Column, floor: float, eps: float = FACTOR_EPS) -> Column:
 
 # --- deterministic pseudo-random values ------------------------------------
 
-def init_value(index: Column, way: int, component: int, side: str, seed: int) -> Column:
+def init_value(index: str, way: int, component: int, side: str, seed: int) -> str:
     """Start value in [0, 1) that depends only on its arguments, not on partitioning.
 
-    The index is reduced first, which leaves the residue as it is and keeps large
-    dimensions inside BIGINT.
+    SQL text over the BIGINT expression ``index``. The index is reduced first, which leaves the
+    residue as it is and keeps large dimensions inside BIGINT.
     """
-    i = F.pmod(index.cast("bigint") + 1, F.lit(MODULUS).cast("bigint"))
+    i = f"(({index} + 1L) % {MODULUS}L)"
+    linear = (component + 2) * (way + 3) * 7919
+    square = (component + 1) * 104729
     offset = (15485 if side == "y" else 0) + seed * 32452 + way * 613
-    mixed = (
-        i * ((component + 2) * (way + 3) * 7919)
-        + i * i * ((component + 1) * 104729)
-        + F.lit(offset).cast("bigint")
-    )
-    return F.pmod(mixed, F.lit(MODULUS).cast("bigint")).cast("double") / F.lit(float(MODULUS))
+    mixed = f"{i} * {linear}L + {i} * {i} * {square}L + {offset}L"
+    return f"CAST(({mixed}) % {MODULUS}L AS DOUBLE) / {MODULUS}.0D"
 
 
-def uniform_value(index: Column, way: int, component: int, side: str, seed: int) -> Column:
+def uniform_value(index: str, way: int, component: int, side: str, seed: int) -> str:
     """Hash-based uniform start value without the period of :func:`init_value`."""
-    h = F.xxhash64(index.cast("bigint"), F.lit(way), F.lit(component), F.lit(side), F.lit(seed))
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    h = f"xxhash64({index}, {way}, {component}, '{side}', {seed})"
+    return f"CAST(pmod({h}, {1 << 52}L) AS DOUBLE) / {float(1 << 52)}D"
 
 
 def split_bucket(coords: Sequence[Column], seed: int) -> Column:

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.functions.columns import init_value, sum_of, uniform_value
+from pairlens.functions.columns import init_value, uniform_value
 from pairlens.operators.gather import JoinPlan, component_products, gather, plan_joins
 from pairlens.schema import SIDES, SIGNALS, PairedTensor, factor_columns, factor_names
 
@@ -34,16 +34,20 @@ INT_MAX = 2**31 - 1
 
 # --- factors ---------------------------------------------------------------
 
+FACTOR_PARTITION_BYTES = 32 << 20
+
+
 def init_factor(
     spark: SparkSession, dim: int, way: int, rank: int, seed: int, kind: str = "formula"
 ) -> DataFrame:
     """Start values for every index of a way, including those without any cell."""
     value = {"formula": init_value, "hash": uniform_value}[kind]
-    idx = F.col("id").cast("int" if dim <= INT_MAX else "bigint")
-    return spark.range(dim).select(
-        idx.alias("idx"),
+    partitions = max(1, math.ceil(dim * 8 * (2 + 2 * rank) / FACTOR_PARTITION_BYTES))
+    idx = "CAST(id AS INT) AS idx" if dim <= INT_MAX else "id AS idx"
+    return spark.range(0, dim, 1, partitions).selectExpr(
+        idx,
         *[
-            value(F.col("id"), way, r, side, seed).alias(f"{side}{r}")
+            f"{value('id', way, r, side, seed)} AS {side}{r}"
             for side in SIDES
             for r in range(rank)
         ],
@@ -60,42 +64,33 @@ def init_factors(
 
 def tensor_norms(cells: DataFrame, columns: Sequence[str] = ("x", "y")) -> DataFrame:
     """Frobenius norm of each value column, one scan."""
-    return cells.agg(
-        *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{c}") for c in columns]
-    )
+    return cells.selectExpr(*[f"sqrt(sum({c} * {c})) AS norm_{c}" for c in columns])
 
 
-def frobenius_norm(matrix: DataFrame, columns: Sequence[str]) -> Column:
-    return F.sqrt(F.sum(sum_of([F.col(c) * F.col(c) for c in columns])))
+def frobenius_norm(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frobenius norm of a dense matrix held as columns."""
+    squares = " + ".join(f"{c} * {c}" for c in columns)
+    return matrix.selectExpr(f"sqrt(sum({squares})) AS norm")
 
 
-def gram_columns(
-    rank: int, left: Sequence[Column], right: Sequence[Column], prefix: str, symmetric: bool = True
-) -> list[Column]:
-    """``sum(left_p * right_q)``; only the upper triangle when symmetric."""
+def gram_sums(rank: int, side: str, prefix: str) -> list[str]:
+    """Upper triangle of ``sum(u_p * u_q)``."""
     return [
-        F.sum(left[p] * right[q]).alias(f"{prefix}_{p}_{q}")
+        f"sum({side}{p} * {side}{q}) AS {prefix}_{p}_{q}"
         for p in range(rank)
-        for q in range(p if symmetric else 0, rank)
+        for q in range(p, rank)
     ]
 
 
-def cross_columns(left: Sequence[Column], right: Sequence[Column], prefix: str) -> list[Column]:
-    return [F.sum(a * b).alias(f"{prefix}_{r}") for r, (a, b) in enumerate(zip(left, right))]
-
-
-def side_columns(rank: int, side: str) -> list[Column]:
-    return [F.col(n) for n in factor_names(side, rank)]
+def gram_aggregates(rank: int) -> list[str]:
+    """Both sides' Gram matrices and the diagonal cross products."""
+    cross = [f"sum(x{r} * y{r}) AS cross_{r}" for r in range(rank)]
+    return [*gram_sums(rank, "x", "gx"), *gram_sums(rank, "y", "gy"), *cross]
 
 
 def gram(factor: DataFrame, rank: int) -> DataFrame:
-    """Both sides' Gram matrices and the diagonal cross products as one row."""
-    x, y = side_columns(rank, "x"), side_columns(rank, "y")
-    return factor.agg(
-        *gram_columns(rank, x, x, "gx"),
-        *gram_columns(rank, y, y, "gy"),
-        *cross_columns(x, y, "cross"),
-    )
+    """One row with both Gram matrices and the cross products."""
+    return factor.selectExpr(*gram_aggregates(rank))
 
 
 def symmetric_matrix(row: Row, prefix: str, rank: int) -> np.ndarray:
@@ -118,14 +113,13 @@ def hadamard(grams: Sequence[np.ndarray], skip: int | None = None) -> np.ndarray
 
 def gram_long(factor: DataFrame, rank: int, side: str) -> DataFrame:
     """Gram matrix of one side as ``(p, q, g)`` rows."""
-    cols = side_columns(rank, side)
-    row = factor.agg(*gram_columns(rank, cols, cols, "g", symmetric=False))
     entries = [
-        F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.col(f"g_{p}_{q}").alias("g"))
+        f"named_struct('p', {p}, 'q', {q}, 'g', g_{min(p, q)}_{max(p, q)})"
         for p in range(rank)
         for q in range(rank)
     ]
-    return row.select(F.inline(F.array(*entries)))
+    row = factor.selectExpr(*gram_sums(rank, side, "g"))
+    return row.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def gram_hadamard(factors: Sequence[DataFrame], rank: int, side: str) -> DataFrame:
@@ -142,13 +136,10 @@ def column_norms(
     factor: DataFrame, columns: Sequence[str], by_norm: str = "2", prefix: str = "n_"
 ) -> DataFrame:
     """L2 norms, or plain column sums for ``"1"`` (signed, without absolute values)."""
-    if by_norm == "2":
-        aggregates = [F.sqrt(F.sum(F.col(c) * F.col(c))) for c in columns]
-    elif by_norm == "1":
-        aggregates = [F.sum(c) for c in columns]
-    else:
+    forms = {"2": "sqrt(sum({0} * {0}))", "1": "sum({0})"}
+    if by_norm not in forms:
         raise ValueError("by_norm must be '1' or '2'")
-    return factor.agg(*[a.alias(f"{prefix}{c}") for a, c in zip(aggregates, columns)])
+    return factor.selectExpr(*[f"{forms[by_norm].format(c)} AS {prefix}{c}" for c in columns])
 
 
 def normalize_columns(
@@ -159,12 +150,11 @@ def normalize_columns(
     The norms are a single row attached to every factor row by a broadcast.
     """
     norms = F.broadcast(column_norms(factor, columns, by_norm))
-    scaled = {
-        c: F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}")).otherwise(F.col(c))
-        for c in columns
-    }
-    return factor.join(norms).select(
-        *[scaled[c].alias(c) if c in scaled else F.col(c) for c in factor.columns]
+    return factor.join(norms).selectExpr(
+        *[
+            f"CASE WHEN n_{c} > 0 THEN {c} / n_{c} ELSE {c} END AS {c}" if c in columns else c
+            for c in factor.columns
+        ]
     )
 
 
@@ -184,10 +174,9 @@ def normalization_weights(
     )
 
 
-def tail_mass(rank: int, side: str, k: int) -> Column:
+def tail_mass(rank: int, side: str, k: int) -> str:
     """Row sum of the components from k on (zero when there are none)."""
-    names = factor_names(side, rank)[k:]
-    return sum_of([F.col(n) for n in names]) if names else F.lit(0.0)
+    return " + ".join(factor_names(side, rank)[k:]) or "0.0D"
 
 
 # --- products with the cells -----------------------------------------------
@@ -207,7 +196,7 @@ def mttkrp(
     Result: ``idx`` and ``{prefix}{r}``, only indices that have cells.
     """
     weights = {
-        prefix: (side, lambda r, signal=signal: F.col(signal)) for prefix, signal, side in terms
+        prefix: (side, lambda r, signal=signal: signal) for prefix, signal, side in terms
     }
     return mttkrp_weighted(tensor, factors, rank, way, weights, plan)
 
@@ -222,35 +211,38 @@ def mttkrp_weighted(
 ) -> DataFrame:
     """Like :func:`mttkrp` with a per-component cell weight.
 
-    ``weights`` maps an output prefix to ``(side, component -> Column)``. A linear
+    ``weights`` maps an output prefix to ``(side, component -> SQL text)``. A linear
     combination of signals can so be summed as one column instead of one per signal.
     """
     over = [w for w in range(tensor.ways) if w != way]
     plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
     sides = [s for s in SIDES if any(side == s for side, _ in weights.values())]
     wide = gather(tensor.cells, factors, rank, over, plan, sides)
-    products = {s: component_products(over, rank, s) for s in sides}
     values = [c for c in tensor.cells.columns if c in SIGNALS]
-    wide = wide.select(
-        F.col(f"i{way}").alias("idx"),
+    wide = wide.selectExpr(
+        f"i{way} AS idx",
         *values,
-        *[p.alias(f"p{s}{r}") for s in sides for r, p in enumerate(products[s])],
+        *[
+            f"{product} AS p{s}{r}"
+            for s in sides
+            for r, product in enumerate(component_products(over, rank, s))
+        ],
     )
     return wide.groupBy("idx").agg(
         *[
-            F.sum(weight(r) * F.col(f"p{side}{r}")).alias(f"{prefix}{r}")
+            F.expr(f"sum(({weight(r)}) * p{side}{r}) AS {prefix}{r}")
             for prefix, (side, weight) in weights.items()
             for r in range(rank)
         ]
     )
 
 
-def complete(factor: DataFrame, products: DataFrame) -> DataFrame:
+def complete(factor: DataFrame, products: DataFrame, *extra: str) -> DataFrame:
     """Factor rows with their products; an index without cells contributes zero."""
     names = [c for c in products.columns if c != "idx"]
     joined = factor.join(products, "idx", "left")
-    return joined.select(
-        *factor.columns, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names]
+    return joined.selectExpr(
+        *factor.columns, *[f"coalesce({n}, 0.0D) AS {n}" for n in names], *extra
     )
 
 
@@ -266,9 +258,9 @@ def core_diagonal(
     plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
     wide = gather(tensor.cells, factors, rank, over, plan)
     products = {s: component_products(over, rank, s) for s in SIDES}
-    return wide.agg(
+    return wide.selectExpr(
         *[
-            F.sum(F.col(signal) * products[side][r]).alias(f"{prefix}_{r}")
+            f"sum({signal} * {products[side][r]}) AS {prefix}_{r}"
             for prefix, signal, side in terms
             for r in range(rank)
         ]
@@ -278,12 +270,10 @@ def core_diagonal(
 def core_long(row: DataFrame, rank: int, terms=CORE_TERMS) -> DataFrame:
     """The one-row superdiagonal as ``(r, {prefix}...)`` rows."""
     entries = [
-        F.struct(
-            F.lit(r).alias("r"), *[F.col(f"{p}_{r}").alias(p) for p, _, _ in terms]
-        )
+        f"named_struct('r', {r}, " + ", ".join(f"'{p}', {p}_{r}" for p, _, _ in terms) + ")"
         for r in range(rank)
     ]
-    return row.select(F.inline(F.array(*entries)))
+    return row.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 def core_full(
@@ -301,9 +291,8 @@ def core_full(
     """
     plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
     prefixes = [p for p, _, _ in terms]
-    state = tensor.cells.select(
-        *tensor.coords,
-        *[F.col(signal).cast("double").alias(p) for p, signal, _ in terms],
+    state = tensor.cells.selectExpr(
+        *tensor.coords, *[f"CAST({signal} AS DOUBLE) AS {p}" for p, signal, _ in terms]
     )
     remaining = list(range(tensor.ways))
     done: list[str] = []
@@ -313,15 +302,16 @@ def core_full(
         remaining.remove(w)
         keys = [f"i{v}" for v in remaining] + done
         sums = [
-            F.sum(F.col(p) * F.col(f"f{w}_{side}{r}")).alias(f"{p}__{r}")
+            F.expr(f"sum({p} * f{w}_{side}{r}) AS {p}__{r}")
             for p, _, side in terms
             for r in range(rank)
         ]
         entries = [
-            F.struct(F.lit(r).alias(f"r{w}"), *[F.col(f"{p}__{r}").alias(p) for p in prefixes])
+            f"named_struct('r{w}', {r}, " + ", ".join(f"'{p}', {p}__{r}" for p in prefixes) + ")"
             for r in range(rank)
         ]
-        state = joined.groupBy(*keys).agg(*sums).select(*keys, F.inline(F.array(*entries)))
+        grouped = joined.groupBy(*keys).agg(*sums)
+        state = grouped.selectExpr(*keys, f"inline(array({', '.join(entries)}))")
         done.append(f"r{w}")
     return state.select(*[f"r{w}" for w in range(tensor.ways)], *prefixes)
 
@@ -336,9 +326,9 @@ def reconstruct(
     over = list(range(tensor.ways))
     plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
     wide = gather(tensor.cells, factors, rank, over, plan)
-    return wide.select(
+    return wide.selectExpr(
         *tensor.cells.columns,
-        *[sum_of(component_products(over, rank, s)).alias(f"pred_{s}") for s in SIDES],
+        *[f"{' + '.join(component_products(over, rank, s))} AS pred_{s}" for s in SIDES],
     )
 
 
@@ -350,9 +340,7 @@ def inner_products(
 ) -> DataFrame:
     """``<model, tensor>`` of both sides in one row."""
     scored = reconstruct(tensor, factors, rank, plan)
-    return scored.agg(
-        *[F.sum(F.col(s) * F.col(f"pred_{s}")).alias(f"inner_{s}") for s in SIDES]
-    )
+    return scored.selectExpr(*[f"sum({s} * pred_{s}) AS inner_{s}" for s in SIDES])
 
 
 def squared_residual(norm_tensor: float, norm_model_sq: float, inner: float) -> float:

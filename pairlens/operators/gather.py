@@ -5,6 +5,9 @@ are broadcast while a byte budget lasts, smallest first. Every other way is an e
 ``(index, salt)``: indices holding more than a target number of cells are spread over several
 salts and their factor row is repeated once per salt, so no join partition holds a hot index
 whole. The salt is a hash of the cell's coordinates and thus the same on every recomputation.
+
+Rank-wide expressions are written as SQL text throughout the algebra: one string per column is
+one call into the JVM, where a Column tree would be one call per operator.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.columns import product_of
 from pairlens.schema import SIDES, coord_names, factor_names
 from pairlens.session import shuffle_partitions
 
@@ -114,19 +116,14 @@ def salted_cells(
 def _factor_side(
     factor: DataFrame, way: int, rank: int, sides: Sequence[str], plan: JoinPlan
 ) -> DataFrame:
-    renamed = [
-        F.col(n).alias(f"f{way}_{n}") for s in sides for n in factor_names(s, rank)
-    ]
+    renamed = [f"{n} AS f{way}_{n}" for s in sides for n in factor_names(s, rank)]
     if plan.broadcast[way]:
-        return F.broadcast(factor.select(F.col("idx").alias(f"i{way}"), *renamed))
+        return F.broadcast(factor.selectExpr(f"idx AS i{way}", *renamed))
     if way not in plan.hot:
-        return factor.select(
-            F.col("idx").alias(f"i{way}"), F.lit(0).alias(f"salt{way}"), *renamed
-        )
-    repeated = factor.join(F.broadcast(plan.hot[way]), "idx", "left").withColumn(
-        f"salt{way}", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))
-    )
-    return repeated.select(F.col("idx").alias(f"i{way}"), f"salt{way}", *renamed)
+        return factor.selectExpr(f"idx AS i{way}", f"0 AS salt{way}", *renamed)
+    repeated = factor.join(F.broadcast(plan.hot[way]), "idx", "left")
+    salts = f"explode(sequence(0, coalesce(splits, 1) - 1)) AS salt{way}"
+    return repeated.selectExpr(f"idx AS i{way}", salts, *renamed)
 
 
 def gather(
@@ -151,9 +148,9 @@ def gather(
     return out
 
 
-def component_products(over: Sequence[int], rank: int, side: str):
-    """One column per component: the product of the gathered factor entries."""
-    return [product_of([F.col(f"f{w}_{side}{r}") for w in over]) for r in range(rank)]
+def component_products(over: Sequence[int], rank: int, side: str) -> list[str]:
+    """One expression per component: the product of the gathered factor entries."""
+    return [" * ".join(f"f{w}_{side}{r}" for w in over) for r in range(rank)]
 
 
 def layout_for(
