@@ -343,6 +343,33 @@ def inner_products(
     return scored.selectExpr(*[f"sum({s} * pred_{s}) AS inner_{s}" for s in SIDES])
 
 
+def joint_cost_table(
+    tensor: PairedTensor,
+    factors: Sequence[DataFrame],
+    rank: int,
+    plan: JoinPlan | None = None,
+) -> DataFrame:
+    """``(norm_x, norm_y, cost)`` as one lazily computed row.
+
+    ``|X - M|^2 = |X|^2 + |M|^2 - 2<M, X>``: the model is never expanded. Only one-row
+    aggregates are put side by side.
+    """
+    entries = [(p, q) for p in range(rank) for q in range(rank)]
+    row = tensor_norms(tensor.cells).join(inner_products(tensor, factors, rank, plan))
+    for w, factor in enumerate(factors):
+        sums = gram_sums(rank, "x", f"gx{w}") + gram_sums(rank, "y", f"gy{w}")
+        row = row.join(factor.selectExpr(*sums))
+    terms = []
+    for s in SIDES:
+        model = " + ".join(
+            " * ".join(f"g{s}{w}_{min(p, q)}_{max(p, q)}" for w in range(len(factors)))
+            for p, q in entries
+        )
+        residual = f"norm_{s} * norm_{s} + ({model}) - 2 * inner_{s}"
+        terms.append(f"sqrt(greatest({residual}, 0.0D)) / norm_{s}")
+    return row.selectExpr("norm_x", "norm_y", f"({terms[0]} + {terms[1]}) / 2 AS cost")
+
+
 def squared_residual(norm_tensor: float, norm_model_sq: float, inner: float) -> float:
     return norm_tensor**2 + norm_model_sq - 2.0 * inner
 

@@ -74,7 +74,7 @@ def _column_norms(live: DataFrame, l: int) -> dict[str, float]:
     return {"x": row.x, "y": row.y}
 
 
-def _update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict | None:
+def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict | None:
     rank, ways = cfg.rank, ws.tensor.ways
     last = way == ways - 1
     f = {"x": hadamard(state.gx, way), "y": hadamard(state.gy, way)}
@@ -179,7 +179,7 @@ def update_weights(state: FitState, cfg: FitConfig, core: dict) -> None:
 def pairwise(ws: Workspace, state: FitState, cfg: FitConfig) -> FitState:
     core = None
     for way in range(ws.tensor.ways):
-        core = _update_way(ws, state, cfg, way)
+        core = update_way(ws, state, cfg, way)
     update_weights(state, cfg, core)
     state.inner_x = float(math.fsum(core["inner_x"]))
     state.inner_y = float(math.fsum(core["inner_y"]))
