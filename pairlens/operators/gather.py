@@ -43,6 +43,10 @@ class JoinPlan:
     def shuffled(self) -> list[int]:
         return [w for w, small in enumerate(self.broadcast) if not small]
 
+    def keys(self, way: int) -> list[str]:
+        """Join columns of a way; the salt only takes part where there is a hot index."""
+        return [f"i{way}", f"salt{way}"] if way in self.hot else [f"i{way}"]
+
 
 def choose_broadcast(
     dims: Sequence[int], rank: int, budget: int = FACTOR_BROADCAST_BYTES
@@ -91,16 +95,13 @@ def plan_joins(
 def salted_cells(
     cells: DataFrame, over: Sequence[int], plan: JoinPlan, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Add ``salt{w}`` for the shuffled ways in ``over`` (0 for indices that are not hot)."""
-    for w in plan.shuffled:
+    """Add ``salt{w}`` for the ways in ``over`` with hot indices (0 for all other indices)."""
+    for w in plan.hot:
         if w not in over:
             continue
         name = f"salt{w}"
         if name in cells.columns:
             continue
-        if w not in plan.hot:
-            cells = cells.withColumn(name, F.lit(0))
-            continue
         hot = F.broadcast(plan.hot[w].withColumnRenamed("idx", f"i{w}"))
         spread = F.xxhash64(*spread_by)
         cells = (
@@ -120,7 +121,7 @@ def _factor_side(
     if plan.broadcast[way]:
         return F.broadcast(factor.selectExpr(f"idx AS i{way}", *renamed))
     if way not in plan.hot:
-        return factor.selectExpr(f"idx AS i{way}", f"0 AS salt{way}", *renamed)
+        return factor.selectExpr(f"idx AS i{way}", *renamed)
     repeated = factor.join(F.broadcast(plan.hot[way]), "idx", "left")
     salts = f"explode(sequence(0, coalesce(splits, 1) - 1)) AS salt{way}"
     return repeated.selectExpr(f"idx AS i{way}", salts, *renamed)
@@ -143,8 +144,7 @@ def gather(
     out = salted_cells(cells, over, plan, spread_by or coord_names(len(factors)))
     for w in sorted(over, key=lambda k: plan.broadcast[k]):
         side = _factor_side(factors[w], w, rank, sides, plan)
-        keys = [f"i{w}"] if plan.broadcast[w] else [f"i{w}", f"salt{w}"]
-        out = out.join(side, keys)
+        out = out.join(side, plan.keys(w))
     return out
 
 
@@ -164,7 +164,7 @@ def layout_for(
     if lead is None:
         return cells
     parts = shuffle_partitions(cells.sparkSession)
-    return cells.repartition(parts, f"i{lead}", f"salt{lead}")
+    return cells.repartition(parts, *plan.keys(lead))
 
 
 def lead_way(plan: JoinPlan, dims: Sequence[int], target: int) -> int | None:

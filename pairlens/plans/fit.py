@@ -27,6 +27,7 @@ from pairlens.operators.algebra import (
 )
 from pairlens.operators.gather import (
     FACTOR_BROADCAST_BYTES,
+    TARGET_CELLS_PER_SALT,
     JoinPlan,
     layout_for,
     lead_way,
@@ -57,6 +58,7 @@ class FitConfig:
     seed: int = 1
     init_kind: str = "formula"
     broadcast_bytes: int = FACTOR_BROADCAST_BYTES
+    cells_per_salt: int = TARGET_CELLS_PER_SALT
 
 
 @dataclass
@@ -96,7 +98,9 @@ class Workspace:
         ).first()
         if not row.n or not row.x or not row.y:
             raise ValueError("both tensors need at least one non-zero cell")
-        plan = plan_joins(base, tensor.dims, cfg.rank, cfg.broadcast_bytes, n_cells=row.n)
+        plan = plan_joins(
+            base, tensor.dims, cfg.rank, cfg.broadcast_bytes, cfg.cells_per_salt, row.n
+        )
         leads = {k: lead_way(plan, tensor.dims, k) for k in range(tensor.ways)}
         held = {
             lead: hold(layout_for(base, tensor.ways, plan, lead)) for lead in set(leads.values())
