@@ -93,13 +93,17 @@ def run_trials(
 
 
 def run_grid(spark: SparkSession, **parameters: Iterable) -> DataFrame:
-    """Every combination of the parameter lists (a handful of settings each)."""
-    grid = None
+    """Every combination of the parameter lists.
+
+    One row exploded once per parameter: a handful of settings in one partition, where cross
+    joins of small tables would multiply partition counts.
+    """
+    grid = spark.range(1).select()
     for name, values in parameters.items():
         values = list(values)
-        kind = {str: "STRING", int: "INT"}.get(type(values[0]), "DOUBLE")
-        column = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-        grid = column if grid is None else grid.crossJoin(column)
+        kind = {str: "string", int: "int"}.get(type(values[0]), "double")
+        options = F.array(*[F.lit(v).cast(kind) for v in values])
+        grid = grid.select("*", F.explode(options).alias(name))
     return grid
 
 
