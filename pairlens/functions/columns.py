@@ -103,8 +103,8 @@ def split_bucket(coords: Sequence[Column], seed: int) -> Column:
     modulus = F.lit(MODULUS).cast("bigint")
     h = F.lit(seed % MODULUS).cast("bigint")
     for c in coords:
-        i = F.pmod(c.cast("bigint"), modulus) + 1
-        h = F.pmod(h * 7919 + i * i * 104729 + i * 613 + 15485, modulus)
+        i = c.cast("bigint") % modulus + 1
+        h = (h * 7919 + i * (i * 104729 + 613) + 15485) % modulus
     return h
 
 

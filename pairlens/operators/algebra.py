@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.columns import init_value, uniform_value
 from pairlens.operators.gather import JoinPlan, component_products, gather, plan_joins
 from pairlens.schema import SIDES, SIGNALS, PairedTensor, factor_columns, factor_names
+from pairlens.session import partitions_for
 
 # (output prefix, signal, side of the factors it is multiplied with)
 FUSED_TERMS = (
@@ -34,15 +35,12 @@ INT_MAX = 2**31 - 1
 
 # --- factors ---------------------------------------------------------------
 
-FACTOR_PARTITION_BYTES = 32 << 20
-
-
 def init_factor(
     spark: SparkSession, dim: int, way: int, rank: int, seed: int, kind: str = "formula"
 ) -> DataFrame:
     """Start values for every index of a way, including those without any cell."""
     value = {"formula": init_value, "hash": uniform_value}[kind]
-    partitions = max(1, math.ceil(dim * 8 * (2 + 2 * rank) / FACTOR_PARTITION_BYTES))
+    partitions = partitions_for(dim, 1 + 2 * rank)
     idx = "CAST(id AS INT) AS idx" if dim <= INT_MAX else "id AS idx"
     return spark.range(0, dim, 1, partitions).selectExpr(
         idx,
@@ -256,11 +254,17 @@ def core_diagonal(
     """Superdiagonal of the core as one row: ``{prefix}_{r} = sum(v * prod_w A_w[i_w, r])``."""
     over = list(range(tensor.ways))
     plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
-    wide = gather(tensor.cells, factors, rank, over, plan)
-    products = {s: component_products(over, rank, s) for s in SIDES}
+    wide = gather(tensor.cells, factors, rank, over, plan).selectExpr(
+        *[c for c in tensor.cells.columns if c in SIGNALS],
+        *[
+            f"{product} AS p{s}{r}"
+            for s in SIDES
+            for r, product in enumerate(component_products(over, rank, s))
+        ],
+    )
     return wide.selectExpr(
         *[
-            f"sum({signal} * {products[side][r]}) AS {prefix}_{r}"
+            f"sum({signal} * p{side}{r}) AS {prefix}_{r}"
             for prefix, signal, side in terms
             for r in range(rank)
         ]
@@ -355,10 +359,11 @@ def joint_cost_table(
     aggregates are put side by side.
     """
     entries = [(p, q) for p in range(rank) for q in range(rank)]
-    row = tensor_norms(tensor.cells).join(inner_products(tensor, factors, rank, plan))
+    inner = inner_products(tensor, factors, rank, plan)
+    row = tensor_norms(tensor.cells).join(F.broadcast(inner))
     for w, factor in enumerate(factors):
         sums = gram_sums(rank, "x", f"gx{w}") + gram_sums(rank, "y", f"gy{w}")
-        row = row.join(factor.selectExpr(*sums))
+        row = row.join(F.broadcast(factor.selectExpr(*sums)))
     terms = []
     for s in SIDES:
         model = " + ".join(

@@ -30,7 +30,7 @@ from pairlens.plans.fit import (
     scaled_gram,
 )
 from pairlens.schema import SIDES, factor_columns
-from pairlens.session import cut_lineage, hold
+from pairlens.session import cut_lineage, hold_compact, only_row
 
 PRODUCT_TERMS = (("mx", "x", "x"), ("my", "y", "y"))
 
@@ -39,7 +39,7 @@ def _products(ws: Workspace, factors: list[DataFrame], cfg: FitConfig, way: int)
     """Factor rows with both products and the discriminative row sums, held for the update."""
     products = mttkrp(ws.cells_for(way), factors, cfg.rank, way, PRODUCT_TERMS, ws.plan)
     tails = [f"{tail_mass(cfg.rank, s, cfg.distance)} AS tail_{s}" for s in SIDES]
-    return hold(complete(factors[way], products, *tails))
+    return hold_compact(complete(factors[way], products, *tails), ws.tensor.dims[way])
 
 
 def _dot(rank: int, side: str, f: np.ndarray, l: int) -> str:
@@ -95,7 +95,7 @@ def baseline(ws: Workspace, state: FitState, cfg: FitConfig) -> FitState:
             if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
                 live = cut_lineage(live)
         new = cut_lineage(live.select(*factor_columns(rank)))
-        row = new.selectExpr(*gram_aggregates(rank)).first()
+        row = only_row(new.selectExpr(*gram_aggregates(rank)))
         g = {s: symmetric_matrix(row, f"g{s}", rank) for s in SIDES}
         mixed = vector(row, "cross", rank)
         if not last:
@@ -111,11 +111,13 @@ def baseline(ws: Workspace, state: FitState, cfg: FitConfig) -> FitState:
         cross.append(mixed)
     state.factors, state.gx, state.gy, state.cross = factors, gx, gy, cross
     state.carried = _products(ws, factors, cfg, ways - 1)
-    inner = state.carried.selectExpr(
-        *[
-            "sum(" + " + ".join(f"{s}{r} * m{s}{r}" for r in range(rank)) + f") AS {s}"
-            for s in SIDES
-        ]
-    ).first()
+    inner = only_row(
+        state.carried.selectExpr(
+            *[
+                "sum(" + " + ".join(f"{s}{r} * m{s}{r}" for r in range(rank)) + f") AS {s}"
+                for s in SIDES
+            ]
+        )
+    )
     state.inner_x, state.inner_y = inner.x, inner.y
     return state

@@ -34,7 +34,7 @@ from pairlens.operators.gather import (
     plan_joins,
 )
 from pairlens.schema import SIDES, PairedTensor, factor_columns, factor_names
-from pairlens.session import cut_lineage, hold
+from pairlens.session import cut_lineage, hold, only_row
 
 # Fixed value: "previous cost" before the first iteration, so that one never stops there.
 FIRST_PREVIOUS_COST = 1e10
@@ -93,9 +93,9 @@ class Workspace:
     @classmethod
     def prepare(cls, tensor: PairedTensor, cfg: FitConfig) -> Workspace:
         base = cut_lineage(tensor.cells)
-        row = base.selectExpr(
-            "count(1) AS n", *[f"sum({s} * {s}) AS {s}" for s in SIDES]
-        ).first()
+        row = only_row(
+            base.selectExpr("count(1) AS n", *[f"sum({s} * {s}) AS {s}" for s in SIDES])
+        )
         if not row.n or not row.x or not row.y:
             raise ValueError("both tensors need at least one non-zero cell")
         plan = plan_joins(
@@ -197,7 +197,7 @@ def start_state(
         raw = [cut_lineage(f.select(*factor_columns(rank))) for f in init]
     factors, gx, gy, cross = [], [], [], []
     for w, factor in enumerate(raw):
-        row = factor.selectExpr("count(1) AS n", *gram_aggregates(rank)).first()
+        row = only_row(factor.selectExpr("count(1) AS n", *gram_aggregates(rank)))
         if row.n != tensor.dims[w]:
             raise ValueError(f"way {w}: factor has {row.n} rows, dimension is {tensor.dims[w]}")
         g = {s: symmetric_matrix(row, f"g{s}", rank) for s in SIDES}
@@ -261,7 +261,7 @@ def fit(
 
 
 def refreshed_gram(factor: DataFrame, rank: int):
-    row = gram(factor, rank).first()
+    row = only_row(gram(factor, rank))
     return (
         symmetric_matrix(row, "gx", rank),
         symmetric_matrix(row, "gy", rank),

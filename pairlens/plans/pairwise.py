@@ -34,7 +34,7 @@ from pairlens.plans.fit import (
     replaced,
 )
 from pairlens.schema import factor_columns, factor_names
-from pairlens.session import cut_lineage, hold
+from pairlens.session import cut_lineage, hold, hold_compact, only_row
 
 
 def _signal_scales(ws: Workspace, state: FitState, cfg: FitConfig) -> dict:
@@ -70,7 +70,9 @@ def _gradient_step(l: int, rank: int, f: dict, nf: dict, scale: dict,
 
 
 def _column_norms(live: DataFrame, l: int) -> dict[str, float]:
-    row = live.selectExpr(*[f"sqrt(sum({s}{l} * {s}{l})) AS {s}" for s in ("x", "y")]).first()
+    row = only_row(
+        live.selectExpr(*[f"sqrt(sum({s}{l} * {s}{l})) AS {s}" for s in ("x", "y")])
+    )
     return {"x": row.x, "y": row.y}
 
 
@@ -95,7 +97,7 @@ def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict
             cells, state.factors, rank, way,
             {"mx": ("x", combined("x")), "my": ("y", combined("y"))}, plan=ws.plan,
         )
-    source = hold(complete(state.factors[way], products))
+    source = hold_compact(complete(state.factors[way], products), ws.tensor.dims[way])
     held = [source]
     live = source
     for l in range(rank):
@@ -117,14 +119,16 @@ def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict
     if last:
         pairs = {"inner_x": ("x", "mx"), "inner_y": ("y", "my"), "gzx": ("x", "mzx"),
                  "gzy": ("y", "mzy"), "gsx": ("x", "msx"), "gsy": ("y", "msy")}
-        row = live.selectExpr(
-            *gram_aggregates(rank),
-            *[
-                f"sum({side}{r} * {m}{r}) AS {name}_{r}"
-                for name, (side, m) in pairs.items()
-                for r in range(rank)
-            ],
-        ).first()
+        row = only_row(
+            live.selectExpr(
+                *gram_aggregates(rank),
+                *[
+                    f"sum({side}{r} * {m}{r}) AS {name}_{r}"
+                    for name, (side, m) in pairs.items()
+                    for r in range(rank)
+                ],
+            )
+        )
         core = {name: vector(row, name, rank) for name in pairs}
         grams = (
             symmetric_matrix(row, "gx", rank),

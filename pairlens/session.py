@@ -33,6 +33,28 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+FACTOR_PARTITION_BYTES = 32 << 20
+
+
+def partitions_for(rows: int, columns: int) -> int:
+    """Partitions of at most FACTOR_PARTITION_BYTES for rows of 8-byte columns."""
+    return max(1, math.ceil(rows * 8 * (columns + 1) / FACTOR_PARTITION_BYTES))
+
+
+def hold_compact(df: DataFrame, rows: int) -> DataFrame:
+    """Hold a table of known row count in no more partitions than its size needs.
+
+    A table that fits one partition is then aggregated without any exchange.
+    """
+    return hold(df.coalesce(partitions_for(rows, len(df.columns))))
+
+
+def only_row(df: DataFrame):
+    """The row of a global aggregate (no limit on top, which would add a stage)."""
+    (row,) = df.collect()
+    return row
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

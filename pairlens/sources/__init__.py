@@ -7,6 +7,7 @@ from pairlens.sources.sinks import (
 )
 from pairlens.sources.text_pair import (
     CaseLayout,
+    load_case,
     load_paired,
     positional_zip,
     read_numbered_lines,
@@ -16,6 +17,7 @@ from pairlens.sources.text_pair import (
 __all__ = [
     "CaseLayout",
     "completed_runs",
+    "load_case",
     "load_paired",
     "pair_from_facts",
     "positional_zip",

@@ -127,3 +127,25 @@ def load_paired(
         candidates, x_rows, y_rows, coords, order=order, candidate_bound=2 * n, strict=strict
     )
     return PairedTensor(signals(pair, coords), tuple(dims))
+
+
+def load_case(
+    spark: SparkSession,
+    layout: CaseLayout,
+    case: str,
+    dims: tuple[int, ...],
+    domain: str,
+    type_: str = "function",
+    sources: tuple[str, str] = ("good", "bad"),
+    n: int = 40000,
+    seed: int = 0,
+    strict: bool = False,
+) -> PairedTensor:
+    """Both sides of an exported case study for one bootstrap sample."""
+    sides = []
+    for source in sources:
+        paths = [
+            layout.glob(kind, source, domain, type_, case, seed) for kind in ("dimensions", "values")
+        ]
+        sides.append(read_text_pair(spark, *paths, len(dims)))
+    return load_paired(*sides, dims, n, strict=strict)

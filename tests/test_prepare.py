@@ -23,6 +23,7 @@ from pairlens.schema import coord_names, dims_of
 from pairlens.sources.facts import read_cells
 from pairlens.sources.text_pair import (
     CaseLayout,
+    load_case,
     load_paired,
     positional_zip,
     read_numbered_lines,
@@ -225,3 +226,17 @@ def test_one_file_source(spark, tmp_path):
     for fmt, name, opts in (("parquet", "p", {}), ("csv", "c", {"header": "true"})):
         got = read_cells(spark, str(tmp_path / name), 3, fmt, **opts)
         assert rows(got, *C3, "value") == [(1, 2, 3, 4.0)]
+
+
+def test_case_study_from_exported_files(spark, tmp_path):
+    """Two sides, dimension and value files, seed 1 beside seed 10."""
+    layout = CaseLayout(str(tmp_path))
+    for source, value in (("good", 2.0), ("bad", 5.0)):
+        base = tmp_path / "output" / layout.folder("ha_1mp4d") / "exportR" / source
+        base.mkdir(parents=True)
+        for seed in (1, 10):
+            stem = f"ha_1mp4d_{seed}"
+            (base / f"mooc_function_dimensions_grid_{stem}").write_text(f"{seed % 10},0,0\n1,1,1\n")
+            (base / f"mooc_function_values_grid_{stem}").write_text(f"{value}\n{seed}\n")
+    t = load_case(spark, layout, "ha_1mp4d", (2, 2, 2), "mooc", n=10, seed=1)
+    assert rows(t.cells, *C3, "x", "y", "s") == [(1, 0, 0, 2.0, 5.0, 0), (1, 1, 1, 1.0, 1.0, 1)]
