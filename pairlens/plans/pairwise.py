@@ -9,6 +9,7 @@ with the last way's products M, any core sum is ``sum_i A[i, r] * M[i, r]``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from pairlens.plans.fit import (
     refreshed_gram,
     replaced,
 )
-from pairlens.schema import factor_columns, factor_names
+from pairlens.schema import SIDES, factor_columns
 from pairlens.session import cut_lineage, hold, hold_compact, only_row
 
 
@@ -51,36 +52,116 @@ def _signal_scales(ws: Workspace, state: FitState, cfg: FitConfig) -> dict:
     return out
 
 
-def _gradient_step(l: int, rank: int, f: dict, nf: dict, scale: dict,
-                   state: FitState, last: bool) -> dict[str, str]:
-    """Column l of both sides after its step, from the live matrix and before flooring."""
-    apart = f"({number(1.0 - state.wx[l])} * x{l} - {number(1.0 - state.wy[l])} * y{l})"
-    out = {}
-    for s, sign in (("x", 1.0), ("y", -1.0)):
-        z, same, quad, pull = (float(scale[s][k][l]) for k in ("z", "s", "quad", "pull"))
-        quadratic = " + ".join(f"{s}{j} * {number(quad * f[s][j, l])}" for j in range(rank))
-        target = f"m{s}{l}"
-        if last:
-            target = f"({target} + {number(z)} * mz{s}{l} + {number(same)} * ms{s}{l})"
-        out[f"{s}{l}"] = (
-            f"{s}{l} - ({quadratic} - {target} + {number(sign * pull)} * {apart})"
-            f" / {number(nf[s])}"
-        )
-    return out
+@dataclass(frozen=True)
+class _Gradient:
+    """Coefficients of one way's column steps: ``quad[s][j, l]`` multiplies column j in step l."""
+
+    rank: int
+    quad: dict[str, np.ndarray]
+    signals: dict[str, dict[str, np.ndarray]]
+    pull: dict[str, np.ndarray]
+    nf: dict[str, float]
+    wx: np.ndarray
+    wy: np.ndarray
+    last: bool
+
+    def step(self, side: str, l: int, without: int | None = None) -> str:
+        """Column l after its step, from the live matrix and before flooring.
+
+        ``without`` leaves out the term of another column.
+        """
+        columns = [j for j in range(self.rank) if j != without]
+        quadratic = " + ".join(f"{side}{j} * {number(self.quad[side][j, l])}" for j in columns)
+        target = f"m{side}{l}"
+        if self.last:
+            z, same = (number(self.signals[side][k][l]) for k in ("z", "s"))
+            target = f"({target} + {z} * mz{side}{l} + {same} * ms{side}{l})"
+        apart = f"({number(1.0 - self.wx[l])} * x{l} - {number(1.0 - self.wy[l])} * y{l})"
+        gradient = f"{quadratic} - {target} + {number(self.pull[side][l])} * {apart}"
+        return f"{side}{l} - ({gradient}) / {number(self.nf[side])}"
+
+    def steps(self, l: int) -> dict[str, str]:
+        return {f"{s}{l}": self.step(s, l) for s in SIDES}
+
+
+# A derived squared norm below this share of its terms is measured instead.
+CANCELLATION = 1e-4
 
 
 def _column_norms(live: DataFrame, l: int) -> dict[str, float]:
+    return only_row(
+        live.selectExpr(*[f"sqrt(sum({s}{l} * {s}{l})) AS {s}" for s in SIDES])
+    ).asDict()
+
+
+def _norm_pair(live: DataFrame, l: int, gradient: _Gradient) -> tuple[dict, dict | None]:
+    """Norms of the stepped column l and of column l + 1 after it, from one aggregate.
+
+    With ``p`` the non-negative part of column l and ``n`` its norm, column l + 1 steps to
+    ``base - c * p / n``: ``base`` and ``p`` are known in this pass, and the squared norm of the
+    difference needs only their inner products.
+    """
+    parts = live.selectExpr(
+        *[f"{s}{l} AS r{s}" for s in SIDES],
+        *[f"greatest({s}{l}, 0.0D) AS p{s}" for s in SIDES],
+        *[f"{gradient.step(s, l + 1, without=l)} AS b{s}" for s in SIDES],
+    )
     row = only_row(
-        live.selectExpr(*[f"sqrt(sum({s}{l} * {s}{l})) AS {s}" for s in ("x", "y")])
+        parts.selectExpr(
+            *[
+                f"sum({a}{s} * {b}{s}) AS {a}{b}{s}"
+                for s in SIDES
+                for a, b in (("r", "r"), ("p", "p"), ("b", "b"), ("b", "p"))
+            ]
+        )
     )
-    return {"x": row.x, "y": row.y}
+    first, second = {}, {}
+    for s in SIDES:
+        first[s] = math.sqrt(row[f"rr{s}"])
+        c = gradient.quad[s][l, l + 1] / gradient.nf[s] / (first[s] or 1.0)
+        plus = row[f"bb{s}"] + c * c * row[f"pp{s}"]
+        squared = plus - 2.0 * c * row[f"bp{s}"]
+        second[s] = math.sqrt(squared) if squared > CANCELLATION * plus else None
+    return first, None if None in second.values() else second
+
+
+def _floored_column(live: DataFrame, l: int, norms: dict[str, float]) -> DataFrame:
+    """Scale a stepped column to unit norm where one is given, then floor it."""
+    return replaced(
+        live,
+        {
+            f"{s}{l}": floored_sql(
+                f"({s}{l} / {number(norms[s])})" if norms.get(s, 0.0) > 0 else f"{s}{l}", 0.0
+            )
+            for s in SIDES
+        },
+    )
+
+
+def _updated_columns(live: DataFrame, gradient: _Gradient, held: list) -> DataFrame:
+    """All columns of a way in order; the last way carries the scale and needs no norms."""
+    following = None
+    for l in range(gradient.rank):
+        live = replaced(live, gradient.steps(l))
+        if gradient.last:
+            norms = {}
+        elif following is not None:
+            norms, following = following, None
+        elif l + 1 < gradient.rank:
+            norms, following = _norm_pair(live, l, gradient)
+        else:
+            norms = _column_norms(live, l)
+        live = _floored_column(live, l, norms)
+        if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < gradient.rank:
+            live = hold(cut_lineage(live))
+            held.append(live)
+    return live
 
 
 def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict | None:
     rank, ways = cfg.rank, ws.tensor.ways
     last = way == ways - 1
     f = {"x": hadamard(state.gx, way), "y": hadamard(state.gy, way)}
-    nf = {s: frobenius(f[s], f"Gram product of way {way}") for s in f}
     scale = _signal_scales(ws, state, cfg)
     cells = ws.cells_for(way)
     if last:
@@ -99,22 +180,17 @@ def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict
         )
     source = hold_compact(complete(state.factors[way], products), ws.tensor.dims[way])
     held = [source]
-    live = source
-    for l in range(rank):
-        live = replaced(live, _gradient_step(l, rank, f, nf, scale, state, last))
-        norms = {} if last else _column_norms(live, l)
-        live = replaced(
-            live,
-            {
-                f"{s}{l}": floored_sql(
-                    f"({s}{l} / {number(norms[s])})" if norms.get(s, 0.0) > 0 else f"{s}{l}", 0.0
-                )
-                for s in ("x", "y")
-            },
-        )
-        if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
-            live = hold(cut_lineage(live))
-            held.append(live)
+    gradient = _Gradient(
+        rank,
+        {s: f[s] * scale[s]["quad"][np.newaxis, :] for s in SIDES},
+        scale,
+        {"x": scale["x"]["pull"], "y": -scale["y"]["pull"]},
+        {s: frobenius(f[s], f"Gram product of way {way}") for s in SIDES},
+        state.wx,
+        state.wy,
+        last,
+    )
+    live = _updated_columns(source, gradient, held)
     core = None
     if last:
         pairs = {"inner_x": ("x", "mx"), "inner_y": ("y", "my"), "gzx": ("x", "mzx"),
