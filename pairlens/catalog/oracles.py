@@ -64,7 +64,7 @@ def signals_sql(fixture: str, source: str) -> str:
 from {source}"""
 
 
-def formula(i: str, way: int, r: int, side: str, seed: int = 1) -> str:
+def formula(i: str, way: int, r: int, side: str, seed: int) -> str:
     i = f"((cast({i} as bigint) + 1) % 9973)"
     return (
         f"(cast(({i} * {(r + 2) * (way + 3) * 7919} + {i} * {i} * {(r + 1) * 104729}"
@@ -73,22 +73,22 @@ def formula(i: str, way: int, r: int, side: str, seed: int = 1) -> str:
     )
 
 
-def factor_cte(fixture: str, way: int, rank: int, name: str | None = None) -> str:
+def factor_cte(fixture: str, way: int, rank: int, seed: int) -> str:
     values = ", ".join(
-        f"{formula('i', way, r, s)} as {s}{r}" for s in ("x", "y") for r in range(rank)
+        f"{formula('i', way, r, s, seed)} as {s}{r}" for s in ("x", "y") for r in range(rank)
     )
     dim = DIMS[fixture][way]
     return (
-        f"{name or f'f{way}'} as materialized (select cast(i as int) as idx, {values} from "
+        f"f{way} as materialized (select cast(i as int) as idx, {values} from "
         f"(select unnest(range({dim})) as i))"
     )
 
 
-def base_ctes(fixture: str, rank: int) -> list[str]:
+def base_ctes(fixture: str, rank: int, seed: int = 1) -> list[str]:
     return [
         f"pair as materialized ({PAIRS[fixture]})",
         f"cells as materialized ({signals_sql(fixture, 'pair')})",
-        *[factor_cte(fixture, w, rank) for w in range(WAYS[fixture])],
+        *[factor_cte(fixture, w, rank, seed) for w in range(WAYS[fixture])],
     ]
 
 
@@ -418,10 +418,10 @@ def weights_wide_oracle(fixture: str, rank: int) -> str:
 
 # --- whole fits as chained CTEs --------------------------------------------
 
-def start_ctes(fixture: str, rank: int) -> list[str]:
+def start_ctes(fixture: str, rank: int, seed: int = 1) -> list[str]:
     """Cells, norms and column-normalised start factors a{w} with their Gram rows."""
     names = [f"{s}{r}" for s in ("x", "y") for r in range(rank)]
-    out = base_ctes(fixture, rank)
+    out = base_ctes(fixture, rank, seed)
     out.append(f"nrm as materialized ({NORMS_ROW})")
     for w in range(WAYS[fixture]):
         norms = ", ".join(f"sqrt(sum({c} * {c})) as n_{c}" for c in names)
@@ -449,13 +449,15 @@ def _others(columns: list[str], new: dict[str, str]) -> str:
     return ", ".join(f"{new[c]} as {c}" if c in new else c for c in columns)
 
 
-def pairwise_ctes(fixture: str, rank: int, iterations: int, lam=(0.1, 0.1, 0.1), eps=1e-16):
+def pairwise_ctes(
+    fixture: str, rank: int, iterations: int, lam=(0.1, 0.1, 0.1), eps=1e-16, seed: int = 1
+):
     """All tables of a pairwise fit; returns (ctes, factor version per way, iterations)."""
     n = WAYS[fixture]
     l1, l2, l3 = (f"cast({v!r} as double)" for v in lam)
     e = f"cast({eps!r} as double)"
     names = [f"{s}{r}" for s in ("x", "y") for r in range(rank)]
-    ctes = start_ctes(fixture, rank)
+    ctes = start_ctes(fixture, rank, seed)
     w0 = ", ".join(
         f"cast({1.0 / rank!r} as double) as {c}{s}{r}"
         for c in ("w", "z") for s in ("x", "y") for r in range(rank)
@@ -617,10 +619,12 @@ def weight_step_oracle(fixture: str, rank: int) -> str:
     return with_(ctes, " union all ".join(parts))
 
 
-def baseline_ctes(fixture: str, rank: int, k: int, iterations: int, alpha=1e-4, beta=1e-4, eps=1e-16):
+def baseline_ctes(
+    fixture: str, rank: int, k: int, iterations: int, alpha=1e-4, beta=1e-4, eps=1e-16, seed: int = 1
+):
     n = WAYS[fixture]
     names = [f"{s}{r}" for s in ("x", "y") for r in range(rank)]
-    ctes = start_ctes(fixture, rank)
+    ctes = start_ctes(fixture, rank, seed)
     a, b, e = (f"cast({v!r} as double)" for v in (alpha, beta, eps))
     ver = {w: f"0_{w}" for w in range(n)}
     for it in range(1, iterations + 1):
@@ -717,3 +721,23 @@ def baseline_step_oracle(fixture: str, rank: int, k: int) -> str:
     names = [f"{s}{r}" for s in ("x", "y") for r in range(rank)]
     parts = [f"select {w} as way, idx, {rounded(names, 5)} from a{ver[w]}" for w in ver]
     return with_(ctes, " union all ".join(parts))
+
+
+def sweep_oracle(fixture: str, rank: int, k: int, trials: int) -> str:
+    """Final cost rows of one pairwise and one baseline run after a single iteration."""
+    parts = []
+    for method, lam in (("pairwise", 0.1), ("baseline", 1e-4)):
+        for t in range(trials):
+            if method == "pairwise":
+                ctes, _ = pairwise_ctes(fixture, rank, 1, seed=1 + t)
+            else:
+                ctes, _ = baseline_ctes(fixture, rank, k, 1, seed=1 + t)
+            parts.append(
+                f"select {t} as iter, 0 as elapsed, (" + with_(ctes, "select round(cost, 7) from cost1")
+                + f") as cost, {t} as \"trial_ID\", 'case' as ground_truth_k, 'case' as k, "
+                "cast(0.01 as double) as noise, cast(10 as double) as train_proportion, "
+                f"cast({lam!r} as double) as alpha, cast({lam!r} as double) as beta, "
+                f"cast(1e-8 as double) as delta, cast(0.1 as double) as gamma, {k} as distance, "
+                f"'{method}' as method, 0 as seed, {rank} as rank"
+            )
+    return " union all ".join(parts)

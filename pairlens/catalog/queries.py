@@ -561,7 +561,7 @@ def _(spark, d):
     return _rounded(cost_delta(log, ["run"]), 6, ["cost", "delta"])
 
 
-@query("run_sweep")
+@query("run_sweep", sql.sweep_oracle("event3", 2, 1, 2))
 def _(spark, d):
     """Two methods, two trials each, on the event pair; resumes from its own output."""
     out = f"{ensure_checkpoint_dir(spark)}/sweep-{uuid.uuid4().hex}"
