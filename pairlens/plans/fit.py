@@ -93,9 +93,16 @@ class Workspace:
     @classmethod
     def prepare(cls, tensor: PairedTensor, cfg: FitConfig) -> Workspace:
         base = cut_lineage(tensor.cells)
+        inside = " AND ".join(f"i{w} >= 0 AND i{w} < {d}" for w, d in enumerate(tensor.dims))
         row = only_row(
-            base.selectExpr("count(1) AS n", *[f"sum({s} * {s}) AS {s}" for s in SIDES])
+            base.selectExpr(
+                "count(1) AS n",
+                f"count_if(NOT coalesce({inside}, false)) AS outside",
+                *[f"sum({s} * {s}) AS {s}" for s in SIDES],
+            )
         )
+        if row.outside:
+            raise ValueError(f"{row.outside} cells lie outside the dimensions {tensor.dims}")
         if not row.n or not row.x or not row.y:
             raise ValueError("both tensors need at least one non-zero cell")
         plan = plan_joins(
@@ -235,25 +242,28 @@ def fit(
 ) -> FitResult:
     """Iterate ``step`` until the cost settles, time is up or ``max_iter`` is reached."""
     ws = workspace or Workspace.prepare(tensor, cfg)
-    state = start_state(tensor, cfg, init)
-    previous, spent, log, cost = FIRST_PREVIOUS_COST, 0.0, [], math.nan
-    for i in range(1, cfg.max_iter + 1):
-        begun = time.monotonic()
-        state = step(ws, state, cfg)
-        elapsed = time.monotonic() - begun
-        cost = state_cost(ws, state)
-        change = abs(cost - previous)
-        log.append((i, elapsed, cost, change))
-        if on_iteration is not None:
-            on_iteration(i, state, cost)
-        spent += elapsed
-        if spent > cfg.max_time or change < cfg.tolerance:
-            break
-        previous = cost
-    if state.carried is not None:
-        state.carried.unpersist()
-    if workspace is None:
-        ws.release()
+    state = None
+    try:
+        state = start_state(tensor, cfg, init)
+        previous, spent, log, cost = FIRST_PREVIOUS_COST, 0.0, [], math.nan
+        for i in range(1, cfg.max_iter + 1):
+            begun = time.monotonic()
+            state = step(ws, state, cfg)
+            elapsed = time.monotonic() - begun
+            cost = state_cost(ws, state)
+            change = abs(cost - previous)
+            log.append((i, elapsed, cost, change))
+            if on_iteration is not None:
+                on_iteration(i, state, cost)
+            spent += elapsed
+            if spent > cfg.max_time or change < cfg.tolerance:
+                break
+            previous = cost
+    finally:
+        if state is not None and state.carried is not None:
+            state.carried.unpersist()
+        if workspace is None:
+            ws.release()
     return FitResult(
         step.__name__, cfg, tensor.dims, state.factors, state.wx, state.wy,
         ws.norm_x, ws.norm_y, cost, log,

@@ -121,6 +121,29 @@ def test_stop_rules_and_user_start(spark, event3):
         fit(event3, baseline, FitConfig(rank=2, max_iter=1), init=[init[0].limit(3), *init[1:]])
 
 
+def test_cells_outside_the_dimensions_raise(event3):
+    """An inner join with the factors would drop them silently."""
+    with pytest.raises(ValueError, match="outside the dimensions"):
+        fit(PairedTensor(event3.cells, (16, 5, 20)), pairwise, FitConfig(rank=2, max_iter=1))
+
+
+def test_collapsed_weights_raise(event3):
+    with pytest.raises(ValueError, match="weights sum to 0"):
+        fit(event3, pairwise, FitConfig(rank=1, max_iter=1, alpha=1e9, beta=0.0, gamma=0.0))
+
+
+def test_derived_norm_falls_back_when_terms_cancel(event3, monkeypatch):
+    """Measuring every norm gives the same fit as deriving every second one."""
+    from pairlens.plans import pairwise as pw
+
+    cfg = FitConfig(rank=3, max_iter=2)
+    derived = fit(event3, pairwise, cfg)
+    monkeypatch.setattr(pw, "CANCELLATION", 2.0)
+    measured = fit(event3, pairwise, cfg)
+    assert np.allclose([r[2] for r in derived.log], [r[2] for r in measured.log], atol=1e-11)
+    assert np.allclose(derived.weights_x, measured.weights_x, atol=1e-10)
+
+
 def test_zero_tensor_and_collapsed_weights_raise(spark, event3):
     zero = event3.with_cells(event3.cells.withColumn("x", F.lit(0.0)))
     with pytest.raises(ValueError, match="non-zero cell"):
