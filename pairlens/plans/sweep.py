@@ -7,9 +7,11 @@ so the loop over them lives on the driver while each run is a sequence of Spark
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators.align import subset, with_split
@@ -64,19 +66,32 @@ def run_trials(
     case: str = "case",
     ground_truth_k: str | None = None,
     noise: float = 0.0,
+    concurrent: int = 1,
 ) -> TrialTables:
-    """Repeat a fit from different start values on one held copy of the cells."""
+    """Repeat a fit from different start values on one held copy of the cells.
+
+    Trials are independent: up to ``concurrent`` of them submit jobs at the same time, so the
+    short factor jobs of one fill the slots another leaves idle. Each needs its own broadcasts.
+    """
     spark = tensor.cells.sparkSession
     truth = ground_truth_k or case
     workspace = Workspace.prepare(tensor, cfg)
-    costs, weights, logs, infos, results = [], [], [], [], []
+    costs, weights, logs, infos = [], [], [], []
     tags = {
         "ground_truth_k": truth, "k": case, "noise": float(noise), "alpha": cfg.alpha,
         "beta": cfg.beta, "delta": cfg.delta, "gamma": cfg.gamma, "distance": cfg.distance,
     }
-    for t in range(trials):
-        result = fit(tensor, METHODS[method], replace(cfg, seed=cfg.seed + t), workspace=workspace)
-        results.append(result)
+
+    @inheritable_thread_target
+    def one(t: int) -> FitResult:
+        return fit(tensor, METHODS[method], replace(cfg, seed=cfg.seed + t), workspace=workspace)
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(concurrent, trials))) as pool:
+            results = list(pool.map(one, range(trials)))
+    finally:
+        workspace.release()
+    for t, result in enumerate(results):
         costs.append(
             (t, 0, result.cost, t, truth, case, float(noise), float(cfg.train_proportion),
              cfg.alpha, cfg.beta, cfg.delta, cfg.gamma, cfg.distance)
@@ -85,7 +100,6 @@ def run_trials(
         weights.append(tag(wide, trial_ID=t, **tags))
         logs.append(tag(result.log_table(spark), trial_ID=t, **tags))
         infos.append(tag(run_info_table(spark, result.info(), result.final()), trial_ID=t))
-    workspace.release()
     return TrialTables(
         spark.createDataFrame(costs, FINAL_COST_SCHEMA), _union(weights), _union(logs),
         _union(infos), results,
@@ -123,6 +137,7 @@ def run_sweep(
     noise: float = 0.01,
     fmt: str = "parquet",
     save_factors: bool = False,
+    concurrent: int = 1,
     **config: object,
 ) -> DataFrame:
     """Fit every pending run of ``grid`` (columns :data:`RUN_KEYS`) and append its tables.
@@ -148,7 +163,9 @@ def run_sweep(
             distance=run.distance, train_proportion=run.train_proportion, max_iter=max_iter,
             **config,
         )
-        tables = run_trials(train, cfg, run.method, trials, case, noise=noise)
+        tables = run_trials(
+            train, cfg, run.method, trials, case, noise=noise, concurrent=concurrent
+        )
         named = {k: v for k, v in keys.items() if k in ("method", "seed", "rank")}
         write_table(
             tag(tables.weights, train_proportion=cfg.train_proportion, **named),
@@ -178,8 +195,6 @@ def completed_cost(spark: SparkSession, cost_path: str) -> DataFrame:
 
 def cost_delta(log: DataFrame, run: Sequence[str], by: str = "iter") -> DataFrame:
     """Absolute cost change per iteration of each run."""
-    from pyspark.sql import Window
-
     previous = F.lag("cost").over(Window.partitionBy(*run).orderBy(by))
     return log.withColumn("delta", F.abs(F.col("cost") - previous))
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairlens.operators import algebra as al
@@ -181,3 +183,30 @@ def test_hash_start_values(spark):
     assert 0 <= row[0] and row[1] < 1 and 0.45 < row[2] < 0.55 and row[3] == 1000
     again = al.init_factor(spark, 1000, 0, 2, 5, "hash").repartition(7)
     assert f.exceptAll(again).count() == 0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    data=st.dictionaries(
+        st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 4)),
+        st.tuples(st.floats(0, 100), st.floats(0, 100)),
+        min_size=1,
+        max_size=30,
+    ),
+    target=st.integers(1, 10),
+)
+def test_products_of_random_tensors(spark, data, target):
+    """Any sparse pair, any salting: the same numbers as the dense product."""
+    dims = (4, 3, 5)
+    listed = [(*c, *v) for c, v in data.items()]
+    pair = spark.createDataFrame(listed, "i0 INT, i1 INT, i2 INT, x DOUBLE, y DOUBLE")
+    t = PairedTensor(signals(pair, coord_names(3)), dims)
+    fs = al.init_factors(spark, dims, 2, 3)
+    plan = plan_joins(t.cells, dims, 2, budget=0, target=target)
+    got = {r.idx: r for r in al.mttkrp(t, fs, 2, 2, plan=plan).collect()}
+    x = np.zeros(dims)
+    for c, v in data.items():
+        x[c] = v[0]
+    want = nm.mttkrp(x, [nm.formula_factor(d, w, 2, 0, 3) for w, d in enumerate(dims)], 2)
+    assert set(got) == {c[2] for c in data}
+    assert all(np.allclose([got[i].mx0, got[i].mx1], want[i], atol=1e-9) for i in got)

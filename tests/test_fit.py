@@ -187,6 +187,13 @@ def test_trials_tables(event3):
     assert "norm_X" in tables.info.first().final
 
 
+def test_concurrent_trials_give_the_same_costs(event3):
+    cfg = FitConfig(rank=2, max_iter=2)
+    one, many = (run_trials(event3, cfg, "pairwise", 3, concurrent=c) for c in (1, 3))
+    assert [r.config.seed for r in many.results] == [1, 2, 3]
+    assert np.allclose([r.cost for r in one.results], [r.cost for r in many.results], atol=1e-10)
+
+
 def test_sweep_resumes(spark, event3, tmp_path):
     grid = run_grid(
         spark, method=["baseline"], seed=[0, 1], rank=[2], distance=[1], alpha=[1e-4, 1e-3], beta=[1e-4],
