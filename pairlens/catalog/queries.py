@@ -427,7 +427,7 @@ def _(spark, d):
 
 def _prepared(spark, d, cfg: FitConfig) -> tuple[Workspace, FitState]:
     t = fx.event3(spark, d)
-    return Workspace.prepare(t, cfg), start_state(t, cfg)
+    return Workspace.prepare(t, cfg), start_state(t, [cfg])
 
 
 def _fit_config(**changes) -> FitConfig:
@@ -441,7 +441,7 @@ BASELINE = {"alpha": 1e-4, "beta": 1e-4, "distance": FIT_COMMON}
 def _(spark, d):
     cfg = _fit_config()
     ws, state = _prepared(spark, d, cfg)
-    update_way(ws, state, cfg, 0)
+    update_way(ws, state, 0)
     return _round_except(state.factors[0], 7, "idx")
 
 
@@ -449,10 +449,10 @@ def _(spark, d):
 def _(spark, d):
     cfg = _fit_config()
     ws, state = _prepared(spark, d, cfg)
-    pairwise(ws, state, cfg)
+    run = pairwise(ws, state).runs[0]
     rows = [
         (s, r, float(w[r]), float(z[r]))
-        for s, w, z in (("x", state.wx, state.zwx), ("y", state.wy, state.zwy))
+        for s, w, z in (("x", run.wx, run.zwx), ("y", run.wy, run.zwy))
         for r in range(FIT_RANK)
     ]
     return _rounded(
@@ -464,7 +464,7 @@ def _(spark, d):
 def _(spark, d):
     cfg = _fit_config(**BASELINE)
     ws, state = _prepared(spark, d, cfg)
-    baseline(ws, state, cfg)
+    baseline(ws, state)
     steps = [
         f.select(F.lit(w).alias("way"), *factor_columns(FIT_RANK))
         for w, f in enumerate(state.factors)

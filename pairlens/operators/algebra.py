@@ -35,23 +35,33 @@ INT_MAX = 2**31 - 1
 
 # --- factors ---------------------------------------------------------------
 
-def init_factor(
-    spark: SparkSession, dim: int, way: int, rank: int, seed: int, kind: str = "formula"
+def init_runs(
+    spark: SparkSession, dim: int, way: int, rank: int, starts: Sequence[tuple[int, str]]
 ) -> DataFrame:
-    """Start values for every index of a way, including those without any cell."""
-    value = {"formula": init_value, "hash": uniform_value}[kind]
-    partitions = partitions_for(dim, 1 + 2 * rank)
+    """Start values of several runs side by side, for every index of a way.
+
+    ``starts`` holds a (seed, kind) per run; indices without any cell are included.
+    """
+    kinds = {"formula": init_value, "hash": uniform_value}
+    partitions = partitions_for(dim, 1 + 2 * rank * len(starts))
     idx = "CAST(id AS INT) AS idx" if dim <= INT_MAX else "id AS idx"
     return spark.range(0, dim, 1, partitions).selectExpr(
         idx,
         *[
-            f"{value('id', way, r, side, seed)} AS {side}{r}"
+            f"{kinds[kind]('id', way, r, side, seed)} AS {side}{b * rank + r}"
             for side in SIDES
+            for b, (seed, kind) in enumerate(starts)
             for r in range(rank)
         ],
     )
 
 
+def init_factor(
+    spark: SparkSession, dim: int, way: int, rank: int, seed: int, kind: str = "formula"
+) -> DataFrame:
+    return init_runs(spark, dim, way, rank, [(seed, kind)])
+
+
 def init_factors(
     spark: SparkSession, dims: Sequence[int], rank: int, seed: int, kind: str = "formula"
 ) -> list[DataFrame]:
@@ -172,9 +182,9 @@ def normalization_weights(
     )
 
 
-def tail_mass(rank: int, side: str, k: int) -> str:
+def tail_mass(rank: int, side: str, k: int, first: int = 0) -> str:
     """Row sum of the components from k on (zero when there are none)."""
-    return " + ".join(factor_names(side, rank)[k:]) or "0.0D"
+    return " + ".join(f"{side}{first + r}" for r in range(k, rank)) or "0.0D"
 
 
 # --- products with the cells -----------------------------------------------

@@ -11,20 +11,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from pairlens.functions.columns import FACTOR_EPS, floored_sql, number
-from pairlens.operators.algebra import (
-    complete,
-    gram_aggregates,
-    hadamard,
-    mttkrp,
-    symmetric_matrix,
-    tail_mass,
-    vector,
-)
+from pairlens.operators.algebra import complete, hadamard, mttkrp, tail_mass
 from pairlens.plans.fit import (
     COLUMNS_PER_PLAN,
-    FitConfig,
     FitState,
+    Run,
     Workspace,
+    block_gram_aggregates,
+    block_grams,
+    positive,
     replaced,
     scaled_factor,
     scaled_gram,
@@ -35,89 +30,101 @@ from pairlens.session import cut_lineage, hold_compact, only_row
 PRODUCT_TERMS = (("mx", "x", "x"), ("my", "y", "y"))
 
 
-def _products(ws: Workspace, factors: list[DataFrame], cfg: FitConfig, way: int) -> DataFrame:
+def _products(ws: Workspace, factors: list[DataFrame], state: FitState, way: int) -> DataFrame:
     """Factor rows with both products and the discriminative row sums, held for the update."""
-    products = mttkrp(ws.cells_for(way), factors, cfg.rank, way, PRODUCT_TERMS, ws.plan)
-    tails = [f"{tail_mass(cfg.rank, s, cfg.distance)} AS tail_{s}" for s in SIDES]
+    rank = state.rank
+    products = mttkrp(ws.cells_for(way), factors, state.width, way, PRODUCT_TERMS, ws.plan)
+    tails = [
+        f"{tail_mass(rank, s, run.cfg.distance, slot * rank)} AS tail_{s}{slot}"
+        for slot, run in enumerate(state.runs)
+        for s in SIDES
+    ]
     return hold_compact(complete(factors[way], products, *tails), ws.tensor.dims[way])
 
 
-def _dot(rank: int, side: str, f: np.ndarray, l: int) -> str:
-    return " + ".join(f"{side}{j} * {number(f[j, l])}" for j in range(rank))
+def _stages(ws: Workspace, run: Run, slot: int, way: int, l: int) -> list[dict[str, str]]:
+    """Column l of one run as two successive sets of replacements.
 
+    Common columns pull the sides towards each other, the second side seeing the first one's new
+    value. Discriminative ones use the other side's stale row sum, with opposite signs.
+    """
+    cfg, n = run.cfg, {"x": ws.norm_x, "y": ws.norm_y}
+    c = slot * cfg.rank + l
+    out = []
+    for s, other in (("x", "y"), ("y", "x")):
+        f = hadamard(run.grams(s), way)
+        own = float(f[l, l])
+        dot = " + ".join(f"{s}{slot * cfg.rank + j} * {number(f[j, l])}" for j in range(cfg.rank))
+        rest = f"m{s}{c} - ({dot})"
+        if l < cfg.distance:
+            a = n[s] * cfg.alpha
+            if own + a == 0.0:
+                raise ValueError(f"component {l}: zero Gram diagonal and zero alpha")
+            new = (
+                f"{s}{c} * {number(own / (own + a))} + ({rest} + {number(a)} * {other}{c})"
+                f" / {number(own + a + FACTOR_EPS)}"
+            )
+        else:
+            push = (-1.0 if s == "x" else 1.0) * n[s] * cfg.beta / 2.0
+            new = (
+                f"{s}{c} + ({rest} + {number(push)} * tail_{other}{slot})"
+                f" / {number(own + FACTOR_EPS)}"
+            )
+        out.append({f"{s}{c}": new})
+    return out
 
-def _common_column(l: int, rank: int, fx, fy, n1: float, n2: float, alpha: float):
-    """The two sides pull towards each other; the second sees the first's new value."""
-    f, g, a, b = float(fx[l, l]), float(fy[l, l]), n1 * alpha, n2 * alpha
-    if f + a == 0.0 or g + b == 0.0:
-        raise ValueError(f"component {l}: zero Gram diagonal and zero alpha")
-    x = (
-        f"x{l} * {number(f / (f + a))} + (mx{l} - ({_dot(rank, 'x', fx, l)})"
-        f" + {number(a)} * y{l}) / {number(f + a + FACTOR_EPS)}"
-    )
-    y = (
-        f"y{l} * {number(g / (g + b))} + (my{l} - ({_dot(rank, 'y', fy, l)})"
-        f" + {number(b)} * x{l}) / {number(g + b + FACTOR_EPS)}"
-    )
-    return [{f"x{l}": x}, {f"y{l}": y}]
 
-
-def _discriminative_column(l: int, rank: int, fx, fy, n1: float, n2: float, beta: float):
-    """Each side uses the other's stale row sum, with opposite signs on the two sides."""
-    x = (
-        f"x{l} + (mx{l} - ({_dot(rank, 'x', fx, l)}) - {number(n1 * beta / 2.0)} * tail_y)"
-        f" / {number(float(fx[l, l]) + FACTOR_EPS)}"
-    )
-    y = (
-        f"y{l} + (my{l} - ({_dot(rank, 'y', fy, l)}) + {number(n2 * beta / 2.0)} * tail_x)"
-        f" / {number(float(fy[l, l]) + FACTOR_EPS)}"
-    )
-    return [{f"x{l}": x, f"y{l}": y}]
-
-
-def baseline(ws: Workspace, state: FitState, cfg: FitConfig) -> FitState:
-    rank, ways, k = cfg.rank, ws.tensor.ways, cfg.distance
-    factors, gx, gy, cross = [], [], [], []
+def baseline(ws: Workspace, state: FitState) -> FitState:
+    rank, width, runs, ways = state.rank, state.width, state.runs, ws.tensor.ways
+    factors, grams = [], []
     for way in range(ways):
         last = way == ways - 1
         carried = state.carried if last else None
-        source = carried if carried is not None else _products(ws, state.factors, cfg, way)
-        fx, fy = hadamard(state.gx, way), hadamard(state.gy, way)
+        source = carried if carried is not None else _products(ws, state.factors, state, way)
         live = source
         for l in range(rank):
-            if l < k:
-                stages = _common_column(l, rank, fx, fy, ws.norm_x, ws.norm_y, cfg.alpha)
-            else:
-                stages = _discriminative_column(l, rank, fx, fy, ws.norm_x, ws.norm_y, cfg.beta)
-            for new in stages:
-                live = replaced(live, new)
-            live = replaced(live, {f"{s}{l}": floored_sql(f"{s}{l}", FACTOR_EPS) for s in SIDES})
+            stages = [_stages(ws, run, slot, way, l) for slot, run in enumerate(runs)]
+            for part in zip(*stages):
+                live = replaced(live, {k: v for new in part for k, v in new.items()})
+            names = [f"{s}{slot * rank + l}" for slot in range(len(runs)) for s in SIDES]
+            live = replaced(live, {c: floored_sql(c, FACTOR_EPS) for c in names})
             if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
                 live = cut_lineage(live)
-        new = cut_lineage(live.select(*factor_columns(rank)))
-        row = only_row(new.selectExpr(*gram_aggregates(rank)))
-        g = {s: symmetric_matrix(row, f"g{s}", rank) for s in SIDES}
-        mixed = vector(row, "cross", rank)
+        new = cut_lineage(live.select(*factor_columns(width)))
+        row = only_row(new.selectExpr(*block_gram_aggregates(rank, len(runs))))
+        per_run = block_grams(row, rank, len(runs))
         if not last:
-            norms = {s: np.sqrt(np.diag(g[s])) for s in SIDES}
-            new = scaled_factor(new, rank, norms)
-            mixed = mixed / (np.where(norms["x"] > 0, norms["x"], 1.0)
-                             * np.where(norms["y"] > 0, norms["y"], 1.0))
-            g = {s: scaled_gram(g[s], norms[s]) for s in SIDES}
+            # Flooring came first, so unit columns and their Grams follow from the raw Grams.
+            own = [{s: np.sqrt(np.diag(g[s])) for s in SIDES} for g, _cross in per_run]
+            norms = {s: np.concatenate([o[s] for o in own]) for s in SIDES}
+            new = scaled_factor(new, width, norms)
+            per_run = [
+                (
+                    {s: scaled_gram(g[s], o[s]) for s in SIDES},
+                    cross / (positive(o["x"]) * positive(o["y"])),
+                )
+                for (g, cross), o in zip(per_run, own)
+            ]
         source.unpersist()
         factors.append(new)
-        gx.append(g["x"])
-        gy.append(g["y"])
-        cross.append(mixed)
-    state.factors, state.gx, state.gy, state.cross = factors, gx, gy, cross
-    state.carried = _products(ws, factors, cfg, ways - 1)
+        grams.append(per_run)
+    for slot, run in enumerate(runs):
+        run.gx = [per_run[slot][0]["x"] for per_run in grams]
+        run.gy = [per_run[slot][0]["y"] for per_run in grams]
+        run.cross = [per_run[slot][1] for per_run in grams]
+    state.factors = factors
+    state.carried = _products(ws, factors, state, ways - 1)
     inner = only_row(
         state.carried.selectExpr(
             *[
-                "sum(" + " + ".join(f"{s}{r} * m{s}{r}" for r in range(rank)) + f") AS {s}"
+                "sum("
+                + " + ".join(f"{s}{slot * rank + r} * m{s}{slot * rank + r}" for r in range(rank))
+                + f") AS {s}{slot}"
+                for slot in range(len(runs))
                 for s in SIDES
             ]
         )
     )
-    state.inner_x, state.inner_y = inner.x, inner.y
+    for slot, run in enumerate(runs):
+        run.inner_x, run.inner_y = inner[f"x{slot}"], inner[f"y{slot}"]
     return state

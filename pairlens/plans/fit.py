@@ -2,6 +2,11 @@
 
 Cells and factors stay DataFrames. Per iteration the driver sees one aggregate row per job:
 column norms, Gram matrices and core sums, all of component-count size.
+
+Runs with the same rank (trials, parameter settings) are fitted together: run b owns the columns
+``b * rank .. (b + 1) * rank - 1`` of each factor table, so one pass over the cells, and one
+aggregate per column, serves all of them. Their algebra stays separate, and a run that has
+stopped leaves the tables.
 """
 
 from __future__ import annotations
@@ -16,10 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairlens.functions.columns import number
 from pairlens.operators.algebra import (
-    gram,
-    gram_aggregates,
     hadamard,
-    init_factors,
+    init_runs,
     joint_cost,
     squared_residual,
     symmetric_matrix,
@@ -62,10 +65,10 @@ class FitConfig:
 
 
 @dataclass
-class FitState:
-    """Factors of all ways and the small matrices derived from them."""
+class Run:
+    """Small state of one run: Gram matrices per way, weights, cost history."""
 
-    factors: list[DataFrame]
+    cfg: FitConfig
     gx: list[np.ndarray]
     gy: list[np.ndarray]
     cross: list[np.ndarray]
@@ -76,8 +79,32 @@ class FitState:
     momentum: float = 1.0
     inner_x: float = 0.0
     inner_y: float = 0.0
+    cost: float = math.nan
+    previous: float = FIRST_PREVIOUS_COST
+    log: list[tuple[int, float, float, float]] = field(default_factory=list)
+
+    def grams(self, side: str) -> list[np.ndarray]:
+        return self.gx if side == "x" else self.gy
+
+
+@dataclass
+class FitState:
+    """Factor tables of all ways and the runs that share them, in column order."""
+
+    factors: list[DataFrame]
+    runs: list[Run]
     carried: DataFrame | None = None
 
+    @property
+    def rank(self) -> int:
+        """Components of one run."""
+        return self.runs[0].cfg.rank
+
+    @property
+    def width(self) -> int:
+        """Components of all runs together."""
+        return self.rank * len(self.runs)
+
 
 @dataclass
 class Workspace:
@@ -91,7 +118,8 @@ class Workspace:
     n_cells: int
 
     @classmethod
-    def prepare(cls, tensor: PairedTensor, cfg: FitConfig) -> Workspace:
+    def prepare(cls, tensor: PairedTensor, cfg: FitConfig, runs: int = 1) -> Workspace:
+        """Layouts for jobs that fit ``runs`` runs of this configuration together."""
         base = cut_lineage(tensor.cells)
         inside = " AND ".join(f"i{w} >= 0 AND i{w} < {d}" for w, d in enumerate(tensor.dims))
         row = only_row(
@@ -106,7 +134,7 @@ class Workspace:
         if not row.n or not row.x or not row.y:
             raise ValueError("both tensors need at least one non-zero cell")
         plan = plan_joins(
-            base, tensor.dims, cfg.rank, cfg.broadcast_bytes, cfg.cells_per_salt, row.n
+            base, tensor.dims, cfg.rank * runs, cfg.broadcast_bytes, cfg.cells_per_salt, row.n
         )
         leads = {k: lead_way(plan, tensor.dims, k) for k in range(tensor.ways)}
         held = {
@@ -178,102 +206,178 @@ def replaced(live: DataFrame, new: dict[str, str]) -> DataFrame:
     return live.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in live.columns])
 
 
-def scaled_factor(factor: DataFrame, rank: int, norms: dict[str, np.ndarray]) -> DataFrame:
+def scaled_factor(factor: DataFrame, width: int, norms: dict[str, np.ndarray]) -> DataFrame:
     """Divide by known column norms; columns without positive norm stay."""
     columns = []
     for side in SIDES:
-        for name, n in zip(factor_names(side, rank), norms[side]):
+        for name, n in zip(factor_names(side, width), norms[side]):
             columns.append(f"{name} / {number(n)} AS {name}" if n > 0 else name)
     return factor.selectExpr("idx", *columns)
 
 
+def run_columns(factor: DataFrame, rank: int, slots: Sequence[int]) -> DataFrame:
+    """The columns of the given runs, renumbered from zero."""
+    return factor.selectExpr(
+        "idx",
+        *[
+            f"{side}{slot * rank + r} AS {side}{new * rank + r}"
+            for side in SIDES
+            for new, slot in enumerate(slots)
+            for r in range(rank)
+        ],
+    )
+
+
+def block_gram_aggregates(rank: int, runs: int) -> list[str]:
+    """Gram sums of every run's own columns, and the diagonal cross products."""
+    out = []
+    for b in range(runs):
+        for p in range(rank):
+            i = b * rank + p
+            out.append(f"sum(x{i} * y{i}) AS cross_{i}")
+            for q in range(p, rank):
+                j = b * rank + q
+                out += [f"sum({s}{i} * {s}{j}) AS g{s}{b}_{p}_{q}" for s in SIDES]
+    return out
+
+
+def block_grams(row, rank: int, runs: int) -> list[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Per run: both Gram matrices and the cross products."""
+    cross = vector(row, "cross", rank * runs)
+    return [
+        (
+            {s: symmetric_matrix(row, f"g{s}{b}", rank) for s in SIDES},
+            cross[b * rank : (b + 1) * rank],
+        )
+        for b in range(runs)
+    ]
+
+
+def positive(norms: np.ndarray) -> np.ndarray:
+    return np.where(norms > 0, norms, 1.0)
+
+
 def scaled_gram(g: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    safe = np.where(norms > 0, norms, 1.0)
-    return g / np.outer(safe, safe)
+    return g / np.outer(positive(norms), positive(norms))
 
 
 def start_state(
-    tensor: PairedTensor, cfg: FitConfig, init: Sequence[DataFrame] | None = None
+    tensor: PairedTensor, cfgs: Sequence[FitConfig], init: Sequence[DataFrame] | None = None
 ) -> FitState:
-    """Column-normalised start factors of every way, uniform weights."""
+    """Column-normalised start factors of every way, uniform weights.
+
+    ``init`` gives one factor per way, with the columns of all runs side by side.
+    """
     spark = tensor.cells.sparkSession
-    rank = cfg.rank
+    rank, n_runs = cfgs[0].rank, len(cfgs)
+    if any(c.rank != rank for c in cfgs):
+        raise ValueError("runs fitted together need the same rank")
+    width = rank * n_runs
     if init is None:
-        raw = init_factors(spark, tensor.dims, rank, cfg.seed, cfg.init_kind)
+        starts = [(c.seed, c.init_kind) for c in cfgs]
+        raw = [init_runs(spark, d, w, rank, starts) for w, d in enumerate(tensor.dims)]
     else:
-        raw = [cut_lineage(f.select(*factor_columns(rank))) for f in init]
-    factors, gx, gy, cross = [], [], [], []
+        raw = [cut_lineage(f.select(*factor_columns(width))) for f in init]
+    uniform = np.full(rank, 1.0 / rank)
+    runs = [
+        Run(c, [], [], [], uniform, uniform.copy(), uniform.copy(), uniform.copy()) for c in cfgs
+    ]
+    factors = []
     for w, factor in enumerate(raw):
-        row = only_row(factor.selectExpr("count(1) AS n", *gram_aggregates(rank)))
+        row = only_row(
+            factor.selectExpr("count(1) AS n", *block_gram_aggregates(rank, n_runs))
+        )
         if row.n != tensor.dims[w]:
             raise ValueError(f"way {w}: factor has {row.n} rows, dimension is {tensor.dims[w]}")
-        g = {s: symmetric_matrix(row, f"g{s}", rank) for s in SIDES}
-        norms = {s: np.sqrt(np.diag(g[s])) for s in SIDES}
-        factors.append(cut_lineage(scaled_factor(factor, rank, norms)))
-        gx.append(scaled_gram(g["x"], norms["x"]))
-        gy.append(scaled_gram(g["y"], norms["y"]))
-        cross.append(vector(row, "cross", rank))
-    uniform = np.full(rank, 1.0 / rank)
-    return FitState(
-        factors, gx, gy, cross, uniform, uniform.copy(), uniform.copy(), uniform.copy()
-    )
+        norms = {s: [] for s in SIDES}
+        for run, (grams, cross) in zip(runs, block_grams(row, rank, n_runs)):
+            own = {s: np.sqrt(np.diag(grams[s])) for s in SIDES}
+            run.gx.append(scaled_gram(grams["x"], own["x"]))
+            run.gy.append(scaled_gram(grams["y"], own["y"]))
+            run.cross.append(cross / (positive(own["x"]) * positive(own["y"])))
+            for s in SIDES:
+                norms[s].extend(own[s])
+        factors.append(cut_lineage(scaled_factor(factor, width, norms)))
+    return FitState(factors, runs)
 
 
-Step = Callable[[Workspace, FitState, FitConfig], FitState]
+Step = Callable[[Workspace, FitState], FitState]
 
 
-def state_cost(ws: Workspace, state: FitState) -> float:
+def run_cost(ws: Workspace, run: Run) -> float:
     """Joint relative cost from the Grams and inner products the step already has."""
     return joint_cost(
-        squared_residual(ws.norm_x, float(hadamard(state.gx).sum()), state.inner_x),
-        squared_residual(ws.norm_y, float(hadamard(state.gy).sum()), state.inner_y),
+        squared_residual(ws.norm_x, float(hadamard(run.gx).sum()), run.inner_x),
+        squared_residual(ws.norm_y, float(hadamard(run.gy).sum()), run.inner_y),
         ws.norm_x,
         ws.norm_y,
     )
 
 
-def fit(
+def _advance(ws: Workspace, state: FitState, i: int, elapsed: float) -> list[int]:
+    """Record the iteration; slots of the runs that stop here."""
+    stopped = []
+    for slot, run in enumerate(state.runs):
+        run.cost = run_cost(ws, run)
+        change = abs(run.cost - run.previous)
+        run.log.append((i, elapsed, run.cost, change))
+        spent = sum(entry[1] for entry in run.log)
+        if spent > run.cfg.max_time or change < run.cfg.tolerance or i >= run.cfg.max_iter:
+            stopped.append(slot)
+        run.previous = run.cost
+    return stopped
+
+
+def fit_runs(
     tensor: PairedTensor,
     step: Step,
-    cfg: FitConfig,
+    cfgs: Sequence[FitConfig],
     init: Sequence[DataFrame] | None = None,
     workspace: Workspace | None = None,
-    on_iteration: Callable[[int, FitState, float], None] | None = None,
-) -> FitResult:
-    """Iterate ``step`` until the cost settles, time is up or ``max_iter`` is reached."""
-    ws = workspace or Workspace.prepare(tensor, cfg)
-    state = None
+    on_iteration: Callable[[int, FitState], None] | None = None,
+) -> list[FitResult]:
+    """Fit several runs in shared jobs until each has settled, timed out or hit ``max_iter``."""
+    ws = workspace or Workspace.prepare(tensor, cfgs[0], len(cfgs))
+    state, results = None, {}
     try:
-        state = start_state(tensor, cfg, init)
-        previous, spent, log, cost = FIRST_PREVIOUS_COST, 0.0, [], math.nan
-        for i in range(1, cfg.max_iter + 1):
+        state = start_state(tensor, cfgs, init)
+        order, i = list(range(len(cfgs))), 0
+        while state.runs:
+            i += 1
             begun = time.monotonic()
-            state = step(ws, state, cfg)
-            elapsed = time.monotonic() - begun
-            cost = state_cost(ws, state)
-            change = abs(cost - previous)
-            log.append((i, elapsed, cost, change))
+            state = step(ws, state)
+            stopped = _advance(ws, state, i, time.monotonic() - begun)
             if on_iteration is not None:
-                on_iteration(i, state, cost)
-            spent += elapsed
-            if spent > cfg.max_time or change < cfg.tolerance:
-                break
-            previous = cost
+                on_iteration(i, state)
+            for slot in stopped:
+                run = state.runs[slot]
+                factors = [run_columns(f, state.rank, [slot]) for f in state.factors]
+                results[order[slot]] = FitResult(
+                    step.__name__, run.cfg, tensor.dims, factors, run.wx, run.wy,
+                    ws.norm_x, ws.norm_y, run.cost, run.log,
+                )
+            if stopped:
+                kept = [slot for slot in range(len(state.runs)) if slot not in stopped]
+                if state.carried is not None:
+                    state.carried.unpersist()
+                factors = [run_columns(f, state.rank, kept) for f in state.factors]
+                state = FitState(factors, [state.runs[slot] for slot in kept])
+                order = [order[slot] for slot in kept]
     finally:
         if state is not None and state.carried is not None:
             state.carried.unpersist()
         if workspace is None:
             ws.release()
-    return FitResult(
-        step.__name__, cfg, tensor.dims, state.factors, state.wx, state.wy,
-        ws.norm_x, ws.norm_y, cost, log,
-    )
+    return [results[k] for k in range(len(cfgs))]
 
 
-def refreshed_gram(factor: DataFrame, rank: int):
-    row = only_row(gram(factor, rank))
-    return (
-        symmetric_matrix(row, "gx", rank),
-        symmetric_matrix(row, "gy", rank),
-        vector(row, "cross", rank),
-    )
+def fit(
+    tensor: PairedTensor,
+    step: Step,
+    cfg: FitConfig,
+    init: Sequence[DataFrame] | None = None,
+    workspace: Workspace | None = None,
+    on_iteration: Callable[[int, FitState], None] | None = None,
+) -> FitResult:
+    """Iterate ``step`` until the cost settles, time is up or ``max_iter`` is reached."""
+    return fit_runs(tensor, step, [cfg], init, workspace, on_iteration)[0]

@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame
 from pairlens.functions.columns import floored_sql, number
 from pairlens.operators.algebra import (
     complete,
-    gram_aggregates,
     hadamard,
     mttkrp,
     mttkrp_weighted,
-    symmetric_matrix,
     vector,
 )
 from pairlens.operators.weights import floored, next_momentum, unit_sum
@@ -29,196 +27,205 @@ from pairlens.plans.fit import (
     COLUMNS_PER_PLAN,
     FitConfig,
     FitState,
+    Run,
     Workspace,
+    block_gram_aggregates,
+    block_grams,
     frobenius,
-    refreshed_gram,
     replaced,
 )
 from pairlens.schema import SIDES, factor_columns
 from pairlens.session import cut_lineage, hold, hold_compact, only_row
 
 
-def _signal_scales(ws: Workspace, state: FitState, cfg: FitConfig) -> dict:
-    """Per side and component: factors of the signal terms and of the quadratic term."""
-    out = {}
-    for side, norm, w in (("x", ws.norm_x, state.wx), ("y", ws.norm_y, state.wy)):
-        n, a = 1.0 / norm, 1.0 - w
-        out[side] = {
-            "z": n * cfg.alpha * w,
-            "s": n * cfg.beta * a,
-            "quad": 1.0 + n * cfg.alpha * w * w + n * cfg.beta * a * a,
-            "pull": n * cfg.gamma * a,
-        }
-    return out
-
-
 @dataclass(frozen=True)
 class _Gradient:
-    """Coefficients of one way's column steps: ``quad[s][j, l]`` multiplies column j in step l."""
+    """Coefficients of one run's column steps in one way, for columns ``first .. first + rank``.
+
+    ``quad[s][j, l]`` multiplies column j in step l; ``z`` and ``same`` weigh the grown and the
+    unchanged signal; ``pull`` draws the sides together or apart.
+    """
 
     rank: int
+    first: int
     quad: dict[str, np.ndarray]
-    signals: dict[str, dict[str, np.ndarray]]
+    z: dict[str, np.ndarray]
+    same: dict[str, np.ndarray]
     pull: dict[str, np.ndarray]
     nf: dict[str, float]
-    wx: np.ndarray
-    wy: np.ndarray
+    share: dict[str, np.ndarray]
     last: bool
 
+    @classmethod
+    def of(cls, ws: Workspace, run: Run, slot: int, way: int) -> _Gradient:
+        cfg = run.cfg
+        quad, z, same, pull, nf, share = {}, {}, {}, {}, {}, {}
+        for s, norm, w, sign in (("x", ws.norm_x, run.wx, 1.0), ("y", ws.norm_y, run.wy, -1.0)):
+            n, a = 1.0 / norm, 1.0 - w
+            product = hadamard(run.grams(s), way)
+            nf[s] = frobenius(product, f"Gram product of way {way}")
+            z[s], same[s], pull[s], share[s] = n * cfg.alpha * w, n * cfg.beta * a, sign * n * cfg.gamma * a, a
+            quad[s] = product * (1.0 + z[s] * w + same[s] * a)[np.newaxis, :]
+        last = way == ws.tensor.ways - 1
+        return cls(cfg.rank, slot * cfg.rank, quad, z, same, pull, nf, share, last)
+
+    def signal_weight(self, side: str, l: int) -> str:
+        """Cell value whose product sum carries all signal terms of a component."""
+        return f"{side} + {number(self.z[side][l])} * z{side} + {number(self.same[side][l])} * s"
+
     def step(self, side: str, l: int, without: int | None = None) -> str:
         """Column l after its step, from the live matrix and before flooring.
 
         ``without`` leaves out the term of another column.
         """
-        columns = [j for j in range(self.rank) if j != without]
-        quadratic = " + ".join(f"{side}{j} * {number(self.quad[side][j, l])}" for j in columns)
-        target = f"m{side}{l}"
+        c = self.first + l
+        quadratic = " + ".join(
+            f"{side}{self.first + j} * {number(self.quad[side][j, l])}"
+            for j in range(self.rank)
+            if j != without
+        )
+        target = f"m{side}{c}"
         if self.last:
-            z, same = (number(self.signals[side][k][l]) for k in ("z", "s"))
-            target = f"({target} + {z} * mz{side}{l} + {same} * ms{side}{l})"
-        apart = f"({number(1.0 - self.wx[l])} * x{l} - {number(1.0 - self.wy[l])} * y{l})"
-        gradient = f"{quadratic} - {target} + {number(self.pull[side][l])} * {apart}"
-        return f"{side}{l} - ({gradient}) / {number(self.nf[side])}"
-
-    def steps(self, l: int) -> dict[str, str]:
-        return {f"{s}{l}": self.step(s, l) for s in SIDES}
+            target = (
+                f"({target} + {number(self.z[side][l])} * mz{side}{c}"
+                f" + {number(self.same[side][l])} * ms{side}{c})"
+            )
+        apart = f"({number(self.share['x'][l])} * x{c} - {number(self.share['y'][l])} * y{c})"
+        gradient = f"{quadratic or '0.0D'} - {target} + {number(self.pull[side][l])} * {apart}"
+        return f"{side}{c} - ({gradient}) / {number(self.nf[side])}"
 
 
 # A derived squared norm below this share of its terms is measured instead.
 CANCELLATION = 1e-4
 
 
-def _column_norms(live: DataFrame, l: int) -> dict[str, float]:
-    return only_row(
-        live.selectExpr(*[f"sqrt(sum({s}{l} * {s}{l})) AS {s}" for s in SIDES])
-    ).asDict()
+def _stepped(live: DataFrame, l: int, gradients: list[_Gradient]) -> DataFrame:
+    return replaced(
+        live, {f"{s}{g.first + l}": g.step(s, l) for g in gradients for s in SIDES}
+    )
+
+
+def _column_norms(live: DataFrame, l: int, gradients: list[_Gradient]) -> dict[str, float]:
+    """Norm of column l of every run and side, by column name."""
+    names = [f"{s}{g.first + l}" for g in gradients for s in SIDES]
+    return only_row(live.selectExpr(*[f"sqrt(sum({c} * {c})) AS {c}" for c in names])).asDict()
 
 
-def _norm_pair(live: DataFrame, l: int, gradient: _Gradient) -> tuple[dict, dict | None]:
+def _norm_pair(live: DataFrame, l: int, gradients: list[_Gradient]) -> tuple[dict, dict | None]:
     """Norms of the stepped column l and of column l + 1 after it, from one aggregate.
 
     With ``p`` the non-negative part of column l and ``n`` its norm, column l + 1 steps to
     ``base - c * p / n``: ``base`` and ``p`` are known in this pass, and the squared norm of the
     difference needs only their inner products.
     """
+    columns = [(g, s, f"{s}{g.first + l}") for g in gradients for s in SIDES]
     parts = live.selectExpr(
-        *[f"{s}{l} AS r{s}" for s in SIDES],
-        *[f"greatest({s}{l}, 0.0D) AS p{s}" for s in SIDES],
-        *[f"{gradient.step(s, l + 1, without=l)} AS b{s}" for s in SIDES],
+        *[f"{c} AS r_{c}" for _g, _s, c in columns],
+        *[f"greatest({c}, 0.0D) AS p_{c}" for _g, _s, c in columns],
+        *[f"{g.step(s, l + 1, without=l)} AS b_{c}" for g, s, c in columns],
     )
     row = only_row(
         parts.selectExpr(
             *[
-                f"sum({a}{s} * {b}{s}) AS {a}{b}{s}"
-                for s in SIDES
+                f"sum({a}_{c} * {b}_{c}) AS {a}{b}_{c}"
+                for _g, _s, c in columns
                 for a, b in (("r", "r"), ("p", "p"), ("b", "b"), ("b", "p"))
             ]
         )
     )
     first, second = {}, {}
-    for s in SIDES:
-        first[s] = math.sqrt(row[f"rr{s}"])
-        c = gradient.quad[s][l, l + 1] / gradient.nf[s] / (first[s] or 1.0)
-        plus = row[f"bb{s}"] + c * c * row[f"pp{s}"]
-        squared = plus - 2.0 * c * row[f"bp{s}"]
-        second[s] = math.sqrt(squared) if squared > CANCELLATION * plus else None
+    for g, s, name in columns:
+        first[name] = math.sqrt(row[f"rr_{name}"])
+        c = g.quad[s][l, l + 1] / g.nf[s] / (first[name] or 1.0)
+        plus = row[f"bb_{name}"] + c * c * row[f"pp_{name}"]
+        squared = plus - 2.0 * c * row[f"bp_{name}"]
+        following = f"{s}{g.first + l + 1}"
+        second[following] = math.sqrt(squared) if squared > CANCELLATION * plus else None
     return first, None if None in second.values() else second
 
 
-def _floored_column(live: DataFrame, l: int, norms: dict[str, float]) -> DataFrame:
+def _floored(live: DataFrame, l: int, gradients: list[_Gradient], norms: dict) -> DataFrame:
     """Scale a stepped column to unit norm where one is given, then floor it."""
-    return replaced(
-        live,
-        {
-            f"{s}{l}": floored_sql(
-                f"({s}{l} / {number(norms[s])})" if norms.get(s, 0.0) > 0 else f"{s}{l}", 0.0
-            )
-            for s in SIDES
-        },
-    )
+    new = {}
+    for name in (f"{s}{g.first + l}" for g in gradients for s in SIDES):
+        scaled = f"({name} / {number(norms[name])})" if norms.get(name, 0.0) > 0 else name
+        new[name] = floored_sql(scaled, 0.0)
+    return replaced(live, new)
 
 
-def _updated_columns(live: DataFrame, gradient: _Gradient, held: list) -> DataFrame:
+def _updated_columns(live: DataFrame, gradients: list[_Gradient], held: list) -> DataFrame:
     """All columns of a way in order; the last way carries the scale and needs no norms."""
-    following = None
-    for l in range(gradient.rank):
-        live = replaced(live, gradient.steps(l))
-        if gradient.last:
+    following, rank, last = None, gradients[0].rank, gradients[0].last
+    for l in range(rank):
+        live = _stepped(live, l, gradients)
+        if last:
             norms = {}
         elif following is not None:
             norms, following = following, None
-        elif l + 1 < gradient.rank:
-            norms, following = _norm_pair(live, l, gradient)
+        elif l + 1 < rank:
+            norms, following = _norm_pair(live, l, gradients)
         else:
-            norms = _column_norms(live, l)
-        live = _floored_column(live, l, norms)
-        if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < gradient.rank:
+            norms = _column_norms(live, l, gradients)
+        live = _floored(live, l, gradients, norms)
+        if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
             live = hold(cut_lineage(live))
             held.append(live)
     return live
 
 
-def update_way(ws: Workspace, state: FitState, cfg: FitConfig, way: int) -> dict | None:
-    rank, ways = cfg.rank, ws.tensor.ways
-    last = way == ways - 1
-    f = {"x": hadamard(state.gx, way), "y": hadamard(state.gy, way)}
-    scale = _signal_scales(ws, state, cfg)
+# Core sums read off the last way: name -> (side, product prefix).
+CORE_SUMS = {
+    "inner_x": ("x", "mx"), "inner_y": ("y", "my"), "gzx": ("x", "mzx"),
+    "gzy": ("y", "mzy"), "gsx": ("x", "msx"), "gsy": ("y", "msy"),
+}
+
+
+def update_way(ws: Workspace, state: FitState, way: int) -> list[dict] | None:
+    """Update one way of all runs; the last way also returns each run's core sums."""
+    rank, width, runs = state.rank, state.width, state.runs
+    last = way == ws.tensor.ways - 1
+    gradients = [_Gradient.of(ws, run, slot, way) for slot, run in enumerate(runs)]
     cells = ws.cells_for(way)
     if last:
-        products = mttkrp(cells, state.factors, rank, way, plan=ws.plan)
+        products = mttkrp(cells, state.factors, width, way, plan=ws.plan)
     else:
         # All signal terms of a side enter linearly, so they are summed as one column.
         def combined(side):
-            return lambda r: (
-                f"{side} + {number(scale[side]['z'][r])} * z{side}"
-                f" + {number(scale[side]['s'][r])} * s"
-            )
+            return lambda c: gradients[c // rank].signal_weight(side, c % rank)
 
         products = mttkrp_weighted(
-            cells, state.factors, rank, way,
+            cells, state.factors, width, way,
             {"mx": ("x", combined("x")), "my": ("y", combined("y"))}, plan=ws.plan,
         )
     source = hold_compact(complete(state.factors[way], products), ws.tensor.dims[way])
     held = [source]
-    gradient = _Gradient(
-        rank,
-        {s: f[s] * scale[s]["quad"][np.newaxis, :] for s in SIDES},
-        scale,
-        {"x": scale["x"]["pull"], "y": -scale["y"]["pull"]},
-        {s: frobenius(f[s], f"Gram product of way {way}") for s in SIDES},
-        state.wx,
-        state.wy,
-        last,
-    )
-    live = _updated_columns(source, gradient, held)
-    core = None
+    live = _updated_columns(source, gradients, held)
+    cores = None
     if last:
-        pairs = {"inner_x": ("x", "mx"), "inner_y": ("y", "my"), "gzx": ("x", "mzx"),
-                 "gzy": ("y", "mzy"), "gsx": ("x", "msx"), "gsy": ("y", "msy")}
         row = only_row(
             live.selectExpr(
-                *gram_aggregates(rank),
+                *block_gram_aggregates(rank, len(runs)),
                 *[
-                    f"sum({side}{r} * {m}{r}) AS {name}_{r}"
-                    for name, (side, m) in pairs.items()
-                    for r in range(rank)
+                    f"sum({side}{c} * {m}{c}) AS {name}_{c}"
+                    for name, (side, m) in CORE_SUMS.items()
+                    for c in range(width)
                 ],
             )
         )
-        core = {name: vector(row, name, rank) for name in pairs}
-        grams = (
-            symmetric_matrix(row, "gx", rank),
-            symmetric_matrix(row, "gy", rank),
-            vector(row, "cross", rank),
-        )
-    factor = cut_lineage(live.select(*factor_columns(rank)))
+        sums = {name: vector(row, name, width) for name in CORE_SUMS}
+        cores = [
+            {name: v[b * rank : (b + 1) * rank] for name, v in sums.items()}
+            for b in range(len(runs))
+        ]
+    factor = cut_lineage(live.select(*factor_columns(width)))
     if not last:
-        grams = refreshed_gram(factor, rank)
+        row = only_row(factor.selectExpr(*block_gram_aggregates(rank, len(runs))))
     for df in held:
         df.unpersist()
     state.factors[way] = factor
-    state.gx[way], state.gy[way], state.cross[way] = grams
-    return core
+    for run, (grams, cross) in zip(runs, block_grams(row, rank, len(runs))):
+        run.gx[way], run.gy[way], run.cross[way] = grams["x"], grams["y"], cross
+    return cores
 
 
 def weight_gradients(state_w, other_w, fx_diag, gz, gs, own, cross, cfg: FitConfig, sign: float):
@@ -238,29 +245,31 @@ def weight_gradients(state_w, other_w, fx_diag, gz, gs, own, cross, cfg: FitConf
     )
 
 
-def update_weights(state: FitState, cfg: FitConfig, core: dict) -> None:
-    fx, fy = hadamard(state.gx), hadamard(state.gy)
-    own_x = sum(np.diag(g) for g in state.gx)
-    own_y = sum(np.diag(g) for g in state.gy)
-    cross = sum(state.cross)
-    dx = weight_gradients(state.wx, state.wy, np.diag(fx), core["gzx"], core["gsx"],
+def update_weights(run: Run, core: dict) -> None:
+    cfg = run.cfg
+    fx, fy = hadamard(run.gx), hadamard(run.gy)
+    own_x = sum(np.diag(g) for g in run.gx)
+    own_y = sum(np.diag(g) for g in run.gy)
+    cross = sum(run.cross)
+    dx = weight_gradients(run.wx, run.wy, np.diag(fx), core["gzx"], core["gsx"],
                           own_x, cross, cfg, -1.0)
-    dy = weight_gradients(state.wy, state.wx, np.diag(fy), core["gzy"], core["gsy"],
+    dy = weight_gradients(run.wy, run.wx, np.diag(fy), core["gzy"], core["gsy"],
                           own_y, cross, cfg, 1.0)
-    new_x = unit_sum(floored(state.zwx - dx / frobenius(fx, "Gram product X")), "X weights")
-    new_y = unit_sum(floored(state.zwy - dy / frobenius(fy, "Gram product Y")), "Y weights")
-    following = next_momentum(state.momentum)
-    push = (state.momentum - 1.0) / following
-    state.zwx = new_x + push * (new_x - state.wx)
-    state.zwy = new_y + push * (new_y - state.wy)
-    state.wx, state.wy, state.momentum = new_x, new_y, following
+    new_x = unit_sum(floored(run.zwx - dx / frobenius(fx, "Gram product X")), "X weights")
+    new_y = unit_sum(floored(run.zwy - dy / frobenius(fy, "Gram product Y")), "Y weights")
+    following = next_momentum(run.momentum)
+    push = (run.momentum - 1.0) / following
+    run.zwx = new_x + push * (new_x - run.wx)
+    run.zwy = new_y + push * (new_y - run.wy)
+    run.wx, run.wy, run.momentum = new_x, new_y, following
 
 
-def pairwise(ws: Workspace, state: FitState, cfg: FitConfig) -> FitState:
-    core = None
+def pairwise(ws: Workspace, state: FitState) -> FitState:
+    cores = None
     for way in range(ws.tensor.ways):
-        core = update_way(ws, state, cfg, way)
-    update_weights(state, cfg, core)
-    state.inner_x = float(math.fsum(core["inner_x"]))
-    state.inner_y = float(math.fsum(core["inner_y"]))
+        cores = update_way(ws, state, way)
+    for run, core in zip(state.runs, cores):
+        update_weights(run, core)
+        run.inner_x = float(math.fsum(core["inner_x"]))
+        run.inner_y = float(math.fsum(core["inner_y"]))
     return state

@@ -7,10 +7,8 @@ so the loop over them lives on the driver while each run is a sequence of Spark
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +16,14 @@ from pairlens.operators.align import subset, with_split
 from pairlens.operators.algebra import reconstruct
 from pairlens.operators.weights import tag, widen_weights
 from pairlens.plans.baseline import baseline
-from pairlens.plans.fit import FitConfig, FitResult, Workspace, fit
+from pairlens.plans.fit import FitConfig, FitResult, Workspace, fit_runs
 from pairlens.plans.pairwise import pairwise
 from pairlens.schema import PairedTensor
 from pairlens.sources.sinks import completed_runs, run_info_table, write_matrix, write_table
 
+# Width limit of jobs shared by several runs, in components.
+COMPONENTS_PER_JOB = 24
+
 METHODS = {"pairwise": pairwise, "baseline": baseline}
 
 # Layout of the final cost table.
@@ -66,29 +67,27 @@ def run_trials(
     case: str = "case",
     ground_truth_k: str | None = None,
     noise: float = 0.0,
-    concurrent: int = 1,
 ) -> TrialTables:
     """Repeat a fit from different start values on one held copy of the cells.
 
-    Trials are independent: up to ``concurrent`` of them submit jobs at the same time, so the
-    short factor jobs of one fill the slots another leaves idle. Each needs its own broadcasts.
+    Trials share their jobs, as many at a time as :data:`COMPONENTS_PER_JOB` allows.
     """
     spark = tensor.cells.sparkSession
     truth = ground_truth_k or case
-    workspace = Workspace.prepare(tensor, cfg)
+    together = max(1, min(trials, COMPONENTS_PER_JOB // cfg.rank))
+    workspace = Workspace.prepare(tensor, cfg, together)
     costs, weights, logs, infos = [], [], [], []
     tags = {
         "ground_truth_k": truth, "k": case, "noise": float(noise), "alpha": cfg.alpha,
         "beta": cfg.beta, "delta": cfg.delta, "gamma": cfg.gamma, "distance": cfg.distance,
     }
 
-    @inheritable_thread_target
-    def one(t: int) -> FitResult:
-        return fit(tensor, METHODS[method], replace(cfg, seed=cfg.seed + t), workspace=workspace)
-
+    results = []
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(concurrent, trials))) as pool:
-            results = list(pool.map(one, range(trials)))
+        for first in range(0, trials, together):
+            batch = range(first, min(first + together, trials))
+            cfgs = [replace(cfg, seed=cfg.seed + t) for t in batch]
+            results += fit_runs(tensor, METHODS[method], cfgs, workspace=workspace)
     finally:
         workspace.release()
     for t, result in enumerate(results):
@@ -137,7 +136,6 @@ def run_sweep(
     noise: float = 0.01,
     fmt: str = "parquet",
     save_factors: bool = False,
-    concurrent: int = 1,
     **config: object,
 ) -> DataFrame:
     """Fit every pending run of ``grid`` (columns :data:`RUN_KEYS`) and append its tables.
@@ -163,9 +161,7 @@ def run_sweep(
             distance=run.distance, train_proportion=run.train_proportion, max_iter=max_iter,
             **config,
         )
-        tables = run_trials(
-            train, cfg, run.method, trials, case, noise=noise, concurrent=concurrent
-        )
+        tables = run_trials(train, cfg, run.method, trials, case, noise=noise)
         named = {k: v for k, v in keys.items() if k in ("method", "seed", "rank")}
         write_table(
             tag(tables.weights, train_proportion=cfg.train_proportion, **named),

@@ -13,7 +13,7 @@ from pairlens.operators.align import signals, with_split
 from pairlens.operators.gather import gather
 from pairlens.operators.weights import normalize_weights, widen_weights
 from pairlens.plans.baseline import baseline
-from pairlens.plans.fit import FitConfig, Workspace, fit
+from pairlens.plans.fit import FitConfig, Workspace, fit, fit_runs
 from pairlens.plans.pairwise import pairwise
 from pairlens.plans.sweep import (
     RUN_KEY_SCHEMA,
@@ -110,7 +110,7 @@ def test_four_ways_and_more_components_than_one_plan_holds(spark, monkeypatch):
 def test_stop_rules_and_user_start(spark, event3):
     calls = []
     loose = fit(event3, baseline, FitConfig(rank=1, max_iter=5, tolerance=10.0, distance=1, alpha=1e-4),
-                on_iteration=lambda i, s, c: calls.append(i))
+                on_iteration=lambda i, s: calls.append(i))
     assert len(loose.log) == 2 and calls == [1, 2]  # the first change is against 1e10
     assert len(fit(event3, baseline, FitConfig(rank=1, max_iter=5, max_time=0.0, distance=1)).log) == 1
     init = al.init_factors(spark, event3.dims, 2, 1)
@@ -187,11 +187,33 @@ def test_trials_tables(event3):
     assert "norm_X" in tables.info.first().final
 
 
-def test_concurrent_trials_give_the_same_costs(event3):
-    cfg = FitConfig(rank=2, max_iter=2)
-    one, many = (run_trials(event3, cfg, "pairwise", 3, concurrent=c) for c in (1, 3))
-    assert [r.config.seed for r in many.results] == [1, 2, 3]
-    assert np.allclose([r.cost for r in one.results], [r.cost for r in many.results], atol=1e-10)
+@pytest.mark.parametrize("step,extra", [(pairwise, {}), (baseline, {"alpha": 1e-4, "beta": 1e-4})])
+def test_runs_fitted_together_equal_runs_fitted_alone(event3, step, extra):
+    """Different seeds, parameters and lengths in shared jobs; each as if it were alone."""
+    cfgs = [
+        FitConfig(rank=3, max_iter=3, seed=1, distance=2, **extra),
+        FitConfig(rank=3, max_iter=1, seed=2, distance=1, **extra),
+        FitConfig(rank=3, max_iter=2, seed=3, distance=2, gamma=0.5, **extra),
+    ]
+    together = fit_runs(event3, step, cfgs)
+    for cfg, shared in zip(cfgs, together):
+        alone = fit(event3, step, cfg)
+        assert shared.config is cfg and len(shared.log) == cfg.max_iter
+        assert np.allclose([r[2] for r in shared.log], [r[2] for r in alone.log], atol=1e-10)
+        assert np.allclose(shared.weights_x, alone.weights_x, atol=1e-9)
+        for a, b in zip(shared.factors, alone.factors):
+            assert np.allclose(matrix(a, "y", 3), matrix(b, "y", 3), rtol=1e-8, atol=1e-8)
+
+
+def test_trial_batches(event3, monkeypatch):
+    from pairlens.plans import sweep
+
+    cfg = FitConfig(rank=2, max_iter=1)
+    wide = run_trials(event3, cfg, "pairwise", 3)
+    monkeypatch.setattr(sweep, "COMPONENTS_PER_JOB", 4)
+    narrow = run_trials(event3, cfg, "pairwise", 3)
+    assert [r.config.seed for r in narrow.results] == [1, 2, 3]
+    assert np.allclose([r.cost for r in wide.results], [r.cost for r in narrow.results], atol=1e-10)
 
 
 def test_sweep_resumes(spark, event3, tmp_path):
