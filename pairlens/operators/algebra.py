@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.columns import init_value, uniform_value
 from pairlens.operators.gather import JoinPlan, component_products, gather, plan_joins
-from pairlens.schema import SIDES, SIGNALS, PairedTensor, factor_columns, factor_names
+from pairlens.schema import SIDES, SIGNALS, PairedTensor, factor_names
 from pairlens.session import partitions_for
 
 # (output prefix, signal, side of the factors it is multiplied with)
@@ -394,10 +394,3 @@ def joint_cost(residual_x: float, residual_y: float, norm_x: float, norm_y: floa
     return (
         math.sqrt(max(residual_x, 0.0)) / norm_x + math.sqrt(max(residual_y, 0.0)) / norm_y
     ) / 2.0
-
-
-def factor_schema(rank: int, dim: int) -> str:
-    kind = "INT" if dim <= INT_MAX else "BIGINT"
-    return ", ".join(
-        f"{n} {kind if n == 'idx' else 'DOUBLE'}" for n in factor_columns(rank)
-    )

@@ -7,7 +7,6 @@ weights   side, r, w                      one row per side and component
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -54,9 +53,3 @@ def dims_of(cells: DataFrame, ways: int) -> tuple[int, ...]:
     if row is None or any(v is None for v in row):
         raise ValueError("dims_of needs at least one cell")
     return tuple(int(v) + 1 for v in row)
-
-
-def require_coords(df: DataFrame, coords: Sequence[str]) -> None:
-    missing = [c for c in coords if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing coordinate columns {missing}")

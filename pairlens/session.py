@@ -57,7 +57,3 @@ def only_row(df: DataFrame):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def positive_sqrt(value: float) -> float:
-    return math.sqrt(max(value, 0.0))
