@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairlens.llm import mixing, url_rules
+from pairlens.llm import mixing, packing, url_rules
 
 
 def queries():
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_pack": packing.op7_pack,
         "op10_url_rules": url_rules.op10_url_rules,
     }
 
