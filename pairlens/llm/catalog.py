@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairlens.llm import mixing, packing, url_rules
+from pairlens.llm import mixing, packing, toxicity, url_rules
 
 
 def queries():
     return {
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_pack": packing.op7_pack,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_url_rules": url_rules.op10_url_rules,
     }
 
