@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlens.llm import mixing, order_minhash, packing, toxicity, url_rules
+from pairlens.llm import line_edits, mixing, order_minhash, packing, toxicity, url_rules
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_pack": packing.op7_pack,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_line_edits": line_edits.op9_line_edits,
         "op10_url_rules": url_rules.op10_url_rules,
     }
 
