@@ -13,6 +13,7 @@ best-fit decreasing, not one per partition.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Mapping
 
@@ -28,7 +29,11 @@ CAPACITY = 2048
 #: Id that ends every document.
 END_ID = 0
 #: Words whose ids a worker remembers; past that it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+#: Unknown words encoded in one call.
+JOINED_WORDS = 500
+#: A full stop or comma between an ASCII letter and white space is an id run of its own.
+_CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 def default_tokenizer() -> str:
@@ -37,6 +42,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokens:
     """Ids of texts, encoding each distinct word once.
 
@@ -49,23 +67,43 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word. Many words go into one call, with a special token between them."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark is None:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, np.uint32) for e in found]
+        marked = [k for k, t in enumerate(texts) if self.mark in t]
+        alone = {k: self.tokenizer.encode(texts[k], add_special_tokens=False).ids for k in marked}
+        for k in marked:
+            texts[k] = ""
+        mark = f" {self.mark} "
+        joined = [mark.join(texts[k : k + JOINED_WORDS]) + mark for k in range(0, len(texts), JOINED_WORDS)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        cuts = np.flatnonzero(flat == self.mark_id)
+        parts = [flat[a + 1 : b] for a, b in zip([-1, *cuts[:-1].tolist()], cuts.tolist())]
+        for k, ids in alone.items():
+            parts[k] = np.array(ids, np.uint32)
+        return parts
+
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
-        ids = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        first, n = len(self.index), len(words)
+        parts = self._encode_words(words)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.concatenate(parts)
+        n = len(words)
+        first = len(self.index) - n
         while first + n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
@@ -75,12 +113,23 @@ class WordTokens:
         self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.length[first : first + n] = lengths
         self.used += len(flat)
-        self.index.update(zip(words, range(first, first + n)))
+
+    @staticmethod
+    def _plain(text: bytes) -> bytes:
+        """The text in a form with the same ids and fewer distinct words.
+
+        The vocabulary lower-cases, so ASCII letters can be lower-cased first, unless a combining
+        mark (lead bytes CC and CD) could join them before.
+        """
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return _CLOSING.sub(rb" \1", text)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
         if len(self.index) > CACHED_WORDS:
             self._clear()
+        texts = [self._plain(t) for t in texts]
         words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -89,10 +138,10 @@ class WordTokens:
             words += own
         if not words:
             return np.zeros(0, np.uint32), counts
-        unknown = set(words).difference(self.index)
-        if unknown:
-            self._learn(list(unknown))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         length = self.length[at]
         ends = np.cumsum(length)
         source = np.repeat(self.start[at] - (ends - length), length) + np.arange(ends[-1])
