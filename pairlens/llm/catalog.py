@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairlens.llm import line_edits, mixing, order_minhash, packing, toxicity, url_rules
+from pairlens.llm import line_edits, mixing, order_minhash, packing, recompression, toxicity, url_rules
 
 
 def queries():
     return {
         "op1_order_minhash": order_minhash.op1_order_minhash,
+        "op2_recompression": recompression.op2_recompression,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_pack": packing.op7_pack,
         "op8_toxicity": toxicity.op8_toxicity,

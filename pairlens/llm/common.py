@@ -25,18 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Makes Spark delete an execution's shuffle files at its end instead of at some garbage collection.
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Up to this many ids are sent to the other side of a join; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared checkpoint folder and read again.
 
     Cuts lineage like ``checkpoint()`` but keeps columns compressed, which matters for tables
-    that grow with the corpus. Lost executors re-read the files.
+    that grow with the corpus, and frees the shuffles that made them. Lost executors re-read the
+    files.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY, None)
+    spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_KEY)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """One stored column of ids, marked for broadcast only if they are counted and few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

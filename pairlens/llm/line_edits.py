@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, stored, table
+from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, listed, stored, table
 
 THRESHOLD = 2
 #: Shorter lines are matched exactly only: with two edits they are often other lines.
@@ -30,8 +30,6 @@ SMALL_BUCKET = 64
 #: Rounds of splitting; what is then still together agrees in nearly all characters and is
 #: expanded into pairs.
 ROUNDS = 8
-#: Candidate lines below this many bytes of hashes are sent to the lines; more are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 _LINES_PER_DOC = 1 << 31
 
 
@@ -153,15 +151,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(gap) <= threshold, reached.bitwiseAND(bit) != 0).otherwise(F.lit(False))
 
 
-def _listed(ids: DataFrame) -> DataFrame:
-    """``ids`` (stored) marked for broadcast only if all of its hashes are known to be few."""
-    return F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, pos_a, pos_b, ok) for pairs of line hashes."""
     ids = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = stored(lines.join(_listed(ids), "h", "left_semi").select("h", "pos", "line"))
+    texts = stored(lines.join(listed(ids), "h", "left_semi").select("h", "pos", "line"))
     return (
         pairs.join(texts.toDF("a", "pos_a", "line_a"), "a")
         .join(texts.toDF("b", "pos_b", "line_b"), "b")
@@ -217,7 +210,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if again.isEmpty():
             break
         hot = stored(met.join(again.select("key"), "key", "left_semi").select("h").distinct())
-        lengthy = active.join(_listed(hot), "h", "left_semi")
+        lengthy = active.join(listed(hot), "h", "left_semi")
         active = stored(
             probes(lengthy, "rest", "base", threshold)
             .join(again, "key").where("h <> hub")

@@ -7,10 +7,11 @@ functions of their own are taken; at similarity 0.8 two documents miss all of th
 probability below one in a million.
 
 Equal texts are one vertex. Documents that agree on a sketch form a bucket. Small buckets are
-compared pairwise; in large ones every member is compared with the bucket's hub. Where some member
-of a large bucket turns out not to be like the hub, the bucket's members are dealt again by that
-sketch and the next one, and so on: unlike members part quickly, like ones meet again under
-another hub. So work stays in proportion to the input without a cap on bucket or class size.
+compared pairwise; in large ones every member is compared with the bucket's hub. While a large
+bucket holds members of several classes, they are dealt again by that sketch and the next one, and
+a member of the smallest class is the next hub: unlike members part quickly, and a member that
+missed the hub meets the others. So work stays in proportion to the input without a cap on
+bucket or class size.
 
 A candidate pair is verified by aligning the two sequences of k-mers inside the band that the
 similarity allows, with bit-parallel rows. Similarity is matched k-mers over all of both, i.e.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import class_labels, list_array, map_batches, stored, table, text_slices
+from pairlens.llm.common import class_labels, list_array, listed, map_batches, stored, table, text_slices
 from pairlens.llm.hashing import RangeHash, WordHashes, mix64, words_of
 
 K, SIMILARITY = 5, 0.8
@@ -170,8 +171,8 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(a, b, ok) for candidate pairs of doc ids."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = stored(docs.select("doc_id", "text").join(listed(ids), "doc_id", "left_semi"))
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batch):
@@ -190,52 +191,66 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long, ok boolean")
 
 
-def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs (a, b) that connect every class of ``vertices`` (rep, sketches)."""
-    found = []
-    tested = None
+def _ranked(weight, rep="rep"):
+    """A long that orders by ``weight`` and then by a hash of the id."""
+    return weight * F.lit(1 << 42) + F.xxhash64(rep).bitwiseAND(F.lit((1 << 42) - 1))
+
+
+def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(verified pairs (a, b), labels) that connect every class of (rep, copies, sketches)."""
+    found = tested = None
+    copies = F.least("copies", F.lit(1 << 20))
     active = vertices.select(
-        F.col("rep"), F.posexplode("sketches").alias("band", "key"), "sketches"
-    ).select("rep", "band", "key")
+        "rep", F.col("rep").alias("label"), _ranked(copies).alias("weight"), F.posexplode("sketches").alias("band", "key")
+    )
     for level in range(SKETCHES):
+        # The hub of a bucket is its most copied text, later a text of the smallest class.
+        hub = F.max_by("rep", "weight").alias("hub"), F.max_by("label", "weight").alias("hub_label")
         buckets = stored(
-            active.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"))
-            .where("size > 1")
+            active.groupBy("band", "key")
+            .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *hub)
+            .where("low < high").drop("low", "high")
         )
-        members = active.join(buckets, ["band", "key"])
-        left = members.where(F.col("size") <= SMALL_BUCKET).select("band", "key", F.col("rep").alias("a"))
-        right = left.withColumnRenamed("a", "b")
-        pairs = (
-            members.where((F.col("size") > SMALL_BUCKET) & (F.col("rep") != F.col("hub")))
-            .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-            .union(left.join(right, ["band", "key"]).where("a < b").select("a", "b"))
-            .distinct()
+        expand = F.col("size") <= SMALL_BUCKET if level < SKETCHES - 1 else F.lit(True)
+        left = active.join(buckets.where(expand).select("band", "key"), ["band", "key"]).select(
+            "band", "key", F.col("rep").alias("a"), F.col("label").alias("label_a")
         )
+        right = left.withColumnsRenamed({"a": "b", "label_a": "label_b"})
+        within = left.join(right, ["band", "key"]).where("a < b and label_a <> label_b").select("a", "b")
+        large = active.join(buckets.where(~expand), ["band", "key"]).where("label <> hub_label")
+        pairs = large.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        pairs = pairs.union(within).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = stored(verify(stored(pairs), docs, similarity))
-        found.append(checked.where("ok").select("a", "b"))
         tested = checked if tested is None else stored(tested.unionByName(checked))
-        # Large buckets with an unlike member are dealt again, all but their hub.
-        large = buckets.where(F.col("size") > SMALL_BUCKET)
-        unlike = stored(
-            active.join(large, ["band", "key"])
-            .join(tested.where("not ok").select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"])
-            .select("band", "key", "hub").distinct()
+        found = tested.where("ok").select("a", "b")
+        labels = class_labels(found)
+        if level == SKETCHES - 1:
+            break
+        # Members of large buckets other than the hub are dealt again, unless all are in one class.
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+        known = stored(labels.join(sizes, "label").withColumnRenamed("id", "rep"))
+        again = (
+            active.select("rep", "band", "key").join(buckets.where(~expand).select("band", "key", "hub"), ["band", "key"])
+            .join(known, "rep", "left")
+            .select(
+                "rep", "band", "key", "hub", F.coalesce("label", "rep").alias("label"),
+                _ranked(-F.coalesce("members", F.lit(1))).alias("weight"),
+            )
         )
-        if unlike.isEmpty():
+        again = stored(again)
+        mixed = again.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = stored(mixed.where("low < high").select("band", "key"))
+        if mixed.isEmpty():
             break
-        again = active.join(unlike, ["band", "key"]).where(F.col("rep") != F.col("hub"))
         nth = F.pmod(F.col("band") + F.lit(level + 1), F.lit(SKETCHES))
         active = stored(
-            again.join(vertices.select("rep", "sketches"), "rep").select(
-                "rep", "band", F.xxhash64("key", F.get("sketches", nth)).alias("key")
-            )
+            again.join(mixed, ["band", "key"]).where("rep <> hub")
+            .join(vertices.select("rep", "sketches"), "rep")
+            .select("rep", "label", "weight", "band", F.xxhash64("key", F.get("sketches", nth)).alias("key"))
         )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    return found, labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -251,11 +266,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sketched = stored(sketch_documents(texts))
     first = F.min_by(F.struct("n", "sketches"), "doc_id").alias("first")
     groups = stored(
-        sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), first)
-        .select("h1", "h2", "rep", "first.sketches")
+        sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first)
+        .select("h1", "h2", "rep", "copies", "first.sketches")
     )
-    vertices = groups.where("rep is not null").select("rep", "sketches")
-    labels = class_labels(links(vertices, texts, similarity))
+    vertices = groups.where("rep is not null").select("rep", "copies", "sketches")
+    _, labels = links(vertices, texts, similarity)
     classes = groups.select("h1", "h2", "rep").join(
         labels.select(F.col("id").alias("rep"), "label"), "rep", "left"
     )
