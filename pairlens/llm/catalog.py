@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlens.llm import line_edits, mixing, order_minhash, packing, recompression, syncmers, toxicity, url_rules
+from pairlens.llm import learned_partitions, line_edits, mixing, order_minhash, packing, recompression, syncmers, toxicity, url_rules
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_order_minhash": order_minhash.op1_order_minhash,
         "op2_recompression": recompression.op2_recompression,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_learned_partitions": learned_partitions.op5_learned_partitions,
         "op6_syncmers": syncmers.op6_syncmers,
         "op7_pack": packing.op7_pack,
         "op8_toxicity": toxicity.op8_toxicity,
