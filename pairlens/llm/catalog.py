@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairlens.llm import learned_partitions, line_edits, mixing, order_minhash, packing, recompression, syncmers, toxicity, url_rules
+from pairlens.llm import learned_partitions, line_edits, mixing, order_minhash, packing, recompression, resampling, syncmers, toxicity, url_rules
 
 
 def queries():
     return {
         "op1_order_minhash": order_minhash.op1_order_minhash,
         "op2_recompression": recompression.op2_recompression,
+        "op3_importance_resampling": resampling.op3_importance_resampling,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_learned_partitions": learned_partitions.op5_learned_partitions,
         "op6_syncmers": syncmers.op6_syncmers,
