@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.session import cut_lineage, ensure_checkpoint_dir
+from pairlens.session import ensure_checkpoint_dir
 
 #: Words are runs of anything but these bytes (all ASCII, so they cannot split a UTF-8 sequence).
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -128,13 +128,13 @@ def class_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     so the distance left halves; it ends when no label changes. Minima are aggregates with
     map-side combining and joins are plain equi-joins, so a hub is never gathered in one task.
     """
-    both = cut_lineage(
+    both = stored(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .union(edges.select(F.col(b), F.col(a)))
         .where("u <> v")
         .distinct()
     )
-    labels = cut_lineage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "id"))
+    labels = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "id"))
     while True:
         near = (
             both.join(labels.select(F.col("id").alias("v"), "label"), "v")
@@ -142,11 +142,11 @@ def class_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .agg(F.min("label").alias("near"))
             .withColumnRenamed("u", "id")
         )
-        step = labels.join(near, "id").select(
+        step = near.join(labels, "id").select(
             "id", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = cut_lineage(
+        new = stored(
             step.join(jump, "label", "left").select(
                 "id", "old", F.least("label", F.coalesce("far", "label")).alias("label")
             )

@@ -184,7 +184,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _grouped(router, rows: DataFrame, sent: int, counts: np.ndarray | None = None) -> DataFrame:
-    """(part, vec_id, vector): each row once per part it is sent to, the most probable ones.
+    """(part, nth, vec_id, vector): each row once per part it is sent to, the nth most probable.
 
     With the parts' row counts, rows are sent to further parts until those hold more rows than are
     asked for.
@@ -200,12 +200,12 @@ def _grouped(router, rows: DataFrame, sent: int, counts: np.ndarray | None = Non
             use = use | (np.cumsum(counts[order], axis=1) - counts[order] <= NEIGHBOURS)
         row, place = np.nonzero(use)
         yield {
-            "part": order[row, place].astype(np.int32),
+            "part": order[row, place].astype(np.int32), "nth": place.astype(np.int32),
             "vec_id": batch.column("vec_id").take(pa.array(row)),
             "vector": batch.column("vector").take(pa.array(row)),
         }
 
-    return map_batches(rows.select("vec_id", "vector"), run, "part int, vec_id long, vector array<double>")
+    return map_batches(rows.select("vec_id", "vector"), run, "part int, nth int, vec_id long, vector array<double>")
 
 
 def _rerank(k: int):
@@ -216,10 +216,12 @@ def _rerank(k: int):
             q = _matrix(queries.column("vector").combine_chunks(), dim)
             d = _matrix(rows.column("vector").combine_chunks(), dim)
             qid, did = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
+            asked = queries.column("least").combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
             for lo in range(0, len(q), 256):
                 scores = q[lo : lo + 256] @ d.T
                 scores[qid[lo : lo + 256, None] == did[None, :]] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                least = np.maximum(least, asked[lo : lo + 256])
                 # The product's last bits depend on where a row stands: near ties are summed again.
                 slack = 1e-9 * np.maximum(np.abs(least), 1)
                 row, col = np.nonzero((scores >= (least - np.nan_to_num(slack, posinf=0))[:, None]) & (scores > -np.inf))
@@ -270,17 +272,25 @@ def search(
         """Blocks of every part, at most 2**depth numbers."""
         return F.element_at(F.array(*[F.lit(int(max(1, -(-x // BLOCK)))) for x in n]), F.col("part") + 1)
 
-    def dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, names: tuple[str, str]) -> DataFrame:
+    def dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, names: tuple[str, str], *more: str) -> DataFrame:
         """Rows in one block of their side, and once for every block of the other side."""
         mine = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), blocks(own)).cast("int").alias(names[0])
-        return df.select("part", mine, F.explode(F.sequence(F.lit(1), blocks(other))).alias(names[1]), "vec_id", "vector")
+        others = F.explode(F.sequence(F.lit(0), blocks(other) - 1)).alias(names[1])
+        return df.select("part", mine, others, "vec_id", "vector", *more)
 
-    left = dealt(sent, asking, counts, ("q", "b")).withColumn("b", F.col("b") - 1)
-    right = dealt(indexed, counts, asking, ("b", "q")).withColumn("q", F.col("q") - 1)
     keys = ["part", "q", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _rerank(k), "query_id long, vec_id long, score double"
-    )
+    right = dealt(indexed, counts, asking, ("b", "q"))
+
+    def reranked(some: DataFrame) -> DataFrame:
+        left = dealt(some, asking, counts, ("q", "b"), "least").groupBy(*keys)
+        return left.cogroup(right.groupBy(*keys)).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+
+    # The most probable part comes first: what the others have below its k-th score is not sent on.
+    first = stored(reranked(sent.where("nth = 0").withColumn("least", F.lit(None).cast("double"))))
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("rank", F.row_number().over(own)).where(F.col("rank") == k)
+    kth = kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    found = first.unionByName(reranked(sent.where("nth > 0").join(kth, "vec_id", "left")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"

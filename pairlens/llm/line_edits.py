@@ -6,10 +6,10 @@ of the shorter one occurs unchanged in the longer one, at a place that the lengt
 of the segment bound. Segments are indexed by (l, number, content), and every line probes the
 lengths l, l-1, .. l-threshold with the few substrings that can matter.
 
-A segment that many lines share is not expanded into pairs. Its lines are compared with one hub;
-where some are unlike the hub, all but the hub are split again: the shared segment is cut out, and
-what is left of both lines, still within the threshold, is segmented under the old key. Each round
-needs a third more of the lines to agree, so unlike lines part and like lines meet another hub.
+A segment that many lines share is not expanded into pairs. Its lines are compared with one hub, and
+those not yet in one class are dealt again by a second necessary condition: of the characters of two
+lines within the threshold, split into groups by a hash, some group is the same. What is still
+together after that is joined in pairs of different classes and about equal length.
 
 Candidates are verified by a bit-parallel automaton over the band of diagonals that the threshold
 allows: one short mask per number of edits, moved on by every character.
@@ -27,9 +27,12 @@ THRESHOLD = 2
 LEAST_CHARS = 20
 #: Largest product of index and probe lines of a segment that is expanded into pairs.
 SMALL_BUCKET = 64
-#: Rounds of splitting; what is then still together agrees in nearly all characters and is
-#: expanded into pairs.
-ROUNDS = 8
+#: So many (ordered) pairs of different classes per matched row are expanded even from large ones.
+PAIRS_PER_ROW = 2
+#: Rounds after the first hub; the last one joins pairs of different classes.
+ROUNDS = 1
+#: Parts per segment in the filter before verification.
+FILTER_PARTS = 4
 _LINES_PER_DOC = 1 << 31
 
 
@@ -50,54 +53,44 @@ def line_key() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2")]
 
 
-def _cut(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """(start, size) of a segment of an even split; the last segments take the remainder."""
-    size = F.floor(length / parts).cast("int")
-    short = parts - length % parts
-    return (
-        (size * number + F.greatest(number - short, F.lit(0))).cast("int"),
-        size + F.when(number >= short, 1).otherwise(0),
-    )
+def probe_places(threshold: int, index_only: bool) -> list[tuple[int, int, int]]:
+    """(characters fewer, segment, shift) of every probe; those with no shift and none fewer are
+    the index."""
+    out = []
+    for fewer in range(1 if index_only else threshold + 1):
+        for number in range(threshold + 1):
+            low = max(-number, fewer - (threshold - number))
+            high = min(number, fewer + (threshold - number))
+            out += [(fewer, number, shift) for shift in ([0] if index_only else range(low, high + 1))]
+    return out
 
 
-def probes(rows: DataFrame, rest: str, base: str, threshold: int) -> DataFrame:
-    """``rows`` times their probes: (.., key, own, left).
+def probes(rows: DataFrame, threshold: int, index_only: bool = False) -> DataFrame:
+    """(h, key, own) of every probe of ``rows`` (h, line, n), n the line's characters.
 
-    ``own`` marks the probes that are also the line's index entries; ``left`` is ``rest`` without
-    the segment. ``base`` is the key that the lines already share.
+    ``own`` marks the probes that are also the line's index entries. Lines need more characters than
+    the threshold.
+
+    The places are exploded first and each row then computes one key: one expression with all keys
+    would make a method too long for the JVM to compile.
     """
-    s, n = F.col(rest), F.length(F.col(rest))
     parts = threshold + 1
-    found = []
-    for fewer in range(threshold + 1):
-        for number in range(parts):
-            low = max(-number, fewer - (threshold - number))
-            high = min(number, fewer + (threshold - number))
-            for shift in range(low, high + 1):
-                length = n - fewer
-                start, size = _cut(length, number, parts)
-                at = start + shift
-                part = F.struct(
-                    F.xxhash64(F.col(base), length, F.lit(number), s.substr(at + 1, size)).alias("key"),
-                    F.lit(fewer == 0 and shift == 0).alias("own"),
-                    at.alias("at"), size.alias("size"),
-                )
-                fits = (length >= parts) & (at >= 0) & (at + size <= n)
-                found.append(F.when(fits, part))
-    # Rests too short for the segments, and what is within the threshold of one, share one key.
-    short = F.struct(
-        F.xxhash64(F.col(base), F.lit(-1)).alias("key"), (n <= threshold).alias("own"),
-        F.lit(0).alias("at"), F.lit(0).alias("size"),
-    )
-    found.append(F.when(n <= 2 * threshold, short))
-    return rows.select("*", F.explode(F.array(*found)).alias("_p")).where("_p is not null").select(
-        *rows.columns, "_p.key", "_p.own", "_p.at", "_p.size"
+    places = F.array(*[
+        F.struct(F.lit(f).alias("fewer"), F.lit(k).alias("number"), F.lit(d).alias("shift"))
+        for f, k, d in probe_places(threshold, index_only)
+    ])
+    n, number = F.col("n"), F.col("number")
+    whole = F.floor((n - F.col("fewer")) / parts).cast("int")
+    short = parts - (n - F.col("fewer")) % parts  # the segments after these take one more
+    placed = rows.select("h", "line", "n", F.inline(places)).select(
+        "*",
+        (whole * number + F.greatest(number - short, F.lit(0)) + F.col("shift")).cast("int").alias("at"),
+        (whole + F.when(number >= short, 1).otherwise(0)).cast("int").alias("size"),
+        ((F.col("fewer") == 0) & (F.col("shift") == 0)).alias("own"),
     )
-
-
-def without_segment(rest: str) -> Column:
-    s = F.col(rest)
-    return F.concat(s.substr(F.lit(1), F.col("at")), s.substr(F.col("at") + F.col("size") + 1, F.length(s)))
+    fits = (n - F.col("fewer") >= parts) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= n)
+    segment = F.col("line").substr(F.col("at") + 1, F.col("size"))
+    return placed.where(fits).select("h", F.xxhash64(n - F.col("fewer"), number, segment).alias("key"), "own")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -108,7 +101,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
 
     def masks(state):
         return [F.shiftright(state, e * width).bitwiseAND(full) for e in range(threshold + 1)]
@@ -126,7 +118,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             out.append(r.bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(full)))
         return out
 
-    def step(state, j):
+    def step(x, y, state, j):
         same = F.lit(0).cast("long")
         for t in range(width):
             here = F.get(x, j + (t - threshold)) == F.get(y, j)
@@ -141,82 +133,166 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     for _ in range(threshold):
         start.append((1 << threshold) | (start[-1] << 1) & full)
     begun = sum(m << (e * width) for e, m in enumerate(start))
-    last = F.aggregate(
-        F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>")),
-        F.lit(begun).cast("long"), step,
-    )
+    steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
+    # The lambda binds both arrays of characters, which would else be split anew at every step.
+    both = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
+    last = F.transform(
+        both,
+        lambda p: F.aggregate(steps, F.lit(begun).cast("long"), lambda state, j: step(p["x"], p["y"], state, j)),
+    )[0]
     gap = F.length(a) - F.length(b)
     reached = F.shiftright(last, threshold * width).bitwiseAND(full)
     bit = F.element_at(F.array(*[F.lit(1 << t) for t in range(width)]), gap + threshold + 1)
     return F.when(F.abs(gap) <= threshold, reached.bitwiseAND(bit) != 0).otherwise(F.lit(False))
 
 
+def plausible(a: Column, b: Column, n: Column, threshold: int) -> Column:
+    """False where too few of many even parts of ``a`` (n characters) occur near their place in
+    ``b``: every edit spoils one part and moves the others by one place at most."""
+    parts = FILTER_PARTS * (threshold + 1)
+    size = F.floor(n / parts).cast("int")
+    kept = F.lit(0)
+    for k in range(parts):
+        at = size * k
+        low = F.greatest(at - threshold, F.lit(0))
+        near = b.substr(low + 1, at - low + size + threshold)
+        kept = kept + F.when(F.contains(near, a.substr(at + 1, size)), 1).otherwise(0)
+    return (n < parts) | (kept >= parts - threshold)
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, pos_a, pos_b, ok) for pairs of line hashes."""
     ids = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = stored(lines.join(listed(ids), "h", "left_semi").select("h", "pos", "line"))
-    return (
+    a, b = F.col("line_a"), F.col("line_b")
+    joined = (
         pairs.join(texts.toDF("a", "pos_a", "line_a"), "a")
         .join(texts.toDF("b", "pos_b", "line_b"), "b")
-        .select("a", "b", "pos_a", "pos_b", within(F.col("line_a"), F.col("line_b"), threshold).alias("ok"))
+        .withColumn("n_a", F.length("line_a"))
+        .withColumn("maybe", plausible(a, b, F.col("n_a"), threshold))
     )
+    ok = F.when(F.col("maybe"), within(a, b, threshold)).otherwise(F.lit(False))
+    return joined.select("a", "b", "pos_a", "pos_b", ok.alias("ok"))
+
+
+def character_groups(line: Column, threshold: int) -> Column:
+    """Hashes of the sorted characters of ``line`` in each of 2 * threshold + 1 groups.
+
+    An edit adds or takes two characters at most, so lines within the threshold agree in a group.
+    """
+    groups = 2 * threshold + 1
+
+    def group(chars: Column, g: int) -> Column:
+        own = F.filter(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(groups)) == g)
+        return F.xxhash64(F.lit(g), F.array_sort(own))
 
+    # The lambda binds the characters, which would else be split anew for every group.
+    return F.transform(
+        F.array(F.split(line, "")), lambda chars: F.array(*[group(chars, g) for g in range(groups)])
+    )[0]
 
-def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Verified links (pos_a, pos_b) connecting lines (pos, h, line) within the threshold."""
+
+def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(verified links (pos_a, pos_b), class labels) of lines (pos, h, line)."""
     fuzzy = lines.where(F.length("line") >= max(LEAST_CHARS, threshold + 1)).select(
-        "h", F.col("line").alias("rest"), F.lit(0).cast("long").alias("base")
+        "h", "line", F.length("line").alias("n")
     )
-    found, tested, active = None, None, fuzzy
-    for level in range(ROUNDS):
-        rows = probes(active, "rest", "base", threshold)
-        index = (
-            rows.where("own").groupBy("key").agg(F.count(F.lit(1)).alias("indexed"), F.min("h").alias("hub"))
-        )
-        keep = ["key", "h", "own"]
-        # Every line meets its own index entries; a key matters if some other line meets it.
-        met = stored(
-            rows.select(*keep).join(index, "key").where("indexed > 1 or hub <> h").distinct()
-        )
-        sizes = stored(
-            met.where("indexed > 1").groupBy("key", "indexed").agg(F.count(F.lit(1)).alias("probing"))
+    index = probes(fuzzy, threshold, index_only=True).groupBy("key").agg(
+        F.count(F.lit(1)).alias("indexed"), F.min("h").alias("hub")
+    )
+    # Every line meets its own index entries; a segment matters if some other line meets it.
+    met = stored(
+        probes(fuzzy, threshold).join(index, "key").where("indexed > 1 or hub <> h")
+        .select("key", "h", "own", "indexed", "hub").distinct()
+    )
+    sizes = met.where("indexed > 1").groupBy("key", "indexed").agg(F.count(F.lit(1)).alias("probing"))
+    sizes = stored(sizes.withColumn("product", F.col("indexed") * F.col("probing")))
+    rows = met.count()
+    large_keys, small_keys = _split(sizes, rows)
+    members = met.where("indexed > 1")
+    small = members.join(small_keys, "key", "left_semi")
+    pairs = (
+        met.where("hub <> h").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+        .union(
+            small.where("own").select("key", F.col("h").alias("a"))
+            .join(small.select("key", F.col("h").alias("b")), "key").select("a", "b")
         )
-        product = F.col("indexed") * F.col("probing")
-        if level == ROUNDS - 1:
-            product = F.lit(0)
-        small = met.where("indexed > 1").join(
-            sizes.where(product <= SMALL_BUCKET).select("key"), "key", "left_semi"
+    )
+    tested = stored(_verified(_new_pairs(pairs, None), lines, threshold))
+    labels = class_labels(tested.where("ok"), "pos_a", "pos_b")
+    if large_keys is None:
+        return tested.where("ok").select("pos_a", "pos_b"), labels
+    # Lines of large segments are dealt again by the characters they have in each group.
+    hot = members.join(large_keys, "key", "left_semi").where("hub <> h").select("key", "h")
+    hashes = stored(hot.select("h").distinct())
+    grouped = stored(
+        lines.join(listed(hashes), "h", "left_semi")
+        .select("h", "pos", F.length("line").alias("n"), F.explode(character_groups(F.col("line"), threshold)).alias("chars"))
+    )
+    active = stored(
+        hot.join(grouped, "h").select("h", "pos", "n", F.xxhash64("key", "chars").alias("key"))
+    )
+    for round_ in range(ROUNDS):
+        classed = active.join(_sized(labels), "pos", "left").select(
+            "key", "h", "pos", "n", F.coalesce("label", "pos").alias("label"),
+            # The next hub is a line of the smallest class.
+            (F.coalesce("members", F.lit(1)) * F.lit(-(1 << 42)) - F.col("h").bitwiseAND((1 << 42) - 1)).alias("weight"),
         )
-        hubs = met.where("hub <> h").select(F.col("hub").alias("a"), F.col("h").alias("b"))
-        both = small.where("own").select("key", F.col("h").alias("a")).join(
-            small.select("key", F.col("h").alias("b")), "key"
+        classed = stored(classed)
+        per_class = classed.groupBy("key", "label").agg(
+            F.count(F.lit(1)).alias("lines"), F.max_by("h", "weight").alias("h"), F.max("weight").alias("weight")
         )
-        pairs = (
-            hubs.union(both.where("a <> b").select("a", "b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        size = F.sum("lines")
+        buckets = stored(
+            per_class.groupBy("key").agg(
+                size.alias("size"), (size * size - F.sum(F.col("lines") * F.col("lines"))).alias("product"),
+                F.max_by("h", "weight").alias("hub"),
+            ).where("product > 0")
         )
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stored(_verified(stored(pairs), lines, threshold))
-        tested = checked if tested is None else stored(tested.unionByName(checked))
-        found = tested.where("ok").select("pos_a", "pos_b")
-        large = met.where("indexed > 1 and hub <> h").join(
-            sizes.where(product > SMALL_BUCKET).select("key"), "key", "left_semi"
+        large_keys, small_keys = _split(buckets, rows, everything=round_ == ROUNDS - 1)
+        left = classed.join(small_keys, "key", "left_semi").select(
+            "key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")
         )
-        unlike = large.select(
-            "key", "hub", F.least("hub", "h").alias("a"), F.greatest("hub", "h").alias("b")
-        ).join(tested.where("not ok").select("a", "b"), ["a", "b"])
-        again = stored(unlike.select("key", "hub").distinct())
-        if again.isEmpty():
+        right = left.withColumnsRenamed({"key": "key_b", "a": "b", "la": "lb", "na": "nb"})
+        apart = "key = key_b and a < b and la <> lb"
+        pairs = left.join(right, F.expr(f"{apart} and abs(na - nb) <= {threshold}")).select("a", "b")
+        if large_keys is not None:
+            hubs = buckets.join(large_keys, "key", "left_semi").select("key", F.col("hub").alias("a"))
+            star = classed.join(hubs, "key").where("h <> a").select("a", F.col("h").alias("b"))
+            pairs = pairs.union(star)
+        checked = _verified(_new_pairs(pairs, tested), lines, threshold)
+        tested = stored(tested.unionByName(checked))
+        labels = class_labels(tested.where("ok"), "pos_a", "pos_b")
+        if large_keys is None:
             break
-        hot = stored(met.join(again.select("key"), "key", "left_semi").select("h").distinct())
-        lengthy = active.join(listed(hot), "h", "left_semi")
-        active = stored(
-            probes(lengthy, "rest", "base", threshold)
-            .join(again, "key").where("h <> hub")
-            .select("h", without_segment("rest").alias("rest"), F.col("key").alias("base")).distinct()
-        )
-    return found
+        active = stored(active.join(hubs, "key").where("h <> a").select("h", "pos", "n", "key"))
+    return tested.where("ok").select("pos_a", "pos_b"), labels
+
+
+def _split(buckets: DataFrame, rows: int, everything: bool = False) -> tuple[DataFrame | None, DataFrame]:
+    """Keys of the buckets to compare with a hub (None if there are none) and of those to expand.
+
+    Where all pairs of the large buckets are no more than ``rows``, those that segments matched, they
+    are simply taken.
+    """
+    big = F.col("product") > SMALL_BUCKET
+    pairs = buckets.agg(F.coalesce(F.sum(F.when(big, F.col("product"))), F.lit(0))).first()[0]
+    if everything or pairs <= PAIRS_PER_ROW * rows:
+        return None, buckets.select("key")
+    return buckets.where(big).select("key"), buckets.where(~big).select("key")
+
+
+def _new_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    out = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tested is not None:
+        out = out.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return stored(out)
+
+
+def _sized(labels: DataFrame) -> DataFrame:
+    """(pos, label, members)."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    return labels.join(sizes, "label").withColumnRenamed("id", "pos")
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -225,7 +301,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         positions(docs).groupBy("line").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies"))
         .select("pos", "copies", *line_key(), "line")
     )
-    labels = class_labels(edit_links(lines, threshold), "pos_a", "pos_b")
+    _, labels = edit_links(lines, threshold)
     return lines.select("pos", "copies", "h", "h2").join(labels.withColumnRenamed("id", "pos"), "pos", "left").select(
         "h", "h2", F.col("pos").alias("first"), "copies", F.coalesce("label", "pos").alias("class_pos")
     )

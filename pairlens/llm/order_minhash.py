@@ -35,6 +35,8 @@ K, SIMILARITY = 5, 0.8
 SKETCHES, PER_SKETCH = 20, 3
 #: Buckets up to this size are compared pairwise.
 SMALL_BUCKET = 8
+#: So many pairs of different classes per row of all buckets are expanded even from large buckets.
+PAIRS_PER_ROW = 1
 _RNG = np.random.default_rng(11)
 _ODD = _RNG.integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -198,20 +200,37 @@ def _ranked(weight, rep="rep"):
 
 def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b), labels) that connect every class of (rep, copies, sketches)."""
-    found = tested = None
+    found = tested = rows = None
     copies = F.least("copies", F.lit(1 << 20))
     active = vertices.select(
         "rep", F.col("rep").alias("label"), _ranked(copies).alias("weight"), F.posexplode("sketches").alias("band", "key")
     )
     for level in range(SKETCHES):
         # The hub of a bucket is its most copied text, later a text of the smallest class.
-        hub = F.max_by("rep", "weight").alias("hub"), F.max_by("label", "weight").alias("hub_label")
-        buckets = stored(
-            active.groupBy("band", "key")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *hub)
-            .where("low < high").drop("low", "high")
-        )
-        expand = F.col("size") <= SMALL_BUCKET if level < SKETCHES - 1 else F.lit(True)
+        if level == 0:
+            n = F.count(F.lit(1))
+            each = active.groupBy("band", "key").agg(
+                n.alias("size"), (n * (n - 1) / 2).alias("pairs"), F.max_by("rep", "weight").alias("hub")
+            )
+            each = each.where("size > 1").withColumn("hub_label", F.col("hub"))
+        else:
+            per_class = active.groupBy("band", "key", "label").agg(
+                F.count(F.lit(1)).alias("n"), F.max_by("rep", "weight").alias("rep"), F.max("weight").alias("weight")
+            )
+            size = F.sum("n")
+            each = per_class.groupBy("band", "key").agg(
+                size.alias("size"), ((size * size - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+                F.max_by("rep", "weight").alias("hub"), F.max_by("label", "weight").alias("hub_label"),
+            ).where("pairs > 0")
+        buckets = stored(each)
+        expand = F.col("size") <= SMALL_BUCKET
+        sums = buckets.agg(
+            F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(~expand, F.col("pairs"))), F.lit(0.0))
+        ).first()
+        rows = sums[0] if level == 0 else rows
+        # Where the pairs left in large buckets are no more than the rows dealt, they are all taken.
+        last = level == SKETCHES - 1 or sums[1] <= PAIRS_PER_ROW * rows
+        expand = F.lit(True) if last else expand
         left = active.join(buckets.where(expand).select("band", "key"), ["band", "key"]).select(
             "band", "key", F.col("rep").alias("a"), F.col("label").alias("label_a")
         )
@@ -226,7 +245,7 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
         tested = checked if tested is None else stored(tested.unionByName(checked))
         found = tested.where("ok").select("a", "b")
         labels = class_labels(found)
-        if level == SKETCHES - 1:
+        if last:
             break
         # Members of large buckets other than the hub are dealt again, unless all are in one class.
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
