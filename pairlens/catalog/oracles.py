@@ -64,13 +64,15 @@ def signals_sql(fixture: str, source: str) -> str:
 from {source}"""
 
 
+P, Q = 2147483647, 2147483629
+
+
 def formula(i: str, way: int, r: int, side: str, seed: int) -> str:
-    i = f"((cast({i} as bigint) + 1) % 9973)"
-    return (
-        f"(cast(({i} * {(r + 2) * (way + 3) * 7919} + {i} * {i} * {(r + 1) * 104729}"
-        f" + {(15485 if side == 'y' else 0) + seed * 32452 + way * 613}) % 9973 as double)"
-        f" / cast(9973 as double))"
-    )
+    base = (seed + 1) * 1000003 + (way + 1) * 7919 + (r + 1) * 104729 + (side == "y") * 15485863
+    m = [((base + k * 179424673) % P) ** 2 % P * 48271 % P + 1 for k in range(1, 6)]
+    i = f"(cast({i} as bigint) + 1)"
+    h = f"(({i} % {P} * {m[0]} + {i} % {Q} * {m[1]} + {m[2]}) % {P})"
+    return f"(cast(({h} * {h} % {P} * {m[3]} + {h} * {m[4]}) % {P} as double) / cast({P} as double))"
 
 
 def factor_cte(fixture: str, way: int, rank: int, seed: int) -> str:
@@ -319,14 +321,15 @@ def reconstruct_oracle(fixture: str, rank: int) -> str:
 def bucket_sql(ways: int, seed: int = 2) -> str:
     h = f"cast({seed} as bigint)"
     for w in range(ways):
-        i = f"(cast(i{w} as bigint) % 9973 + 1)"
-        h = f"(({h} * 7919 + {i} * {i} * 104729 + {i} * 613 + 15485) % 9973)"
+        i = f"(cast(i{w} as bigint) + 1)"
+        h = f"(({h} * 48271 + {i} % {P} * 69621 + 15485) % {P})"
+        h = f"(({h} * {h} % {P} * 16807 + {i} % {Q} * 39373) % {P})"
     return h
 
 
 def split_sql(ways: int, tenths: float) -> str:
-    test_end = repr((10.0 - tenths) / 2.0 / 10.0 * 9973)
-    both = repr(2 * ((10.0 - tenths) / 2.0 / 10.0 * 9973))
+    test_end = repr((10.0 - tenths) / 2.0 / 10.0 * P)
+    both = repr(2 * ((10.0 - tenths) / 2.0 / 10.0 * P))
     b = bucket_sql(ways)
     return (
         f"case when {b} < cast({test_end} as double) then 'test' "

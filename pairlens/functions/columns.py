@@ -15,9 +15,10 @@ EQUAL_TOLERANCE = 1e-5   # |x - y| up to this counts as "unchanged"
 FACTOR_EPS = 1e-16       # factor and weight entries below this are floored
 CLAMP_THRESHOLD = 0.0
 
-# Fixed values of the arithmetic start-value and split formulas (our own choice;
-# small primes so every product stays far inside BIGINT).
-MODULUS = 9973
+# Fixed values of the arithmetic start-value and split formulas (our own choice): two primes just
+# below 2**31, so that a product of two residues, or the sum of two such, stays inside BIGINT.
+MODULUS = 2147483647
+SECOND_MODULUS = 2147483629
 
 
 def sum_of(columns: Sequence[Column]) -> Column:
@@ -78,17 +79,24 @@ def floor_below(value: Column, floor: float, eps: float = FACTOR_EPS) -> Column:
 
 # --- deterministic pseudo-random values ------------------------------------
 
+def start_multipliers(way: int, component: int, side: str, seed: int) -> list[int]:
+    """Five residues that depend on all arguments, so no two columns or seeds are shifts."""
+    base = (seed + 1) * 1000003 + (way + 1) * 7919 + (component + 1) * 104729
+    base += 15485863 if side == "y" else 0
+    scrambled = [(base + k * 179424673) % MODULUS for k in range(1, 6)]
+    return [m * m % MODULUS * 48271 % MODULUS + 1 for m in scrambled]
+
+
 def init_value(index: str, way: int, component: int, side: str, seed: int) -> str:
     """Start value in [0, 1) that depends only on its arguments, not on partitioning.
 
-    SQL text over the BIGINT expression ``index``. The index is reduced first, which leaves the
-    residue as it is and keeps large dimensions inside BIGINT.
+    SQL text over the BIGINT expression ``index``: a linear step over both residues of the index and
+    a quadratic one. Two residues together tell all BIGINT indices up to 2**62 apart.
     """
-    i = f"(({index} + 1L) % {MODULUS}L)"
-    linear = (component + 2) * (way + 3) * 7919
-    square = (component + 1) * 104729
-    offset = (15485 if side == "y" else 0) + seed * 32452 + way * 613
-    mixed = f"{i} * {linear}L + {i} * {i} * {square}L + {offset}L"
+    a, b, c, d, e = start_multipliers(way, component, side, seed)
+    first, second = (f"(({index} + 1L) % {m}L)" for m in (MODULUS, SECOND_MODULUS))
+    h = f"(({first} * {a}L + {second} * {b}L + {c}L) % {MODULUS}L)"
+    mixed = f"(({h} * {h}) % {MODULUS}L) * {d}L + {h} * {e}L"
     return f"CAST(({mixed}) % {MODULUS}L AS DOUBLE) / {MODULUS}.0D"
 
 
@@ -99,12 +107,13 @@ def uniform_value(index: str, way: int, component: int, side: str, seed: int) ->
 
 
 def split_bucket(coords: Sequence[Column], seed: int) -> Column:
-    """Bucket 0..9972 from the coordinates alone, so a cell keeps its label on any cluster."""
-    modulus = F.lit(MODULUS).cast("bigint")
+    """A residue from the coordinates alone, so a cell keeps its label on any cluster."""
+    modulus, second = (F.lit(m).cast("bigint") for m in (MODULUS, SECOND_MODULUS))
     h = F.lit(seed % MODULUS).cast("bigint")
     for c in coords:
-        i = c.cast("bigint") % modulus + 1
-        h = (h * 7919 + i * (i * 104729 + 613) + 15485) % modulus
+        i = c.cast("bigint") + 1
+        h = (h * 48271 + (i % modulus) * 69621 + 15485) % modulus
+        h = ((h * h) % modulus * 16807 + (i % second) * 39373) % modulus
     return h
 
 

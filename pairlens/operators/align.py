@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.columns import contrast_columns, split_label
+from pairlens.session import cut_lineage
 
 # A candidate set is broadcast only when its row bound times its row width stays below this.
 BROADCAST_BYTES = 64 << 20
-TOPN_FAN_IN = 16
+# Input partitions (or groups of them) whose top rows meet in one ranking task, and how often.
+TOPN_FAN_IN, TOPN_LEVELS = 64, 3
 GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -30,30 +32,31 @@ def top_cells(
 ) -> DataFrame:
     """The n largest rows (per group in ``by``), exact, ties broken by ``tie``.
 
-    Two ranking levels: first inside ``fan_in`` hash buckets, then over the survivors. Each
-    map task drops everything past n rows per bucket before the shuffle, and the last task
-    sees at most ``fan_in * n`` rows per group however large the input or how dominant one
-    group is. Spark only inserts that map-side drop for limits up to a session threshold,
-    which is raised to n here.
+    A tree over the input partitions: each one drops all but its n largest rows, ``fan_in`` of them
+    meet in one task that does the same, and so on. A ranking task sees ``fan_in * n`` rows per
+    group at most, however many partitions there are (up to ``fan_in ** (TOPN_LEVELS + 1)``).
+    Spark only inserts the drop before a shuffle for limits up to a session threshold. For larger
+    ones the result is computed at once, with the threshold raised meanwhile.
     """
-    spark = rows.sparkSession
-    if 0 <= int(spark.conf.get(GROUP_LIMIT_KEY)) < n:
-        spark.conf.set(GROUP_LIMIT_KEY, str(n))
     order = [F.col(value).desc(), *[_as_column(t) for t in (tie or coords)]]
-    bucket = F.pmod(F.xxhash64(*coords, value), F.lit(fan_in)).alias("_bucket")
-    local = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    final = Window.partitionBy(*by).orderBy(*order)
-    survivors = (
-        rows.select("*", bucket)
-        .withColumn("_rank", F.row_number().over(local))
-        .where(F.col("_rank") <= n)
-        .drop("_bucket", "_rank")
-    )
-    return (
-        survivors.withColumn("_rank", F.row_number().over(final))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+
+    def first(df: DataFrame, *groups: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    out = rows.select("*", F.spark_partition_id().cast("bigint").alias("_part"))
+    for _ in range(TOPN_LEVELS):
+        out = first(out.withColumn("_part", F.floor(F.col("_part") / fan_in)), *by, "_part")
+    out = first(out.drop("_part"), *by)
+    conf = rows.sparkSession.conf
+    before = conf.get(GROUP_LIMIT_KEY)
+    if not 0 <= int(before) < n:
+        return out
+    conf.set(GROUP_LIMIT_KEY, str(n))
+    try:
+        return cut_lineage(out)
+    finally:
+        conf.set(GROUP_LIMIT_KEY, before)
 
 
 def candidate_cells(x_top: DataFrame, y_top: DataFrame, coords: Sequence[str]) -> DataFrame:

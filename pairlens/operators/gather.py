@@ -15,16 +15,21 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.schema import SIDES, coord_names, factor_names
-from pairlens.session import shuffle_partitions
+from pairlens.session import cut_lineage, shuffle_partitions
 
 FACTOR_BROADCAST_BYTES = 256 << 20
 TARGET_CELLS_PER_SALT = 2_000_000
-MAX_HOT_INDICES = 4096
+# A hot-index table is broadcast up to this many rows; a larger one is joined by shuffle.
+BROADCAST_HOT_ROWS = 1_000_000
+# Cells a partition of a held layout should have.
+CELLS_PER_PARTITION = 4_000_000
 
 
 def factor_bytes(dim: int, rank: int) -> int:
@@ -34,10 +39,19 @@ def factor_bytes(dim: int, rank: int) -> int:
 
 @dataclass(frozen=True)
 class JoinPlan:
-    """Per way: broadcast or shuffled, and the salt count of its hot indices."""
+    """Per way: broadcast or shuffled, and the salt counts of its hot indices.
+
+    ``hot`` holds (idx, splits) tables; ``small_hot`` the ways whose table is known to be small.
+    With ``dims``, a cell outside of them raises instead of missing its factor row.
+    """
 
     broadcast: tuple[bool, ...]
     hot: Mapping[int, DataFrame] = field(default_factory=dict)
+    dims: tuple[int, ...] | None = None
+    small_hot: frozenset[int] = frozenset()
+
+    def hot_table(self, way: int) -> DataFrame:
+        return F.broadcast(self.hot[way]) if way in self.small_hot else self.hot[way]
 
     @property
     def shuffled(self) -> list[int]:
@@ -73,23 +87,22 @@ def plan_joins(
 ) -> JoinPlan:
     """Decide the join of each way; measures index frequencies only for shuffled ways."""
     chosen = choose_broadcast(dims, rank, budget)
-    hot = {}
-    if not all(chosen):
-        total = cells.count() if n_cells is None else n_cells
-        # More than `limit` cells each: at most MAX_HOT_INDICES such indices can exist.
-        limit = max(target, math.ceil(total / MAX_HOT_INDICES))
-        for w in (w for w, small in enumerate(chosen) if not small):
-            frequent = (
-                cells.groupBy(F.col(f"i{w}").alias("idx"))
-                .agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > limit)
-                .select("idx", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("splits"))
-            )
-            listed = [(r.idx, r.splits) for r in frequent.collect()]
-            if listed:
-                schema = frequent.schema
-                hot[w] = cells.sparkSession.createDataFrame(listed, schema)
-    return JoinPlan(chosen, hot)
+    hot, small = {}, set()
+    for w in (w for w, fits in enumerate(chosen) if not fits):
+        # Salts depend on an index's own cells only, so no index is left whole for being one of many.
+        frequent = cut_lineage(
+            cells.groupBy(F.col(f"i{w}").alias("idx"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > target)
+            .select("idx", F.ceil(F.col("n") / F.lit(target)).cast("int").alias("splits"))
+        )
+        rows = frequent.count()
+        if not rows:
+            continue
+        hot[w] = frequent
+        if rows <= BROADCAST_HOT_ROWS:
+            small.add(w)
+    return JoinPlan(chosen, hot, tuple(dims), frozenset(small))
 
 
 def salted_cells(
@@ -102,7 +115,7 @@ def salted_cells(
         name = f"salt{w}"
         if name in cells.columns:
             continue
-        hot = F.broadcast(plan.hot[w].withColumnRenamed("idx", f"i{w}"))
+        hot = plan.hot_table(w).withColumnRenamed("idx", f"i{w}")
         spread = F.xxhash64(*spread_by)
         cells = (
             cells.join(hot, f"i{w}", "left")
@@ -122,11 +135,19 @@ def _factor_side(
         return F.broadcast(factor.selectExpr(f"idx AS i{way}", *renamed))
     if way not in plan.hot:
         return factor.selectExpr(f"idx AS i{way}", *renamed)
-    repeated = factor.join(F.broadcast(plan.hot[way]), "idx", "left")
+    repeated = factor.join(plan.hot_table(way), "idx", "left")
     salts = f"explode(sequence(0, coalesce(splits, 1) - 1)) AS salt{way}"
     return repeated.selectExpr(f"idx AS i{way}", salts, *renamed)
 
 
+def _inside(over: Sequence[int], dims: Sequence[int]) -> Column:
+    """True for cells inside the dimensions; others raise, as they would have no factor row."""
+    inside = reduce(and_, [F.col(f"i{w}").between(0, dims[w] - 1) for w in over])
+    where = F.concat_ws(",", *[F.col(f"i{w}").cast("string") for w in over])
+    message = F.concat(F.lit("cell outside the dimensions: "), where)
+    return F.when(inside, True).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def gather(
     cells: DataFrame,
     factors: Sequence[DataFrame],
@@ -138,11 +159,15 @@ def gather(
 ) -> DataFrame:
     """Cells with the factor rows of the ways in ``over`` as ``f{w}_{side}{r}`` columns.
 
-    Shuffled ways come first, while rows are still narrow; broadcasts are then pipelined
-    into the stage that follows.
+    The largest shuffled way comes first: cells held in its layout are not moved for it. The other
+    shuffled ways follow while rows are still narrow; broadcasts are then pipelined into the stage
+    that follows.
     """
     out = salted_cells(cells, over, plan, spread_by or coord_names(len(factors)))
-    for w in sorted(over, key=lambda k: plan.broadcast[k]):
+    if plan.dims is not None:
+        out = out.where(_inside([w for w in range(len(plan.dims)) if f"i{w}" in cells.columns], plan.dims))
+    dims = plan.dims or [0] * len(factors)
+    for w in sorted(over, key=lambda k: (plan.broadcast[k], -dims[k])):
         side = _factor_side(factors[w], w, rank, sides, plan)
         out = out.join(side, plan.keys(w))
     return out
@@ -154,7 +179,7 @@ def component_products(over: Sequence[int], rank: int, side: str) -> list[str]:
 
 
 def layout_for(
-    cells: DataFrame, ways: int, plan: JoinPlan, lead: int | None
+    cells: DataFrame, ways: int, plan: JoinPlan, lead: int | None, n_cells: int = 0
 ) -> DataFrame:
     """Cells hash-partitioned for the shuffled join with way ``lead``.
 
@@ -163,7 +188,7 @@ def layout_for(
     cells = salted_cells(cells, range(ways), plan, coord_names(ways))
     if lead is None:
         return cells
-    parts = shuffle_partitions(cells.sparkSession)
+    parts = max(shuffle_partitions(cells.sparkSession), math.ceil(n_cells / CELLS_PER_PARTITION))
     return cells.repartition(parts, *plan.keys(lead))
 
 

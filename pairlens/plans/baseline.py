@@ -25,12 +25,12 @@ from pairlens.plans.fit import (
     scaled_gram,
 )
 from pairlens.schema import SIDES, factor_columns
-from pairlens.session import cut_lineage, hold_compact, only_row
+from pairlens.session import Compact, cut_lineage, hold_compact, only_row
 
 PRODUCT_TERMS = (("mx", "x", "x"), ("my", "y", "y"))
 
 
-def _products(ws: Workspace, factors: list[DataFrame], state: FitState, way: int) -> DataFrame:
+def _products(ws: Workspace, factors: list[DataFrame], state: FitState, way: int) -> Compact:
     """Factor rows with both products and the discriminative row sums, held for the update."""
     rank = state.rank
     products = mttkrp(ws.cells_for(way), factors, state.width, way, PRODUCT_TERMS, ws.plan)
@@ -81,7 +81,7 @@ def baseline(ws: Workspace, state: FitState) -> FitState:
         last = way == ways - 1
         carried = state.carried if last else None
         source = carried if carried is not None else _products(ws, state.factors, state, way)
-        live = source
+        live = source.table
         for l in range(rank):
             stages = [_stages(ws, run, slot, way, l) for slot, run in enumerate(runs)]
             for part in zip(*stages):
@@ -105,7 +105,7 @@ def baseline(ws: Workspace, state: FitState) -> FitState:
                 )
                 for (g, cross), o in zip(per_run, own)
             ]
-        source.unpersist()
+        source.release()
         factors.append(new)
         grams.append(per_run)
     for slot, run in enumerate(runs):
@@ -115,7 +115,7 @@ def baseline(ws: Workspace, state: FitState) -> FitState:
     state.factors = factors
     state.carried = _products(ws, factors, state, ways - 1)
     inner = only_row(
-        state.carried.selectExpr(
+        state.carried.table.selectExpr(
             *[
                 "sum("
                 + " + ".join(f"{s}{slot * rank + r} * m{s}{slot * rank + r}" for r in range(rank))

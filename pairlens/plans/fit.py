@@ -37,7 +37,7 @@ from pairlens.operators.gather import (
     plan_joins,
 )
 from pairlens.schema import SIDES, PairedTensor, factor_columns, factor_names
-from pairlens.session import cut_lineage, hold, only_row
+from pairlens.session import Compact, cut_lineage, hold, only_row
 
 # Fixed value: "previous cost" before the first iteration, so that one never stops there.
 FIRST_PREVIOUS_COST = 1e10
@@ -93,7 +93,7 @@ class FitState:
 
     factors: list[DataFrame]
     runs: list[Run]
-    carried: DataFrame | None = None
+    carried: Compact | None = None
 
     @property
     def rank(self) -> int:
@@ -138,8 +138,12 @@ class Workspace:
         )
         leads = {k: lead_way(plan, tensor.dims, k) for k in range(tensor.ways)}
         held = {
-            lead: hold(layout_for(base, tensor.ways, plan, lead)) for lead in set(leads.values())
+            lead: hold(layout_for(base, tensor.ways, plan, lead, row.n)) for lead in set(leads.values())
         }
+        for lead, cells in held.items():
+            if lead is not None:
+                # How a held table is partitioned is known to later plans only once it is there.
+                cells.count()
         layouts = {k: held[lead] for k, lead in leads.items()}
         return cls(tensor, plan, layouts, math.sqrt(row.x), math.sqrt(row.y), row.n)
 
@@ -284,11 +288,16 @@ def start_state(
     ]
     factors = []
     for w, factor in enumerate(raw):
+        # Distinct indices of a user's factor: the right number of rows may still miss some.
+        distinct = "count(DISTINCT CASE WHEN idx >= 0 AND idx < {} THEN idx END) AS found"
+        known = "count(1) AS found" if init is None else distinct.format(tensor.dims[w])
         row = only_row(
-            factor.selectExpr("count(1) AS n", *block_gram_aggregates(rank, n_runs))
+            factor.selectExpr("count(1) AS n", known, *block_gram_aggregates(rank, n_runs))
         )
         if row.n != tensor.dims[w]:
             raise ValueError(f"way {w}: factor has {row.n} rows, dimension is {tensor.dims[w]}")
+        if row.found != row.n:
+            raise ValueError(f"way {w}: factor misses {row.n - row.found} indices of the dimension")
         norms = {s: [] for s in SIDES}
         for run, (grams, cross) in zip(runs, block_grams(row, rank, n_runs)):
             own = {s: np.sqrt(np.diag(grams[s])) for s in SIDES}
@@ -359,13 +368,13 @@ def fit_runs(
             if stopped:
                 kept = [slot for slot in range(len(state.runs)) if slot not in stopped]
                 if state.carried is not None:
-                    state.carried.unpersist()
+                    state.carried.release()
                 factors = [run_columns(f, state.rank, kept) for f in state.factors]
                 state = FitState(factors, [state.runs[slot] for slot in kept])
                 order = [order[slot] for slot in kept]
     finally:
         if state is not None and state.carried is not None:
-            state.carried.unpersist()
+            state.carried.release()
         if workspace is None:
             ws.release()
     return [results[k] for k in range(len(cfgs))]

@@ -198,8 +198,8 @@ def update_way(ws: Workspace, state: FitState, way: int) -> list[dict] | None:
             {"mx": ("x", combined("x")), "my": ("y", combined("y"))}, plan=ws.plan,
         )
     source = hold_compact(complete(state.factors[way], products), ws.tensor.dims[way])
-    held = [source]
-    live = _updated_columns(source, gradients, held)
+    held = [source.held]
+    live = _updated_columns(source.table, gradients, held)
     cores = None
     if last:
         row = only_row(

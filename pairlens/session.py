@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a fresh one only if unset."""
+    """The shared folder the cluster names. Only a local master may do with a folder of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairlens-"))
     return sc.getCheckpointDir()
 
@@ -41,12 +45,26 @@ def partitions_for(rows: int, columns: int) -> int:
     return max(1, math.ceil(rows * 8 * (columns + 1) / FACTOR_PARTITION_BYTES))
 
 
-def hold_compact(df: DataFrame, rows: int) -> DataFrame:
-    """Hold a table of known row count in no more partitions than its size needs.
+@dataclass(frozen=True)
+class Compact:
+    """A held table and a view of it in no more partitions than its size needs."""
 
-    A table that fits one partition is then aggregated without any exchange.
+    table: DataFrame
+    held: DataFrame
+
+    def release(self) -> None:
+        self.held.unpersist()
+
+
+def hold_compact(df: DataFrame, rows: int) -> Compact:
+    """Compute and hold ``df`` at full parallelism, then view it in few partitions.
+
+    The narrowing sits above the held table, so it never lowers the parallelism of the aggregate
+    that made it; a table that fits one partition is then aggregated without any exchange.
     """
-    return hold(df.coalesce(partitions_for(rows, len(df.columns))))
+    held = hold(df)
+    held.count()
+    return Compact(held.coalesce(partitions_for(rows, len(df.columns))), held)
 
 
 def only_row(df: DataFrame):

@@ -52,11 +52,15 @@ def cost(x, y, u, v):
 
 
 def formula_factor(dim, way, rank, side, seed):
-    i = np.arange(dim, dtype=np.int64)[:, None]
-    r = np.arange(rank, dtype=np.int64)[None, :]
-    v = ((i + 1) * (r + 2) * (way + 3) * 7919 + (i + 1) * (i + 1) * (r + 1) * 104729
-         + side * 15485 + seed * 32452 + way * 613) % 9973
-    return v / 9973.0
+    p, q = 2147483647, 2147483629
+    i = np.arange(dim, dtype=np.int64) + 1
+    columns = []
+    for r in range(rank):
+        base = (seed + 1) * 1000003 + (way + 1) * 7919 + (r + 1) * 104729 + side * 15485863
+        a, b, c, d, e = [((base + k * 179424673) % p) ** 2 % p * 48271 % p + 1 for k in range(1, 6)]
+        h = (i % p * a + i % q * b + c) % p
+        columns.append((h * h % p * d + h * e) % p)
+    return np.stack(columns, axis=1) / float(p)
 
 
 def start(dims, rank, seed):

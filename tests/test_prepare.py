@@ -79,14 +79,26 @@ def test_top_cells_breaks_ties_and_is_exact(spark):
     assert [g[0] for g in got] == want
 
 
-def test_top_cells_raises_the_group_limit(spark):
+def test_top_cells_leaves_the_session_as_it_was(spark):
     key = "spark.sql.optimizer.windowGroupLimitThreshold"
     spark.conf.set(key, "10")
     df = spark.range(100).selectExpr("CAST(id AS INT) i0", "0 i1", "0 i2", "CAST(id AS DOUBLE) value")
     top = top_cells(df, 50, C3)
-    assert int(spark.conf.get(key)) == 50
-    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(key) == "10"
+    assert sorted(r.i0 for r in top.collect()) == list(range(50, 100))
     spark.conf.unset(key)
+    small = top_cells(df, 50, C3)
+    assert "WindowGroupLimit" in small._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_top_cells_as_a_tree(spark, parts):
+    data = [(i, (i * 37) % 3, 0, float(i * 7919 % 101)) for i in range(400)]
+    df = spark.createDataFrame(data, "i0 INT, i1 INT, i2 INT, value DOUBLE").repartition(parts)
+    got = sorted(r.i0 for r in top_cells(df, 20, C3, fan_in=2).collect())
+    assert got == sorted(r[0] for r in sorted(data, key=lambda r: (-r[3], r[0]))[:20])
+    by = top_cells(df, 5, C3, by=["i1"], fan_in=3).groupBy("i1").count().collect()
+    assert {r["i1"]: r["count"] for r in by} == {0: 5, 1: 5, 2: 5}
 
 
 def test_hot_cell_does_not_displace_others(spark):
