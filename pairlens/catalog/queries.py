@@ -31,7 +31,8 @@ from pairlens.plans.fit import FitConfig, FitState, Workspace, fit, start_state
 from pairlens.plans.pairwise import pairwise, update_way
 from pairlens.plans.sweep import RUN_KEYS, cost_delta, holdout_rmse, pending_runs, run_sweep
 from pairlens.schema import PairedTensor, coord_names, factor_columns
-from pairlens.session import ensure_checkpoint_dir
+from pairlens.operators.gather import plan_joins
+from pairlens.session import cut_lineage, ensure_checkpoint_dir
 from pairlens.sources.text_pair import positional_zip, read_text_pair
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,13 +285,37 @@ def _(spark, d):
     return _round_except(done, 4, "idx")
 
 
+def _register_joins(name: str, target: int) -> None:
+    """The fused products with every way joined by shuffle, and with salts on frequent indices."""
+
+    @query(name, sql.completed_oracle("line3", 0, RANK))
+    def _(spark, d):
+        t = fx.line3(spark, d)
+        factors = _factors(spark, t)
+        plan = plan_joins(t.cells, t.dims, RANK, budget=0, target=target)
+        done = al.complete(factors[0].select("idx"), al.mttkrp(t, factors, RANK, 0, plan=plan))
+        return _round_except(done, 4, "idx")
+
+
+_register_joins("mttkrp_shuffled", 1 << 40)
+_register_joins("mttkrp_salted", 20)
+
+
+@query(
+    "matrix_norm",
+    f"select round(sqrt(sum(x * x + y * y)), 4) as norm from ({sql.LINE3_PAIR})",
+)
+def _(spark, d):
+    return _round_except(al.frobenius_norm(fx.line3_pair(spark, d), ["x", "y"]), 4)
+
+
 def _derived(spark, t: PairedTensor, rank: int = RANK) -> list[DataFrame]:
     """Factors that come from the data: the two plain products of every way."""
     start = _factors(spark, t, rank)
     out = []
     for w in range(t.ways):
         done = al.complete(start[w].select("idx"), al.mttkrp(t, start, rank, w, al.FUSED_TERMS[:2]))
-        out.append(done.toDF(*factor_columns(rank)))
+        out.append(cut_lineage(done.toDF(*factor_columns(rank))))  # used several times
     return out
 
 
