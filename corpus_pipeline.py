@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import stored, table
+from pairlens.llm.common import listed, stored, table
 from pairlens.llm.line_edits import drop_duplicate_lines
 from pairlens.llm.mixing import mix
 from pairlens.llm.order_minhash import keep_one
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows not taken go, others may be repeated."""
     docs = docs.select(*COLUMNS)
     taken = mix(docs).where("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats").distinct()
-    rows = docs.join(stored(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.join(listed(stored(taken)), F.col("doc_id").eqNullSafe(F.col("_id")))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))
     return rows.withColumn("_copy", copies).select(*COLUMNS)
 

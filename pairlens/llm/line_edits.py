@@ -345,7 +345,8 @@ def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
         F.filter(numbered, lambda e: ~F.array_contains(F.col("_removed"), e["i"])), lambda e: e["line"]
     )
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = docs.join(removed, "doc_id", "left").withColumn("_text", text)
+    # The lists have no size bound, so they are never broadcast.
+    out = docs.join(removed.hint("merge"), "doc_id", "left").withColumn("_text", text)
     out = out.where(F.col("_removed").isNull() | F.col("_text").rlike(WORD_PATTERN))
     columns = [
         F.col("_text").alias("text") if c == "text"

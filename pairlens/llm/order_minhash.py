@@ -311,7 +311,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .where("class_id is not null and not (doc_id <=> class_id) and doc_id is not null")
         .select("doc_id").distinct()
     )
-    return docs.join(stored(dropped), "doc_id", "left_anti")
+    return docs.join(listed(stored(dropped)), "doc_id", "left_anti")
 
 
 def op1_order_minhash(spark, sf_dir):
