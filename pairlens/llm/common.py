@@ -16,7 +16,7 @@ from pairlens.session import ensure_checkpoint_dir
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Arrow batches are worked through in slices of about this many text bytes.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Documents without an id come after all others.
 NO_ID = (1 << 63) - 1
 
