@@ -7,11 +7,12 @@ functions of their own are taken; at similarity 0.8 two documents miss all of th
 probability below one in a million.
 
 Equal texts are one vertex. Documents that agree on a sketch form a bucket. Small buckets are
-compared pairwise; in large ones every member is compared with the bucket's hub. While a large
-bucket holds members of several classes, they are dealt again by that sketch and the next one, and
-a member of the smallest class is the next hub: unlike members part quickly, and a member that
-missed the hub meets the others. So work stays in proportion to the input without a cap on
-bucket or class size.
+compared pairwise; in large ones every member is compared with the bucket's hub. While that leaves
+members of several classes together, a member of the smallest class is the next hub of the same
+bucket. Once hubs no longer halve the pairs of different classes, those members are dealt by a
+condition that all pairs at the similarity meet: ordered from the rarest k-mer to the most common
+one, two such documents share a k-mer among the first fifth of each. All pairs of different classes
+that it leaves are compared, so every pair that agrees on a sketch is compared or in one class.
 
 A candidate pair is verified by aligning the two sequences of k-mers inside the band that the
 similarity allows, with bit-parallel rows. Similarity is matched k-mers over all of both, i.e.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +195,52 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long, ok boolean")
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of different classes of ``members`` (rep, label) that may be alike.
+
+    Texts of n and m k-mers that are alike have at least similarity * max(n, m) of them in common.
+    In any order of all k-mers the first common one thus has at most (1 - similarity) * n before it
+    in one text and (1 - similarity) * m in the other. The rarest come first, so a passage that all
+    members have brings no pairs. k-mers of one text only are counted but not joined.
+    """
+    members = stored(members)
+    ids = stored(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(listed(ids), "doc_id", "left_semi").distinct()
+
+    def run(batch):
+        for rows, texts in text_slices(batch):
+            words = words_of(texts)
+            runs, n = shingles(words)
+            whole = RangeHash(words.words()).range(words.first_word[:-1], words.first_word[1:])
+            yield {
+                "rep": rows.column("doc_id"), "own": whole.astype(np.int64), "n": n,
+                "kmers": list_array(labelled(runs, n).astype(np.int64), n),
+            }
+
+    whole = stored(map_batches(texts, run, "rep long, own long, n long, kmers array<long>"))
+    kmers = whole.dropDuplicates(["rep", "own"]).select("rep", "own", "n", F.explode("kmers").alias("kmer"))
+    shared = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    common = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6))
+    first = (kmers.join(shared, "kmer").groupBy("rep", "own", "n")
+             .agg(F.sort_array(F.collect_list(F.struct("texts", "kmer"))).alias("known"))
+             .withColumn("take", (F.size("known") - common + 1).cast("int")).where("take > 0")
+             .select("rep", "n", F.explode(F.slice("known", F.lit(1), F.col("take"))).alias("k")))
+    placed = stored(first.select("rep", "n", "k.kmer").distinct().join(members, "rep"))
+    per_class = placed.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("members"))
+    # No pair is within the largest class, so only the others look for partners.
+    mixed = stored(
+        per_class.groupBy("kmer").agg(F.max_by("label", F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
+        .where("classes > 1").select("kmer", "most")
+    )
+    held = placed.join(mixed, "kmer")
+    left = held.where("label <> most").select("kmer", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = held.select("kmer", "most", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    met = left.join(right, "kmer").where("la <> lb and (lb = most or a < b)").where(
+        F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)
+    )
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _ranked(weight, rep="rep"):
     """A long that orders by ``weight`` and then by a hash of the id."""
     return weight * F.lit(1 << 42) + F.xxhash64(rep).bitwiseAND(F.lit((1 << 42) - 1))
@@ -200,12 +248,12 @@ def _ranked(weight, rep="rep"):
 
 def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b), labels) that connect every class of (rep, copies, sketches)."""
-    found = tested = rows = None
+    found = tested = rows = pairs_left = None
     copies = F.least("copies", F.lit(1 << 20))
     active = vertices.select(
         "rep", F.col("rep").alias("label"), _ranked(copies).alias("weight"), F.posexplode("sketches").alias("band", "key")
     )
-    for level in range(SKETCHES):
+    for level in count():
         # The hub of a bucket is its most copied text, later a text of the smallest class.
         if level == 0:
             n = F.count(F.lit(1))
@@ -229,16 +277,25 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
         ).first()
         rows = sums[0] if level == 0 else rows
         # Where the pairs left in large buckets are no more than the rows dealt, they are all taken.
-        last = level == SKETCHES - 1 or sums[1] <= PAIRS_PER_ROW * rows
-        expand = F.lit(True) if last else expand
+        every = sums[1] <= PAIRS_PER_ROW * rows
+        expand = F.lit(True) if every else expand
+        # Where the last hubs have not halved them, those that k-mers allow are taken.
+        last = every or level > 0 and sums[1] > pairs_left / 2
+        pairs_left = sums[1]
         left = active.join(buckets.where(expand).select("band", "key"), ["band", "key"]).select(
             "band", "key", F.col("rep").alias("a"), F.col("label").alias("label_a")
         )
         right = left.withColumnsRenamed({"a": "b", "label_a": "label_b"})
         within = left.join(right, ["band", "key"]).where("a < b and label_a <> label_b").select("a", "b")
-        large = active.join(buckets.where(~expand), ["band", "key"]).where("label <> hub_label")
-        pairs = large.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        pairs = pairs.union(within).distinct()
+        large = active.join(buckets.where(~expand), ["band", "key"])
+        if every:
+            pairs = within
+        elif last:
+            pairs = within.union(prefix_pairs(large.select("rep", "label").distinct(), docs, similarity))
+        else:
+            large = large.where("label <> hub_label")
+            pairs = within.union(large.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         checked = stored(verify(stored(pairs), docs, similarity))
@@ -247,7 +304,7 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
         labels = class_labels(found)
         if last:
             break
-        # Members of large buckets other than the hub are dealt again, unless all are in one class.
+        # Members of large buckets other than the hub stay in them, unless all are in one class.
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
         known = stored(labels.join(sizes, "label").withColumnRenamed("id", "rep"))
         again = (
@@ -263,11 +320,8 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
         mixed = stored(mixed.where("low < high").select("band", "key"))
         if mixed.isEmpty():
             break
-        nth = F.pmod(F.col("band") + F.lit(level + 1), F.lit(SKETCHES))
         active = stored(
-            again.join(mixed, ["band", "key"]).where("rep <> hub")
-            .join(vertices.select("rep", "sketches"), "rep")
-            .select("rep", "label", "weight", "band", F.xxhash64("key", F.get("sketches", nth)).alias("key"))
+            again.join(mixed, ["band", "key"]).where("rep <> hub").select("rep", "label", "weight", "band", "key")
         )
     return found, labels
 

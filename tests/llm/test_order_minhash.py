@@ -102,6 +102,39 @@ def test_classes_equal_all_pairs(spark, seed):
     assert kept == sorted(set(got.values()))
 
 
+def test_large_mixed_buckets_equal_all_pairs(spark):
+    """Hundreds of pairs that have most sketches in common with all others, each pair just alike."""
+    rng = random.Random(5)
+    common = words(rng, 204)
+    texts = []
+    for i in range(300):
+        own = [f"p{i}_{k}" for k in range(10)]
+        texts += [" ".join(common + own + [f"o{i}_{side}_{k}" for k in range(21)]) for side in "ab"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in O.near_duplicates(docs).collect()}
+    pairs = defaultdict(list)
+    for i, t in enumerate(texts):
+        pairs[t.split()[204]].append(i)
+    a, b = pairs["p0_0"]
+    one, two, other = runs(texts[a]), runs(texts[b]), runs(texts[pairs["p1_0"][0]])
+    like, unlike = len(set(one) & set(two)), len(set(one) & set(other))
+    assert like >= 0.8 * (2 * len(one) - like) and unlike < 0.8 * (2 * len(one) - unlike)
+    assert got == {i: min(p) for p in pairs.values() for i in p}
+
+
+def test_prefix_pairs_hold_every_alike_pair(spark):
+    texts = [t for t in corpus(3) if t and t.split()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = docs.select(docs.doc_id.alias("rep"), docs.doc_id.alias("label"))
+    met = {(r.a, r.b) for r in O.prefix_pairs(members, docs, 0.8).collect()}
+    want = {
+        (i, j) for j in range(len(texts)) for i in range(j)
+        if O.alike(*[np.array([hash(x) for x in runs(texts[k])]) for k in (i, j)])[0]
+    }
+    assert want and want <= met
+
+
 def test_nulls_repeats_and_no_rows(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "zz"), (2, None), (3, "")],
