@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import NO_ID, list_array, listed, map_batches, stored, table, text_slices
+from pairlens.llm.common import BROADCAST_IDS, NO_ID, list_array, listed, map_batches, stored, table, text_slices
 from pairlens.llm.hashing import RangeHash, WordHashes, mix64, windows, words_of
 
 #: Words of a window.
@@ -38,6 +38,8 @@ WINDOW = 20
 LOW_ROUNDS, LOW_WORDS = 4, 3
 #: Fewest words of a high symbol (a window at least), and the rounds they are sought in.
 HIGH_WORDS, ROUNDS = 32, 48
+#: What tells rows apart: their document and, where that has several, their text.
+ROW = ["doc", "k1", "k2"]
 _LEFT, _RIGHT, _RUN = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -156,8 +158,28 @@ def _key(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
     return mix64(name + doc.astype(np.uint64) * _RUN)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, k1, k2, text): doc orders the documents, and ``ROW`` tells different texts apart.
+
+    k1 and k2 are a 128-bit hash of the text where rows of one doc differ in it, else 0, which
+    costs the tables in between next to nothing.
+    """
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    whole = docs.select("doc_id", doc, F.coalesce("text", F.lit("")).alias("text"))
+    hashes = F.xxhash64("text"), F.xxhash64(F.lit(7), "text")
+    ends = [f(h) for h in hashes for f in (F.min, F.max)]
+    several = stored(
+        whole.groupBy("doc").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+        .where("e0 <> e1 or e2 <> e3").select("doc", F.lit(True).alias("several"))
+    )
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    return whole.join(several, "doc", "left").select(
+        "doc_id", "doc", *[F.when(F.col("several"), h).otherwise(F.lit(0)).alias(k) for k, h in zip(ROW[1:], hashes)], "text"
+    )
+
+
 def document_symbols(docs: DataFrame) -> DataFrame:
-    """(name, doc): every low and high symbol of a document once."""
+    """(name, doc, k1, k2): every low and high symbol of a text once."""
 
     def run(batch):
         for rows, texts in text_slices(batch):
@@ -169,10 +191,9 @@ def document_symbols(docs: DataFrame) -> DataFrame:
             one = _once(doc, name)
             yield {
                 "name": name[one].view(np.int64),
-                "doc": rows.column("doc").take(pa.array(doc[one])),
-            }
+            } | {c: rows.column(c).take(pa.array(doc[one])) for c in ROW}
 
-    return map_batches(docs.select("doc", "text"), run, "name long, doc long")
+    return map_batches(docs.select(*ROW, "text"), run, "name long, doc long, k1 long, k2 long")
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -184,7 +205,7 @@ def _spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 def candidate_windows(flagged: DataFrame) -> DataFrame:
     """Per document its windows still in question, and the words already known to be repeats.
 
-    ``flagged`` has (doc_id, doc, text, names, earlier): the symbols of the document that other
+    ``flagged`` has (doc_id, doc, k1, k2, text, names, earlier): the symbols of the text that other
     documents have, and whether an earlier one does.
     """
 
@@ -235,7 +256,7 @@ def candidate_windows(flagged: DataFrame) -> DataFrame:
             ranges = np.stack([starts - first[holder], ends - first[holder]], 1).ravel().astype(np.int32)
             n_ranges = np.bincount(holder, minlength=len(texts))
             yield {
-                "doc_id": rows.column("doc_id"), "doc": rows.column("doc"),
+                "doc_id": rows.column("doc_id"), **{c: rows.column(c) for c in ROW},
                 "n_words": words.words_per_doc,
                 "whole_sha256": [hashlib.sha256(b" ".join(t.as_py().encode().split())).hexdigest() for t in texts],
                 "h64": list_array(h64.view(np.int64), per_doc),
@@ -246,7 +267,7 @@ def candidate_windows(flagged: DataFrame) -> DataFrame:
 
     return map_batches(
         flagged, run,
-        "doc_id long, doc long, n_words long, whole_sha256 string, "
+        "doc_id long, doc long, k1 long, k2 long, n_words long, whole_sha256 string, "
         "h64 array<long>, h32 array<int>, start array<int>, known array<int>",
     )
 
@@ -276,24 +297,25 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     A word goes if some window of ``WINDOW`` words over it occurred before: in a document of smaller
     doc_id, or earlier in the same document. Null texts have no words; documents below one window keep
-    all theirs. Rows without doc_id come after all others and count as one document, as do
-    repeated rows (they get the same result each). Other columns are not read.
+    all theirs. Rows without doc_id come after all others and count as one document, as do rows that
+    repeat a doc_id: passages that only they share stay, and each row loses the words of its own text
+    that an earlier document or that text itself had before. Equal rows get the same result each.
+    Other columns are not read.
     """
-    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
-    whole = docs.select("doc_id", doc, F.coalesce("text", F.lit("")).alias("text"))
+    whole = keyed(docs)
     symbols = stored(document_symbols(whole))
     shared = stored(
         symbols.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         .where("first < last").select("name", "first")
     )
     flags = (
-        symbols.join(shared, "name").groupBy("doc")
+        symbols.join(shared, "name").groupBy(*ROW)
         .agg(F.collect_list(F.struct("name", (F.col("first") < F.col("doc")).alias("earlier"))).alias("f"))
-        .select("doc", F.col("f.name").alias("names"), F.col("f.earlier").alias("earlier"))
+        .select(*ROW, F.col("f.name").alias("names"), F.col("f.earlier").alias("earlier"))
     )
-    cases = stored(candidate_windows(whole.join(flags, "doc", "left").select("doc_id", "doc", "text", "names", "earlier")))
-    windows_of = cases.select("doc", F.explode(F.arrays_zip("h64", "h32", "start")).alias("w")).select(
-        "doc", "w.h64", "w.h32", "w.start"
+    cases = stored(candidate_windows(whole.join(flags, ROW, "left").select("doc_id", *ROW, "text", "names", "earlier")))
+    windows_of = cases.select(*ROW, F.explode(F.arrays_zip("h64", "h32", "start")).alias("w")).select(
+        *ROW, "w.h64", "w.h32", "w.start"
     )
     seen = stored(
         windows_of.groupBy("h64", "h32").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -301,12 +323,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     )
     repeats = (
         windows_of.join(seen, ["h64", "h32"]).where("doc > first")
-        .groupBy("doc").agg(F.collect_list("start").alias("starts"))
+        .groupBy(*ROW).agg(F.collect_list("start").alias("starts"))
     )
     spans = stored(
-        cases.select("doc", "known").join(repeats, "doc", "left").where("size(known) > 0 or starts is not null").distinct()
+        cases.select(*ROW, "known").join(repeats, ROW, "left").where("size(known) > 0 or starts is not null").distinct()
     )
-    changed_ids = stored(spans.select("doc").distinct())
+    changed_ids = stored(spans.select(*ROW).distinct())
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def run(batch):
@@ -321,11 +343,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     columns = "doc_id", "text", "known", "starts"
     if with_text:
-        texts = whole.join(spans, "doc", "left")
+        texts = whole.join(spans, ROW, "left")
         return map_batches(texts.select(*columns), run, schema + ", kept string")
-    texts = whole.join(listed(changed_ids), "doc", "left_semi").join(spans, "doc")
+    texts = whole.join(listed(changed_ids), ROW, "left_semi").join(spans, ROW)
     changed = map_batches(texts.select(*columns), run, schema)
-    same = cases.join(listed(changed_ids), "doc", "left_anti").select(
+    same = cases.join(listed(changed_ids), ROW, "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256")
     )
     return changed.unionByName(same)

@@ -93,3 +93,31 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in R.remove_repeats(docs).collect())
     assert got == [(0, 60, 60), (2, 0, 0), (4, 60, 0), (4, 60, 0), (9, 61, 60)]
     assert R.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Null ids and a repeated id, each row with another passage of documents before or its own."""
+    rng = random.Random(6)
+
+    def text(n):
+        return [f"v{rng.randrange(500)}" for _ in range(n)]
+
+    first = [text(120) for _ in range(4)]
+    again = text(40)
+    rows = [(i, " ".join(t)) for i, t in enumerate(first)]
+    for id_ in (None, 7):
+        for k, t in enumerate(first):
+            rows.append((id_, " ".join(text(11 * k) + t[10 * k : 10 * k + 30] + text(50))))
+        rows.append((id_, " ".join(again + text(5) + again)))
+        rows += [(id_, " ".join(text(70))), rows[-1], (id_, None), (id_, "")]
+    rng.shuffle(rows)
+    want = []
+    for id_, t in rows:
+        before = [u for j, u in rows if j is not None and (id_ is None or j < id_)]
+        want.append((-1 if id_ is None else id_, *brute_force(before + [t])[len(before)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in R.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(w[:4] for w in want)
+    got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in R.remove_repeats(docs, with_text=True).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(w[2] > 0 for w in want) >= 10
