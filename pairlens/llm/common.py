@@ -121,6 +121,11 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def hub_order(weight: str, id_: str) -> Column:
+    """Orders rows by ``weight``, then by a hash of the id, then by the id; weights have no bound."""
+    return F.struct(F.col(weight), F.xxhash64(id_), F.col(id_))
+
+
 def class_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, label)``: for every vertex of the edges the smallest vertex it is connected to.
 

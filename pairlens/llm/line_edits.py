@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, listed, stored, table
+from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, hub_order, listed, stored, table
 
 THRESHOLD = 2
 #: Shorter lines are matched exactly only: with two edits they are often other lines.
@@ -232,21 +232,22 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     active = stored(
         hot.join(grouped, "h").select("h", "pos", "n", F.xxhash64("key", "chars").alias("key"))
     )
+    order = hub_order("weight", "h")
     for round_ in range(ROUNDS):
         classed = active.join(_sized(labels), "pos", "left").select(
             "key", "h", "pos", "n", F.coalesce("label", "pos").alias("label"),
             # The next hub is a line of the smallest class.
-            (F.coalesce("members", F.lit(1)) * F.lit(-(1 << 42)) - F.col("h").bitwiseAND((1 << 42) - 1)).alias("weight"),
+            (-F.coalesce("members", F.lit(1))).alias("weight"),
         )
         classed = stored(classed)
         per_class = classed.groupBy("key", "label").agg(
-            F.count(F.lit(1)).alias("lines"), F.max_by("h", "weight").alias("h"), F.max("weight").alias("weight")
+            F.count(F.lit(1)).alias("lines"), F.max_by("h", order).alias("h"), F.max("weight").alias("weight")
         )
         size = F.sum("lines")
         buckets = stored(
             per_class.groupBy("key").agg(
                 size.alias("size"), (size * size - F.sum(F.col("lines") * F.col("lines"))).alias("product"),
-                F.max_by("h", "weight").alias("hub"),
+                F.max_by("h", order).alias("hub"),
             ).where("product > 0")
         )
         large_keys, small_keys = _split(buckets, rows, everything=round_ == ROUNDS - 1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import class_labels, list_array, listed, map_batches, stored, table, text_slices
+from pairlens.llm.common import class_labels, hub_order, list_array, listed, map_batches, stored, table, text_slices
 from pairlens.llm.hashing import RangeHash, WordHashes, mix64, words_of
 
 K, SIMILARITY = 5, 0.8
@@ -241,34 +241,29 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _ranked(weight, rep="rep"):
-    """A long that orders by ``weight`` and then by a hash of the id."""
-    return weight * F.lit(1 << 42) + F.xxhash64(rep).bitwiseAND(F.lit((1 << 42) - 1))
-
-
 def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(verified pairs (a, b), labels) that connect every class of (rep, copies, sketches)."""
     found = tested = rows = pairs_left = None
-    copies = F.least("copies", F.lit(1 << 20))
+    order = hub_order("weight", "rep")
     active = vertices.select(
-        "rep", F.col("rep").alias("label"), _ranked(copies).alias("weight"), F.posexplode("sketches").alias("band", "key")
+        "rep", F.col("rep").alias("label"), F.col("copies").alias("weight"), F.posexplode("sketches").alias("band", "key")
     )
     for level in count():
         # The hub of a bucket is its most copied text, later a text of the smallest class.
         if level == 0:
             n = F.count(F.lit(1))
             each = active.groupBy("band", "key").agg(
-                n.alias("size"), (n * (n - 1) / 2).alias("pairs"), F.max_by("rep", "weight").alias("hub")
+                n.alias("size"), (n * (n - 1) / 2).alias("pairs"), F.max_by("rep", order).alias("hub")
             )
             each = each.where("size > 1").withColumn("hub_label", F.col("hub"))
         else:
             per_class = active.groupBy("band", "key", "label").agg(
-                F.count(F.lit(1)).alias("n"), F.max_by("rep", "weight").alias("rep"), F.max("weight").alias("weight")
+                F.count(F.lit(1)).alias("n"), F.max_by("rep", order).alias("rep"), F.max("weight").alias("weight")
             )
             size = F.sum("n")
             each = per_class.groupBy("band", "key").agg(
                 size.alias("size"), ((size * size - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
-                F.max_by("rep", "weight").alias("hub"), F.max_by("label", "weight").alias("hub_label"),
+                F.max_by("rep", order).alias("hub"), F.max_by("label", order).alias("hub_label"),
             ).where("pairs > 0")
         buckets = stored(each)
         expand = F.col("size") <= SMALL_BUCKET
@@ -312,7 +307,7 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
             .join(known, "rep", "left")
             .select(
                 "rep", "band", "key", "hub", F.coalesce("label", "rep").alias("label"),
-                _ranked(-F.coalesce("members", F.lit(1))).alias("weight"),
+                (-F.coalesce("members", F.lit(1))).alias("weight"),
             )
         )
         again = stored(again)

@@ -108,3 +108,16 @@ def test_nulls_repeats_and_no_rows(spark):
     assert kept == [(0, "alone", 9), (0, long, 9), (2, "new", 3)]
     assert L.duplicate_lines(docs.limit(0)).count() == 0
     assert L.drop_duplicate_lines(docs.limit(0)).columns == docs.columns
+
+
+def test_classes_of_millions_of_lines(spark, monkeypatch):
+    """Class sizes as they are at full size: the order of hubs must not overflow."""
+    sized = L._sized
+    monkeypatch.setattr(L, "_sized", lambda labels: sized(labels).withColumn("members", F.col("members") * 3_000_000))
+    monkeypatch.setattr(L, "PAIRS_PER_ROW", 0)
+    texts = corpus(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in L.duplicate_lines(docs).collect()}
+    monkeypatch.undo()
+    want = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in L.duplicate_lines(docs).collect()}
+    assert got == want

@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens.llm import order_minhash as O
+from pairlens.llm.common import hub_order
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -135,6 +137,13 @@ def test_prefix_pairs_hold_every_alike_pair(spark):
     assert want and want <= met
 
 
+@pytest.mark.parametrize("members", [5, 3_000_000, 1 << 40])
+def test_hub_is_of_the_smallest_class_at_any_size(spark, members):
+    rows = spark.createDataFrame([(1, -members), (2, -4), (3, -members)], "rep long, weight long")
+    assert rows.agg(F.max_by("rep", hub_order("weight", "rep"))).first()[0] == 2
+    assert rows.agg(F.min_by("rep", hub_order("weight", "rep"))).first()[0] in (1, 3)
+
+
 def test_nulls_repeats_and_no_rows(spark):
     docs = spark.createDataFrame(
         [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "zz"), (2, None), (3, "")],
