@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,13 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(HELD_OUT_MODULUS)) == 0
 
 
+def lowered(texts) -> list[bytes]:
+    """Texts (strings, bytes or an arrow array) in lower case, the same for training and scoring."""
+    if isinstance(texts, pa.Array):
+        texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+    return [(t if isinstance(t, str) else t.decode("utf-8", "replace")).lower().encode() for t in texts]
+
+
 def subwords(hashes: WordHashes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all n-grams of the given words in their order, number of them per word).
 
@@ -106,7 +114,7 @@ class _Batch:
     """Some training documents: distinct words with their n-grams, and where they stand."""
 
     def __init__(self, texts: list[str]):
-        hashes = words_of([t.lower().encode() for t in texts])
+        hashes = words_of(lowered(texts))
         _, one, self.which = np.unique(hashes.words(), return_index=True, return_inverse=True)
         self.refs, self.counts = subwords(hashes, one)
         self.first, self.doc = _spans(hashes.words_per_doc)
@@ -204,8 +212,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def scores(model: Model, texts) -> np.ndarray:
-    """Probability of toxic per text; texts without words get that of the bias alone."""
-    hashes = words_of(texts)
+    """Probability of toxic per text in lower case; texts without words get that of the bias alone."""
+    hashes = words_of(lowered(texts))
     docs = len(hashes.words_per_doc)
     logit = np.zeros(docs)
     if len(hashes.starts):

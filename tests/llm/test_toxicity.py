@@ -45,6 +45,19 @@ def test_unseen_documents_and_misspellings(model):
             assert ((p >= 0.5) == y).mean() > 0.98
 
 
+def test_capitals_score_as_small_letters(spark, model):
+    rows = make(200, 3, BAD)
+    y = np.array([r[2] for r in rows])
+    lower = T.scores(model, [r[1].encode() for r in rows])
+    for change in (str.upper, str.title, str.swapcase):
+        docs = spark.createDataFrame([(r[0], change(r[1])) for r in rows], "doc_id long, text string")
+        got = {r.doc_id: r for r in T.score_documents(docs, model).collect()}
+        assert [got[r[0]].score for r in rows] == pytest.approx(lower.tolist())
+        assert (np.array([got[r[0]].predicted for r in rows]) == y).mean() > 0.98
+    one, two = (T.scores(model, [t.encode()])[0] for t in ("ÉCOLE İS ΣΟΦΌΣ Scoundrel", "école i̇s σοφός scoundrel"))
+    assert one == two
+
+
 def test_scoring_matches_word_by_word(model):
     text = "Some scoundrel walks, the  bright\nwindow often a1 é blockhead carry more words here"
 
