@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pairlens.llm import learned_partitions, line_edits, mixing, order_minhash, packing, recompression, resampling, syncmers, toxicity, url_rules
+from pairlens.llm import (
+    learned_partitions,
+    line_edits,
+    mixing,
+    order_minhash,
+    packing,
+    recompression,
+    resampling,
+    source_audit,
+    syncmers,
+    token_alignment,
+    toxicity,
+    url_rules,
+    zip_archives,
+)
 
 
 def queries():
@@ -17,6 +31,9 @@ def queries():
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_edits": line_edits.op9_line_edits,
         "op10_url_rules": url_rules.op10_url_rules,
+        "op11_source_audit": source_audit.op11_source_audit,
+        "op12_zip_archives": zip_archives.op12_zip_archives,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
@@ -24,4 +41,6 @@ def oracle_sql():
     return {
         "op4_mix_sources": mixing.ORACLE,
         "op10_url_rules": url_rules.ORACLE,
+        "op11_source_audit": source_audit.ORACLE,
+        "op12_zip_archives": zip_archives.ORACLE,
     }
