@@ -7,9 +7,14 @@ of the segment bound. Segments are indexed by (l, number, content), and every li
 lengths l, l-1, .. l-threshold with the few substrings that can matter.
 
 A segment that many lines share is not expanded into pairs. Its lines are compared with one hub, and
-those not yet in one class are dealt again by a second necessary condition: of the characters of two
-lines within the threshold, split into groups by a hash, some group is the same. What is still
-together after that is joined in pairs of different classes and about equal length.
+those that still stand in several classes are dealt again by what sets them apart from the hub. An
+edit spoils at most GRAM runs of GRAM characters, so of the runs that one line has and the hub has
+not, all but GRAM * threshold are in every line within the threshold as well; the same holds for the
+runs that only the hub has. Two such lines thus share one of the first GRAM * threshold + 1 of these
+runs in any order, if either has so many. Lines that differ from the hub by fewer runs of both kinds
+are dealt by their characters instead: split into groups by a hash, some group is the same in two
+lines within the threshold. Only members that share such a key are joined, in pairs of different
+classes and about equal length.
 
 Candidates are verified by a bit-parallel automaton over the band of diagonals that the threshold
 allows: one short mask per number of edits, moved on by every character.
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, hub_order, listed, stored, table
+from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, listed, stored, table
 
 THRESHOLD = 2
 #: Shorter lines are matched exactly only: with two edits they are often other lines.
@@ -29,8 +34,8 @@ LEAST_CHARS = 20
 SMALL_BUCKET = 64
 #: So many (ordered) pairs of different classes per matched row are expanded even from large ones.
 PAIRS_PER_ROW = 2
-#: Rounds after the first hub; the last one joins pairs of different classes.
-ROUNDS = 1
+#: Characters of the runs that tell lines from their hub.
+GRAM = 3
 #: Parts per segment in the filter before verification.
 FILTER_PARTS = 4
 _LINES_PER_DOC = 1 << 31
@@ -41,11 +46,14 @@ def split_lines(text: Column) -> Column:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(pos, doc_id, line_no, line): pos orders lines by (doc_id, line_no), no id last."""
+    """(pos, doc_id, text_hash, line_no, line): pos orders lines by (doc_id, line_no), no id last."""
     doc = F.coalesce("doc_id", F.lit(NO_ID)).cast("decimal(38,0)")
-    return docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).select(
+    rows = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")
+    )
+    return rows.select(
         (doc * F.lit(_LINES_PER_DOC) + F.col("line_no")).cast("decimal(38,0)").alias("pos"),
-        "doc_id", "line_no", "line",
+        "doc_id", "text_hash", "line_no", "line",
     )
 
 
@@ -161,18 +169,20 @@ def plausible(a: Column, b: Column, n: Column, threshold: int) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, pos_a, pos_b, ok) for pairs of line hashes."""
-    ids = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = stored(lines.join(listed(ids), "h", "left_semi").select("h", "pos", "line"))
+    """(a, b, ok) for pairs of line hashes."""
     a, b = F.col("line_a"), F.col("line_b")
-    joined = (
-        pairs.join(texts.toDF("a", "pos_a", "line_a"), "a")
-        .join(texts.toDF("b", "pos_b", "line_b"), "b")
-        .withColumn("n_a", F.length("line_a"))
-        .withColumn("maybe", plausible(a, b, F.col("n_a"), threshold))
+    joined = _with_texts(pairs, lines).withColumn("n_a", F.length("line_a")).withColumn(
+        "maybe", plausible(a, b, F.col("n_a"), threshold)
     )
     ok = F.when(F.col("maybe"), within(a, b, threshold)).otherwise(F.lit(False))
-    return joined.select("a", "b", "pos_a", "pos_b", ok.alias("ok"))
+    return joined.select("a", "b", ok.alias("ok"))
+
+
+def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs of line hashes with ``line_a`` and ``line_b``."""
+    ids = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    texts = stored(lines.join(listed(ids), "h", "left_semi").select("h", "line"))
+    return pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
 
 
 def character_groups(line: Column, threshold: int) -> Column:
@@ -192,8 +202,42 @@ def character_groups(line: Column, threshold: int) -> Column:
     )[0]
 
 
+def grams(line: Column) -> Column:
+    """Hashes of all different runs of GRAM characters."""
+    runs = F.transform(
+        F.array(F.split(line, "")),
+        lambda chars: F.transform(
+            chars, lambda c, i: F.xxhash64(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, GRAM)])
+        ),
+    )[0]
+    return F.array_distinct(runs)
+
+
+def apart_keys(a: Column, b: Column, threshold: int) -> Column:
+    """Keys of line ``b`` by what sets it apart from the hub ``a``; see the module's text.
+
+    Runs at the end of a line are shorter; an edit there spoils no more of them.
+    """
+    most = GRAM * threshold
+
+    def first(runs: Column, sign: int) -> Column:
+        chosen = F.slice(F.array_sort(runs), 1, most + 1)
+        return F.transform(chosen, lambda g: F.xxhash64(F.lit(sign), g))
+
+    def keys(e: Column) -> Column:
+        only_b, only_a = F.array_except(e["b"], e["a"]), F.array_except(e["a"], e["b"])
+        near = F.size(only_b) <= most
+        return F.concat(
+            first(only_b, 1),
+            F.when(near, first(only_a, 2)).otherwise(F.array().cast("array<bigint>")),
+            F.when(near & (F.size(only_a) <= most), character_groups(b, threshold)).otherwise(F.array().cast("array<bigint>")),
+        )
+
+    return F.transform(F.array(F.struct(grams(a).alias("a"), grams(b).alias("b"))), keys)[0]
+
+
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(verified links (pos_a, pos_b), class labels) of lines (pos, h, line)."""
+    """(verified links (a, b), class labels (id, label)) of lines (h, line), all by their hash h."""
     fuzzy = lines.where(F.length("line") >= max(LEAST_CHARS, threshold + 1)).select(
         "h", "line", F.length("line").alias("n")
     )
@@ -219,58 +263,36 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
         )
     )
     tested = stored(_verified(_new_pairs(pairs, None), lines, threshold))
-    labels = class_labels(tested.where("ok"), "pos_a", "pos_b")
+    labels = class_labels(tested.where("ok"))
     if large_keys is None:
-        return tested.where("ok").select("pos_a", "pos_b"), labels
-    # Lines of large segments are dealt again by the characters they have in each group.
-    hot = members.join(large_keys, "key", "left_semi").where("hub <> h").select("key", "h")
-    hashes = stored(hot.select("h").distinct())
-    grouped = stored(
-        lines.join(listed(hashes), "h", "left_semi")
-        .select("h", "pos", F.length("line").alias("n"), F.explode(character_groups(F.col("line"), threshold)).alias("chars"))
+        return tested.where("ok").select("a", "b"), labels
+    # Members of large segments, by hub; a hub whose lines are all in one class has no pair left.
+    hot = stored(members.join(large_keys, "key", "left_semi").where("hub <> h").select("hub", "h").distinct())
+    classed = hot.join(labels.withColumnRenamed("id", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    mixed = classed.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    classed = stored(classed.join(mixed.select("hub"), "hub", "left_semi"))
+    told = _with_texts(classed.select(F.col("hub").alias("a"), F.col("h").alias("b"), "label"), lines)
+    keyed = stored(
+        told.select("a", "b", "label", F.length("line_b").alias("n"), apart_keys(F.col("line_a"), F.col("line_b"), threshold).alias("keys"))
+        .select(F.explode("keys").alias("k"), "a", "b", "label", "n")
+        .select(F.xxhash64("a", "k").alias("key"), F.col("b").alias("h"), "label", "n").distinct()
     )
-    active = stored(
-        hot.join(grouped, "h").select("h", "pos", "n", F.xxhash64("key", "chars").alias("key"))
+    # No pair is within the largest class of a key, so only the others look for partners.
+    per_class = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = stored(
+        per_class.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
+        .where("classes > 1").select("key", "most")
     )
-    order = hub_order("weight", "h")
-    for round_ in range(ROUNDS):
-        classed = active.join(_sized(labels), "pos", "left").select(
-            "key", "h", "pos", "n", F.coalesce("label", "pos").alias("label"),
-            # The next hub is a line of the smallest class.
-            (-F.coalesce("members", F.lit(1))).alias("weight"),
-        )
-        classed = stored(classed)
-        per_class = classed.groupBy("key", "label").agg(
-            F.count(F.lit(1)).alias("lines"), F.max_by("h", order).alias("h"), F.max("weight").alias("weight")
-        )
-        size = F.sum("lines")
-        buckets = stored(
-            per_class.groupBy("key").agg(
-                size.alias("size"), (size * size - F.sum(F.col("lines") * F.col("lines"))).alias("product"),
-                F.max_by("h", order).alias("hub"),
-            ).where("product > 0")
-        )
-        large_keys, small_keys = _split(buckets, rows, everything=round_ == ROUNDS - 1)
-        left = classed.join(small_keys, "key", "left_semi").select(
-            "key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")
-        )
-        right = left.withColumnsRenamed({"key": "key_b", "a": "b", "la": "lb", "na": "nb"})
-        apart = "key = key_b and a < b and la <> lb"
-        pairs = left.join(right, F.expr(f"{apart} and abs(na - nb) <= {threshold}")).select("a", "b")
-        if large_keys is not None:
-            hubs = buckets.join(large_keys, "key", "left_semi").select("key", F.col("hub").alias("a"))
-            star = classed.join(hubs, "key").where("h <> a").select("a", F.col("h").alias("b"))
-            pairs = pairs.union(star)
-        checked = _verified(_new_pairs(pairs, tested), lines, threshold)
-        tested = stored(tested.unionByName(checked))
-        labels = class_labels(tested.where("ok"), "pos_a", "pos_b")
-        if large_keys is None:
-            break
-        active = stored(active.join(hubs, "key").where("h <> a").select("h", "pos", "n", "key"))
-    return tested.where("ok").select("pos_a", "pos_b"), labels
-
-
-def _split(buckets: DataFrame, rows: int, everything: bool = False) -> tuple[DataFrame | None, DataFrame]:
+    held = keyed.join(most, "key")
+    left = held.where("label <> most").select("key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = held.select(F.col("key").alias("key_b"), "most", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    apart = f"key = key_b and la <> lb and (lb = most or a < b) and abs(na - nb) <= {threshold}"
+    pairs = left.join(right, F.expr(apart)).select("a", "b")
+    tested = stored(tested.unionByName(_verified(_new_pairs(pairs, tested), lines, threshold)))
+    return tested.where("ok").select("a", "b"), class_labels(tested.where("ok"))
+
+
+def _split(buckets: DataFrame, rows: int) -> tuple[DataFrame | None, DataFrame]:
     """Keys of the buckets to compare with a hub (None if there are none) and of those to expand.
 
     Where all pairs of the large buckets are no more than ``rows``, those that segments matched, they
@@ -278,7 +300,7 @@ def _split(buckets: DataFrame, rows: int, everything: bool = False) -> tuple[Dat
     """
     big = F.col("product") > SMALL_BUCKET
     pairs = buckets.agg(F.coalesce(F.sum(F.when(big, F.col("product"))), F.lit(0))).first()[0]
-    if everything or pairs <= PAIRS_PER_ROW * rows:
+    if pairs <= PAIRS_PER_ROW * rows:
         return None, buckets.select("key")
     return buckets.where(big).select("key"), buckets.where(~big).select("key")
 
@@ -290,21 +312,23 @@ def _new_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return stored(out)
 
 
-def _sized(labels: DataFrame) -> DataFrame:
-    """(pos, label, members)."""
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    return labels.join(sizes, "label").withColumnRenamed("id", "pos")
-
-
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(h, h2, first, copies, class_pos) of every distinct line; positions as in ``positions``."""
+    """(h, h2, first, copies, class_pos, class_h) of every distinct line; positions as in ``positions``.
+
+    A class's first line is the one of smallest position; where rows repeat a position with other
+    lines, the one of smaller hash.
+    """
     lines = stored(
         positions(docs).groupBy("line").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies"))
         .select("pos", "copies", *line_key(), "line")
     )
     _, labels = edit_links(lines, threshold)
-    return lines.select("pos", "copies", "h", "h2").join(labels.withColumnRenamed("id", "pos"), "pos", "left").select(
-        "h", "h2", F.col("pos").alias("first"), "copies", F.coalesce("label", "pos").alias("class_pos")
+    known = lines.select("pos", "copies", "h", "h2").join(labels.withColumnRenamed("id", "h"), "h", "left")
+    known = stored(known.withColumn("label", F.coalesce("label", "h")))
+    first = known.groupBy("label").agg(F.min(F.struct("pos", "h")).alias("first_line"))
+    return known.join(first, "label").select(
+        "h", "h2", F.col("pos").alias("first"), "copies",
+        F.col("first_line.pos").alias("class_pos"), F.col("first_line.h").alias("class_h"),
     )
 
 
@@ -314,32 +338,43 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     A class is what links of at most ``threshold`` edits connect; its id is its first line by
     (doc_id, line_no). All its other lines are duplicates. Lines shorter than ``LEAST_CHARS`` are
     linked to equal lines only, and lines of white space are never duplicates. Null texts have no
-    lines, empty ones one empty line. Repeated rows repeat their lines with the same position, so
-    a first line stays first in each of them. Rows without doc_id come last.
+    lines, empty ones one empty line; texts and lines of any length are taken whole. Repeated rows
+    repeat their lines with the same position, so a first line stays first in each of them. Rows that
+    repeat a doc_id with another text are documents of their own: their lines are told apart by
+    content, and of several at the class's first position one is first. Rows without doc_id come
+    last and count as one document in that. Ties cannot occur. Other columns are not read.
     """
+    return _judged(docs, threshold).drop("text_hash")
+
+
+def _judged(docs: DataFrame, threshold: int) -> DataFrame:
     known = stored(line_classes(docs, threshold))
     rows = positions(docs).select(
-        "pos", "doc_id", "line_no", *line_key(), (~F.col("line").rlike(WORD_PATTERN)).alias("blank")
+        "pos", "doc_id", "line_no", "text_hash", *line_key(), (~F.col("line").rlike(WORD_PATTERN)).alias("blank")
     )
     class_doc = F.floor(F.col("class_pos") / F.lit(_LINES_PER_DOC).cast("decimal(38,0)")).cast("long")
+    first = (F.col("pos") == F.col("class_pos")) & (F.col("h") == F.col("class_h"))
     return rows.join(known, ["h", "h2"]).select(
-        "doc_id", "line_no",
+        "doc_id", "line_no", "text_hash",
         F.when(class_doc < NO_ID, class_doc).alias("class_doc_id"),
         (F.col("class_pos") - class_doc.cast("decimal(38,0)") * F.lit(_LINES_PER_DOC)).cast("int").alias("class_line_no"),
         "copies",
-        ((F.col("pos") != F.col("class_pos")) & ~F.col("blank")).alias("duplicate"),
+        (~first & ~F.col("blank")).alias("duplicate"),
     )
 
 
 def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with duplicate lines cut out of ``text``; documents left without text go.
 
-    Documents without duplicate lines keep their exact text, null texts included. ``n_chars``, where
-    there is such a column, is set to the new length of changed texts.
+    Lines are cut from the rows they stand in: rows are told apart by doc_id and text. Documents
+    without duplicate lines keep their exact text, null texts included, and rows without doc_id are
+    not cut. ``n_chars``, where there is such a column, is set to the new length of changed texts.
+    All columns of ``docs`` stay, whatever their names.
     """
     removed = stored(
-        duplicate_lines(docs, threshold).where("duplicate and doc_id is not null")
-        .groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))
+        _judged(docs.select("doc_id", "text"), threshold).where("duplicate and doc_id is not null")
+        .groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_text"))
+        .agg(F.collect_set("line_no").alias("_removed"))
     )
     numbered = F.transform(split_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
     kept = F.transform(
@@ -347,7 +382,8 @@ def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     )
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     # The lists have no size bound, so they are never broadcast.
-    out = docs.join(removed.hint("merge"), "doc_id", "left").withColumn("_text", text)
+    same = (F.col("doc_id") == F.col("_cut_id")) & (F.xxhash64("text") == F.col("_cut_text"))
+    out = docs.join(removed.hint("merge"), same, "left").withColumn("_text", text)
     out = out.where(F.col("_removed").isNull() | F.col("_text").rlike(WORD_PATTERN))
     columns = [
         F.col("_text").alias("text") if c == "text"

@@ -6,7 +6,9 @@ agree on a sketch only if they share those k-mers in the same order. Twenty sket
 functions of their own are taken; at similarity 0.8 two documents miss all of them with a
 probability below one in a million.
 
-Equal texts are one vertex. Documents that agree on a sketch form a bucket. Small buckets are
+Equal texts are one vertex. Its key is the smallest doc_id of its rows with 62 bits of the text's hash
+behind it, so rows that repeat a doc_id, or have none, with other texts are vertices of their own, and
+the smallest key of a class holds its smallest doc_id. Documents that agree on a sketch form a bucket. Small buckets are
 compared pairwise; in large ones every member is compared with the bucket's hub. While that leaves
 members of several classes together, a member of the smallest class is the next hub of the same
 bucket. Once hubs no longer halve the pairs of different classes, those members are dealt by a
@@ -15,7 +17,9 @@ one, two such documents share a k-mer among the first fifth of each. All pairs o
 that it leaves are compared, so every pair that agrees on a sketch is compared or in one class.
 
 A candidate pair is verified by aligning the two sequences of k-mers inside the band that the
-similarity allows, with bit-parallel rows. Similarity is matched k-mers over all of both, i.e.
+similarity allows, with bit-parallel rows. K-mers are made once per text and travel in pieces of
+bounded size; pairs are sorted by one of their texts, so that a hub's k-mers come once for a run of
+up to ``PAIRS_PER_HEAD`` pairs and not once per pair. Similarity is matched k-mers over all of both, i.e.
 the Jaccard similarity of labelled five-word runs that the alignment keeps in order.
 """
 
@@ -27,10 +31,10 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import class_labels, hub_order, list_array, listed, map_batches, stored, table, text_slices
+from pairlens.llm.common import NO_ID, class_labels, hub_order, list_array, listed, map_batches, stored, table, text_slices
 from pairlens.llm.hashing import RangeHash, WordHashes, mix64, words_of
 
 K, SIMILARITY = 5, 0.8
@@ -39,6 +43,9 @@ SKETCHES, PER_SKETCH = 20, 3
 SMALL_BUCKET = 8
 #: So many pairs of different classes per row of all buckets are expanded even from large buckets.
 PAIRS_PER_ROW = 1
+#: K-mers of one row on their way to verification, and pairs that share one copy of a hub's k-mers.
+PIECE, PAIRS_PER_HEAD = 1024, 256
+_HASH_VALUES = 1 << 62
 _RNG = np.random.default_rng(11)
 _ODD = _RNG.integers(1 << 62, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -147,52 +154,129 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> tuple
     return found >= need, found
 
 
+def vertex_key(doc_id: Column, h1: Column) -> Column:
+    """doc_id (after all others, where there is none) and 62 bits of the text's hash in one decimal."""
+    doc = F.coalesce(doc_id, F.lit(NO_ID)).cast("decimal(38,0)")
+    values = F.lit(_HASH_VALUES).cast("decimal(38,0)")
+    return (doc * values + F.pmod(h1, F.lit(_HASH_VALUES)).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def key_doc(key: Column) -> Column:
+    """The doc_id of a vertex key, ``NO_ID`` for none."""
+    values = F.lit(_HASH_VALUES).cast("decimal(38,0)")
+    return F.call_function("div", key - F.pmod(key, values), values)
+
+
+def _text_hash(words: WordHashes) -> np.ndarray:
+    lo, hi = words.first_word[:-1], words.first_word[1:]
+    whole = RangeHash(words.words()).range(lo, hi)
+    return mix64(whole + words.words_per_doc.astype(np.uint64)).astype(np.int64)
+
+
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, sketches): two hashes of the word sequence, k-mers, their sketches."""
+    """(doc_id, text_hash, h1, h2, n, sketches): a hash of the text as it stands, two of its word
+    sequence, its k-mers and their sketches."""
 
     def run(batch):
         for rows, texts in text_slices(batch):
             words = words_of(texts)
             runs, n = shingles(words)
             kmers = labelled(runs, n)
-            whole = RangeHash(words.words()), RangeHash(words.words(1))
             lo, hi = words.first_word[:-1], words.first_word[1:]
             size = words.words_per_doc.astype(np.uint64)
             rows_of_sketches = order_sketches(kmers, n).astype(np.int64)
             yield {
                 "doc_id": rows.column("doc_id"),
-                "h1": mix64(whole[0].range(lo, hi) + size).astype(np.int64),
-                "h2": mix64(whole[1].range(lo, hi, 3) + size).astype(np.int64),
+                "text_hash": rows.column("text_hash"),
+                "h1": _text_hash(words),
+                "h2": mix64(RangeHash(words.words(1)).range(lo, hi, 3) + size).astype(np.int64),
                 "n": n,
                 "sketches": list_array(rows_of_sketches.ravel(), SKETCHES * (n > 0)),
             }
 
     return map_batches(
-        docs.select("doc_id", "text"), run,
-        "doc_id long, h1 long, h2 long, n long, sketches array<long>",
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run,
+        "doc_id long, text_hash long, h1 long, h2 long, n long, sketches array<long>",
     )
 
 
-def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ok) for candidate pairs of doc ids."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = stored(docs.select("doc_id", "text").join(listed(ids), "doc_id", "left_semi"))
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+def kmers_of(keys: DataFrame, docs: DataFrame, labels: bool) -> DataFrame:
+    """(rep, n, piece, kmers) of the vertices in column ``rep``, in pieces of at most ``PIECE`` k-mers.
+
+    With ``labels`` k-mers are labelled by their number among equal ones. Rows that repeat a doc_id
+    and its text come once.
+    """
+    keys = stored(keys.select("rep").distinct())
+    ids = stored(keys.select(key_doc(F.col("rep")).alias("doc")).distinct())
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").join(listed(ids), "doc", "left_semi")
 
     def run(batch):
-        step = 256
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            sides = []
-            for name in ("text_a", "text_b"):
-                runs, n = shingles(words_of(part.column(name)))
-                sides.append(np.split(runs, np.cumsum(n)[:-1]))
+        for rows, texts in text_slices(batch):
+            words = words_of(texts)
+            runs, n = shingles(words)
+            values = labelled(runs, n) if labels else runs
+            pieces = -(-n // PIECE)
+            owner = np.repeat(np.arange(len(n)), pieces)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             yield {
-                "a": part.column("a"), "b": part.column("b"),
-                "ok": [alike(x, y, similarity)[0] for x, y in zip(*sides)],
+                "doc": rows.column("doc").take(pa.array(owner)), "h1": _text_hash(words)[owner], "n": n[owner], "piece": number,
+                "kmers": list_array(values.astype(np.int64), np.minimum(n[owner] - number * PIECE, PIECE)),
             }
 
-    return map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long, ok boolean")
+    made = map_batches(texts, run, "doc long, h1 long, n long, piece int, kmers array<long>")
+    made = made.select(vertex_key(F.col("doc"), F.col("h1")).alias("rep"), "n", "piece", "kmers")
+    return made.join(listed(keys), "rep", "left_semi").dropDuplicates(["rep", "piece"])
+
+
+def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) for candidate pairs of vertices."""
+    pieces = stored(kmers_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), docs, labels=False))
+    heads = pairs.groupBy(F.col("a").alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    heads = stored(heads.where(F.col("n") > PAIRS_PER_HEAD).select("head", F.ceil(F.col("n") / PAIRS_PER_HEAD).alias("parts")))
+    many = F.broadcast(heads) if heads.count() <= 100_000 else heads
+    dealt = pairs.join(many, pairs["a"] == many["head"], "left").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    )
+    of = lambda c: pieces.select(F.col("rep").alias(c), "piece", "kmers")
+    first = dealt.select("a", "part").distinct().join(of("a"), "a").select("a", "part", F.lit(None).cast("decimal(38,0)").alias("b"), "piece", "kmers")
+    rows = first.unionByName(dealt.join(of("b"), "b").select("a", "part", "b", "piece", "kmers"))
+    # The text a of a run of pairs comes first (no b), then each b in turn.
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "b", "piece")
+
+    def run(batches):
+        head = tail = None
+        held: dict[bool, list] = {False: [], True: []}
+        done: list[tuple] = []
+
+        def close():
+            if tail is not None:
+                one, two = (np.concatenate(held[k]) for k in (False, True))
+                done.append((head[0], tail, alike(one, two, similarity)[0]))
+
+        for batch in batches:
+            lists = batch.column("kmers")
+            cuts, values = np.asarray(lists.offsets), np.asarray(lists.values)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")))
+            for k, (a, part, b) in enumerate(keys):
+                if (a, part) != head or b != tail:
+                    close()
+                    tail, held[True] = b, []
+                    if (a, part) != head:
+                        head, held[False] = (a, part), []
+                held[b is not None].append(values[cuts[k] : cuts[k + 1]].copy())
+            yield _checked(done)
+            done.clear()
+        close()
+        yield _checked(done)
+
+    return rows.mapInArrow(run, "a decimal(38,0), b decimal(38,0), ok boolean")
+
+
+def _checked(rows: list[tuple]) -> pa.RecordBatch:
+    key = pa.decimal128(38, 0)
+    columns = zip(*rows) if rows else ((), (), ())
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, (key, key, pa.bool_()))]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "ok"])
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -204,24 +288,11 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     members have brings no pairs. k-mers of one text only are counted but not joined.
     """
     members = stored(members)
-    ids = stored(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(listed(ids), "doc_id", "left_semi").distinct()
-
-    def run(batch):
-        for rows, texts in text_slices(batch):
-            words = words_of(texts)
-            runs, n = shingles(words)
-            whole = RangeHash(words.words()).range(words.first_word[:-1], words.first_word[1:])
-            yield {
-                "rep": rows.column("doc_id"), "own": whole.astype(np.int64), "n": n,
-                "kmers": list_array(labelled(runs, n).astype(np.int64), n),
-            }
-
-    whole = stored(map_batches(texts, run, "rep long, own long, n long, kmers array<long>"))
-    kmers = whole.dropDuplicates(["rep", "own"]).select("rep", "own", "n", F.explode("kmers").alias("kmer"))
+    whole = stored(kmers_of(members, docs, labels=True))
+    kmers = whole.select("rep", "n", F.explode("kmers").alias("kmer"))
     shared = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     common = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6))
-    first = (kmers.join(shared, "kmer").groupBy("rep", "own", "n")
+    first = (kmers.join(shared, "kmer").groupBy("rep", "n")
              .agg(F.sort_array(F.collect_list(F.struct("texts", "kmer"))).alias("known"))
              .withColumn("take", (F.size("known") - common + 1).cast("int")).where("take > 0")
              .select("rep", "n", F.explode(F.slice("known", F.lit(1), F.col("take"))).alias("k")))
@@ -321,46 +392,62 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float) -> tuple[Data
     return found, labels
 
 
+def vertices_of(sketched: DataFrame) -> DataFrame:
+    """(h1, h2, rep, copies, sketches) of every distinct text."""
+    first = F.min_by(F.struct("n", "sketches"), F.coalesce("doc_id", F.lit(NO_ID))).alias("first")
+    groups = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), first)
+    return groups.select("h1", "h2", vertex_key(F.col("doc"), F.col("h1")).alias("rep"), "copies", "first.sketches")
+
+
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, h1, rep, label) of every row with a text."""
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sketched = stored(sketch_documents(texts))
+    groups = stored(vertices_of(sketched))
+    _, labels = links(groups.select("rep", "copies", "sketches"), texts, similarity)
+    classes = groups.select("h1", "h2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = stored(classes.select("h1", "h2", "rep", F.coalesce("label", "rep").alias("label")))
+    return sketched.select("doc_id", "text_hash", "h1", "h2").join(classes, ["h1", "h2"])
+
+
+def _doc_or_null(key: Column) -> Column:
+    doc = key_doc(key)
+    return F.when(doc < NO_ID, doc)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, copy_of, class_id), one row per document.
+    """(doc_id, copy_of, class_id), one row per row of ``docs``.
 
     ``copy_of`` is the smallest doc_id with the same words, ``class_id`` the smallest of all
     documents connected by pairs of at least ``similarity``. Texts without words are copies of one
-    another; null texts are copies of nothing and stand alone. Rows without doc_id join the class of
-    equal texts but link nothing. Repeated rows stay repeated. Other columns are not read.
+    another; null texts are copies of nothing and stand alone. Rows without doc_id take part like
+    all others, after them in the order; a class of such rows only has no id. Rows that repeat a
+    doc_id with another text are told apart by it and may be of different classes. Repeated rows
+    stay repeated. Texts of any length are compared whole. Ties cannot occur. No rows give no rows.
+    Other columns are not read.
     """
-    whole = docs.select("doc_id", "text")
-    texts = whole.where("text is not null")
-    sketched = stored(sketch_documents(texts))
-    first = F.min_by(F.struct("n", "sketches"), "doc_id").alias("first")
-    groups = stored(
-        sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first)
-        .select("h1", "h2", "rep", "copies", "first.sketches")
-    )
-    vertices = groups.where("rep is not null").select("rep", "copies", "sketches")
-    _, labels = links(vertices, texts, similarity)
-    classes = groups.select("h1", "h2", "rep").join(
-        labels.select(F.col("id").alias("rep"), "label"), "rep", "left"
-    )
-    classes = stored(classes.select("h1", "h2", "rep", F.coalesce("label", "rep").alias("class_id")))
-    known = sketched.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select(
-        "doc_id", F.col("rep").alias("copy_of"), "class_id"
+    known = _classed(docs, similarity).select(
+        "doc_id", _doc_or_null(F.col("rep")).alias("copy_of"), _doc_or_null(F.col("label")).alias("class_id")
     )
-    alone = whole.where("text is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
+    alone = docs.where("text is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
     return known.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id.
+    """``docs`` without the documents of a class but for its first text by doc_id.
 
-    Of rows repeating the kept doc_id all stay, and so do rows without doc_id whose class has none.
+    A row goes if its doc_id or its words are not those of the class's first text. Rows that repeat
+    both all stay, as do rows with null text and rows without doc_id, which nothing can name. All
+    columns stay, whatever their names.
     """
     dropped = (
-        near_duplicates(docs, similarity)
-        .where("class_id is not null and not (doc_id <=> class_id) and doc_id is not null")
-        .select("doc_id").distinct()
+        _classed(docs, similarity)
+        .where("doc_id is not null").where(vertex_key(F.col("doc_id"), F.col("h1")) != F.col("label"))
+        .select(F.col("doc_id").alias("_dropped_id"), F.col("text_hash").alias("_dropped_text")).distinct()
     )
-    return docs.join(listed(stored(dropped)), "doc_id", "left_anti")
+    dropped = listed(stored(dropped))
+    same = (F.col("doc_id") == F.col("_dropped_id")) & (F.xxhash64("text") == F.col("_dropped_text"))
+    return docs.join(dropped, same, "left_anti")
 
 
 def op1_order_minhash(spark, sf_dir):

@@ -110,14 +110,46 @@ def test_nulls_repeats_and_no_rows(spark):
     assert L.drop_duplicate_lines(docs.limit(0)).columns == docs.columns
 
 
-def test_classes_of_millions_of_lines(spark, monkeypatch):
-    """Class sizes as they are at full size: the order of hubs must not overflow."""
-    sized = L._sized
-    monkeypatch.setattr(L, "_sized", lambda labels: sized(labels).withColumn("members", F.col("members") * 3_000_000))
+def test_hot_segments_are_dealt_by_what_sets_lines_apart(spark, monkeypatch):
+    """Every segment that lines share counts as hot; classes stay those of all pairs."""
     monkeypatch.setattr(L, "PAIRS_PER_ROW", 0)
-    texts = corpus(3)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in L.duplicate_lines(docs).collect()}
-    monkeypatch.undo()
-    want = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in L.duplicate_lines(docs).collect()}
-    assert got == want
+    monkeypatch.setattr(L, "SMALL_BUCKET", 0)
+    for seed in (3,):
+        rng = random.Random(seed)
+        texts = corpus(seed)
+        base = "the running number of this line is 0000 and its text goes on"
+        texts += [base.replace("0000", f"{rng.randint(0, 400):04d}") for _ in range(60)]
+        texts += [base.replace("running", "".join(rng.choice("abc") for _ in range(7))) for _ in range(40)]
+        texts += [edited(rng, "-" * 40 + "=" * 20, rng.randint(0, 5)) for _ in range(20)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.duplicate) for r in L.duplicate_lines(docs).collect()}
+        assert got == brute_force(texts, 2)
+
+
+def test_keys_of_lines_within_the_threshold(spark):
+    """Any two lines within the threshold share a key, whatever the hub."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        hub = "".join(rng.choice("abcd ") for _ in range(rng.randint(20, 50)))
+        a = edited(rng, hub, rng.randint(0, 9))
+        rows.append((hub, a, edited(rng, a, rng.randint(0, 3))))
+    df = spark.createDataFrame(rows, "hub string, a string, b string")
+    for t in (1, 2, 3):
+        keys = df.select("a", "b", *[L.apart_keys(F.col("hub"), F.col(c), t).alias(f"k{c}") for c in "ab"]).collect()
+        near = [r for r in keys if distance(r.a, r.b) <= t]
+        assert near and all(set(r.ka) & set(r.kb) for r in near)
+        assert sum(bool(set(r.ka) & set(r.kb)) for r in keys) <= len(keys)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """Nothing is lost or cut in a row because of what another row of the same doc_id holds."""
+    a, b, c = (x * 5 for x in ("alpha beta ", "gamma delta ", "quite another "))
+    rows = [(0, a, "x"), (1, a, "x"), (1, b, "y"), (1, b + "\n" + a, "z"), (None, c, "n"), (None, b, "n"), (None, c[::-1], "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.h) for r in L.drop_duplicate_lines(docs).collect())
+    # Line 0 of doc 1 is a in one row and b in two others: b occurs first there, a before.
+    assert got == sorted([(0, a, "x"), (1, b, "y"), (1, b, "z"), (-1, c, "n"), (-1, b, "n"), (-1, c[::-1], "n")])
+    near = spark.createDataFrame([(1, a + "one"), (1, a + "onx"), (2, a + "ony")], "doc_id long, text string")
+    flags = sorted((r.doc_id, r.duplicate) for r in L.duplicate_lines(near).collect())
+    assert flags == [(1, False), (1, True), (2, True)]  # one of the two at the first position is first

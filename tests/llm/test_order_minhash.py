@@ -126,10 +126,10 @@ def test_large_mixed_buckets_equal_all_pairs(spark):
 
 
 def test_prefix_pairs_hold_every_alike_pair(spark):
-    texts = [t for t in corpus(3) if t and t.split()]
+    texts = list(dict.fromkeys(" ".join(t.split()) for t in corpus(3) if t and t.split()))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    members = docs.select(docs.doc_id.alias("rep"), docs.doc_id.alias("label"))
-    met = {(r.a, r.b) for r in O.prefix_pairs(members, docs, 0.8).collect()}
+    members = O.vertices_of(O.sketch_documents(docs)).select("rep", F.col("rep").alias("label"))
+    met = {(int(r.a) >> 62, int(r.b) >> 62) for r in O.prefix_pairs(members, docs, 0.8).collect()}
     want = {
         (i, j) for j in range(len(texts)) for i in range(j)
         if O.alike(*[np.array([hash(x) for x in runs(texts[k])]) for k in (i, j)])[0]
@@ -155,6 +155,47 @@ def test_nulls_repeats_and_no_rows(spark):
     assert O.keep_one(docs).count() == 6
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """No document is lost or linked because of what another row of its doc_id holds."""
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(0, a), (1, a), (1, b), (1, b + " more"), (-5, c), (-5, d), (None, a + " x"), (None, d + " y"), (None, "un " * 40), (None, "deux " * 40)]
+    docs = spark.createDataFrame([(i, t, i, "z") for i, t in rows], "doc_id long, text string, class_id long, h1 string")
+    assert O.near_duplicates(docs).count() == len(rows)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in O.keep_one(docs).collect())
+    left_b = min([b, b + " more"], key=lambda t: [r[2] for r in kept if r[1] == 1].count(t) == 0)
+    nameless = [(True, 0, t) for i, t in rows if i is None]
+    assert kept == sorted([(False, 0, a), (False, 1, left_b), (False, -5, c), (False, -5, d), *nameless])
+    classes = sorted((r.doc_id is None, r.doc_id or 0, r.class_id is None, r.class_id or 0) for r in O.near_duplicates(docs).collect())
+    assert classes == sorted([
+        (False, 0, False, 0), (False, 1, False, 0), (False, 1, False, 1), (False, 1, False, 1), (False, -5, False, -5), (False, -5, False, -5),
+        (True, 0, False, 0), (True, 0, False, -5), (True, 0, True, 0), (True, 0, True, 0),
+    ])
+
+
+def test_hundreds_of_long_pairs(spark, monkeypatch):
+    """Texts of thousands of words in pieces, against hubs whose pairs are dealt in several runs."""
+    monkeypatch.setattr(O, "PAIRS_PER_HEAD", 16)
+    monkeypatch.setattr(O, "PIECE", 100)
+    rng = random.Random(6)
+    base = words(rng, 4000)
+    texts = []
+    for k in range(150):
+        own = list(base)
+        for i in rng.sample(range(4000), rng.choice([5, 20, 60, 300])):
+            own[i] = f"n{k}_{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = O.vertices_of(O.sketch_documents(docs)).select("rep").collect()
+    keys = {int(r.rep) >> 62: r.rep for r in groups}
+    pairs = [(keys[i], keys[j]) for i in (0, 1) for j in range(150) if i < j]
+    found = O.verify(O.stored(spark.createDataFrame(pairs, "a decimal(38,0), b decimal(38,0)")), docs, 0.8).collect()
+    got = {(int(r.a) >> 62, int(r.b) >> 62): r.ok for r in found}
+    arrays = [np.array([hash(x) for x in runs(t)]) for t in texts]
+    assert got == {(i, j): O.alike(arrays[i], arrays[j])[0] for i in (0, 1) for j in range(150) if i < j}
+    assert len(found) == len(got) and 0 < sum(got.values()) < len(got)
+
+
 def test_order_matters():
     base = [f"w{i}" for i in range(300)]
     moved = base[100:] + base[:100]

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
-from pairlens.llm.mixing import WEIGHTS
+from pairlens.llm.mixing import WEIGHTS, mix
 from pairlens.llm.packing import token_pieces
 from pairlens.llm.toxicity import fit, scores
 from tests.llm import test_line_edits as lines
@@ -102,6 +103,30 @@ def test_stages_equal_brute_force(spark, tables):
     assert P.run(spark, path).count() == len(packed)
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark, tables):
+    """Each row is judged by its own text and source, in every stage; extra columns do no harm."""
+    path, _ = tables
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in ("river", "stone", "garden"))
+    rows = [(0, a, "a"), (1, a, "a"), (1, b, "z"), (1, c, "b"), (None, b + " w", "a"), (None, "letter", None), (2, None, "a")]
+    docs = spark.createDataFrame(
+        [(i, t, "en", s, 1, "x", 3) for i, t, s in rows], f"{SCHEMA}, repeats string, _removed int"
+    )
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.source or "") for r in df.collect())
+    whole = sorted((i is None, i or 0, t or "", s or "") for i, t, s in rows)
+    stages = dict(P.STAGES)
+    assert key(stages["toxicity"](spark, docs, path)) == whole
+    # Only row (1, a) holds a line that occurs before, as do those without doc_id, which are not cut.
+    assert key(stages["line_dedup"](spark, docs, path)) == [r for r in whole if r != (False, 1, a, "a")]
+    near = key(stages["near_dedup"](spark, docs, path))
+    assert near == [r for r in whole if r != (False, 1, a, "a")]  # rows without doc_id stay
+    mixed = stages["mixing"](spark, docs, path)
+    assert tuple(mixed.columns) == P.COLUMNS
+    got = Counter(key(mixed))
+    assert set(got) <= set(whole) and all(n <= 2 for n in got.values())
+    taken = {(r.doc_id, r.source): r.repeats for r in mix(docs.select(*P.COLUMNS)).collect()}
+    assert got == Counter({w: taken[i, s] for (i, t, s), w in zip(rows, [(i is None, i or 0, t or "", s or "") for i, t, s in rows]) if taken[i, s]})
+
+
 def test_no_rows(spark, tables):
     path, _ = tables
     out = spark.read.parquet(f"{path}/documents.parquet").limit(0)
