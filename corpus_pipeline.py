@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last
 return the columns of ``documents``. Stages are written as Parquet and read again in between.
+
+Rows that repeat a doc_id with another text are documents of their own in every stage; none is
+dropped, cut or repeated because of another. Null texts pass all filters, rows without doc_id keep
+their lines, repeated rows stay repeated, other columns of the input are left out, and no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows not taken go, others may be repeated."""
     docs = docs.select(*COLUMNS)
-    taken = mix(docs).where("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats").distinct()
-    rows = docs.join(listed(stored(taken)), F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Rows of one doc_id and source are taken alike, whatever their texts.
+    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source")]
+    taken = mix(docs).where("repeats > 0").select(*key, "repeats").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = docs.join(listed(stored(taken)), same)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))
     return rows.withColumn("_copy", copies).select(*COLUMNS)
 
