@@ -107,13 +107,18 @@ def uniform_value(index: str, way: int, component: int, side: str, seed: int) ->
 
 
 def split_bucket(coords: Sequence[Column], seed: int) -> Column:
-    """A residue from the coordinates alone, so a cell keeps its label on any cluster."""
+    """A residue from the coordinates alone, so a cell keeps its label on any cluster.
+
+    Squares bind their argument in a lambda, so the expression grows with the ways and not with two
+    to their number.
+    """
     modulus, second = (F.lit(m).cast("bigint") for m in (MODULUS, SECOND_MODULUS))
     h = F.lit(seed % MODULUS).cast("bigint")
     for c in coords:
         i = c.cast("bigint") + 1
         h = (h * 48271 + (i % modulus) * 69621 + 15485) % modulus
-        h = ((h * h) % modulus * 16807 + (i % second) * 39373) % modulus
+        square = F.transform(F.array(h), lambda v: (v * v) % modulus).getItem(0)
+        h = (square * 16807 + (i % second) * 39373) % modulus
     return h
 
 
