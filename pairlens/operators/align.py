@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +60,78 @@ def top_cells(
         conf.set(GROUP_LIMIT_KEY, before)
 
 
+# Ranges a column is cut into per step of a selection, and rows that may be ranked in one task.
+SELECTION_SLOTS, RANKED_ROWS = 4096, 50_000
+
+
+def select_top(
+    rows: DataFrame,
+    n: int,
+    coords: Sequence[str],
+    value: str = "value",
+    tie: Sequence[Column | str] | None = None,
+    slots: int = SELECTION_SLOTS,
+    ranked: int = RANKED_ROWS,
+) -> DataFrame:
+    """The n largest rows, exact, ties broken by ``tie`` (ascending), found by counting.
+
+    Rows are counted in equal ranges of the value, which is an aggregate with map-side sums. All rows
+    above the range that holds the n-th one are in; that range is cut again, and where all its values
+    are equal the tie columns go on in the same way, until no more than ``ranked`` rows are left to be
+    ranked. Nothing is shuffled but counts and those few rows, whatever n and the number of partitions.
+    ``rows`` are read once per step, three times as a rule, so they should be held. Values have to be
+    finite; rows without a value take no part, and tie columns must not be null. Of rows equal in all
+    columns any are taken.
+    """
+    order = [(F.col(value).cast("double"), True)]
+    order += [(_as_column(t).cast("double"), False) for t in (tie or coords)]
+    rows = rows.where(F.col(value).isNotNull())
+    sure, within, left = [], F.lit(True), n
+    narrowed = False
+    for column, descending in order:
+        stats = rows.where(within).agg(
+            F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")
+        ).collect()[0]
+        count, low, high = stats.n, stats.low, stats.high
+        if count <= left:
+            return rows.where(_any([*sure, within]))
+        if not all(math.isfinite(v) for v in (low, high)):
+            raise ValueError(f"values between {low} and {high} cannot be selected by ranges")
+        while low < high and count > ranked:
+            # Halves are finite where the width of the range is not.
+            half = high / 2 - low / 2
+            share = (column / 2 - F.lit(low / 2)) / F.lit(half or 1.0)
+            slot = F.least(F.floor(share * slots), F.lit(slots - 1)).cast("int")
+            if not half:
+                slot = F.when(column > F.lit(low), 1).otherwise(0)
+            found = (
+                rows.where(within).groupBy(slot.alias("slot"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+                .collect()
+            )
+            for part in sorted(found, key=lambda r: -r.slot if descending else r.slot):
+                if part.n >= left:
+                    break
+                left -= part.n
+            before = column > part.high if descending else column < part.low
+            sure.append(within & before)
+            within = within & column.between(part.low, part.high)
+            count, low, high = part.n, part.low, part.high
+            narrowed = True
+        if count <= ranked:
+            break
+    directions = [c.desc() if d else c.asc() for c, d in order]
+    last = rows.where(within).orderBy(*directions).limit(left) if count <= ranked else rows.where(within).limit(left)
+    return rows.where(_any(sure)).unionByName(last) if narrowed else last
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def candidate_cells(x_top: DataFrame, y_top: DataFrame, coords: Sequence[str]) -> DataFrame:
     """Cells that are in either side's top list."""
     return x_top.select(*coords).unionByName(y_top.select(*coords)).distinct()

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.columns import coord_fields
-from pairlens.operators.align import aligned, candidate_cells, signals, top_cells
+from pairlens.operators.align import aligned, candidate_cells, select_top, signals
 from pairlens.schema import PairedTensor, coord_names
+from pairlens.session import cut_lineage, hold
 
 # Folder of each case family as laid out by the exporting job.
 CASE_FOLDERS = {
@@ -118,15 +119,23 @@ def load_paired(
     order: Column | str = "pos",
     strict: bool = False,
 ) -> PairedTensor:
-    """Both sides' rows -> top-n candidates -> aligned cells with contrast signals."""
+    """Both sides' rows -> top-n candidates -> aligned cells with contrast signals.
+
+    The sides are held while the at most 2 n cells are made, so their sources are read once; the cells
+    are checkpointed and the sides let go.
+    """
     coords = coord_names(len(dims))
-    x_top = top_cells(x_rows, n, coords, tie=[order])
-    y_top = top_cells(y_rows, n, coords, tie=[order])
+    x_rows, y_rows = hold(x_rows), hold(y_rows)
+    x_top = select_top(x_rows, n, coords, tie=[order])
+    y_top = select_top(y_rows, n, coords, tie=[order])
     candidates = candidate_cells(x_top, y_top, coords)
     pair = aligned(
         candidates, x_rows, y_rows, coords, order=order, candidate_bound=2 * n, strict=strict
     )
-    return PairedTensor(signals(pair, coords), tuple(dims))
+    cells = cut_lineage(signals(pair, coords))
+    for rows in (x_rows, y_rows):
+        rows.unpersist()
+    return PairedTensor(cells, tuple(dims))
 
 
 def load_case(

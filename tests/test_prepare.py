@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pairlens.operators.align import (
     candidate_cells,
     in_box,
     last_wins,
+    select_top,
     signals,
     top_cells,
     unique_or_raise,
@@ -252,3 +254,23 @@ def test_case_study_from_exported_files(spark, tmp_path):
             (base / f"mooc_function_values_grid_{stem}").write_text(f"{value}\n{seed}\n")
     t = load_case(spark, layout, "ha_1mp4d", (2, 2, 2), "mooc", n=10, seed=1)
     assert rows(t.cells, *C3, "x", "y", "s") == [(1, 0, 0, 2.0, 5.0, 0), (1, 1, 1, 1.0, 1.0, 1)]
+
+
+@pytest.mark.parametrize("slots,ranked", [(4096, 50_000), (4, 3), (2, 0)])
+def test_selection_by_ranges_equals_sorting(spark, slots, ranked):
+    """Ties, repeated rows, negative and equal values, nulls, and n around every boundary."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 5), rng.randint(0, 9), rng.choice([-1e300, -2.5, 0.0, 1.0, 1.0, 7.25, 1e300])) for _ in range(90)]
+    rows = list({(i, j): v for i, j, v in rows}.items())
+    rows = [(i, j, v) for (i, j), v in rows] + [(7, 7, None)]
+    df = spark.createDataFrame(rows, "i0 INT, i1 INT, value DOUBLE").repartition(5).persist()
+    order = sorted([r for r in rows if r[2] is not None], key=lambda r: (-r[2], r[0], r[1]))
+    for n in (0, 1, 9, 20, len(order) - 1, len(order), 500):
+        got = select_top(df, n, ["i0", "i1"], slots=slots, ranked=ranked)
+        assert sorted(map(tuple, got.collect())) == sorted(order[:n]), n
+    same = spark.createDataFrame([(1, 1, 2.0)] * 8 + [(0, 0, 3.0)], "i0 INT, i1 INT, value DOUBLE")
+    assert select_top(same, 4, ["i0", "i1"], slots=slots, ranked=ranked).count() == 4
+    assert select_top(df.limit(0), 4, ["i0", "i1"]).count() == 0
+    endless = spark.createDataFrame([(0, 0, float("inf")), (1, 1, 2.0)], "i0 INT, i1 INT, value DOUBLE")
+    with pytest.raises(ValueError, match="ranges"):
+        select_top(endless, 1, ["i0", "i1"])
