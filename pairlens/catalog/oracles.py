@@ -453,9 +453,14 @@ def _others(columns: list[str], new: dict[str, str]) -> str:
 
 
 def pairwise_ctes(
-    fixture: str, rank: int, iterations: int, lam=(0.1, 0.1, 0.1), eps=1e-16, seed: int = 1
+    fixture: str, rank: int, iterations: int, lam=(0.1, 0.1, 0.1), eps=1e-16, seed: int = 1,
+    ahead: bool = False,
 ):
-    """All tables of a pairwise fit; returns (ctes, factor version per way, iterations)."""
+    """All tables of a pairwise fit; returns (ctes, factor version per way, iterations).
+
+    With ``ahead`` (factor momentum) mo{it} holds the momentum and the push after iteration it, which
+    a rise of the cost sets back.
+    """
     n = WAYS[fixture]
     l1, l2, l3 = (f"cast({v!r} as double)" for v in lam)
     e = f"cast({eps!r} as double)"
@@ -467,7 +472,11 @@ def pairwise_ctes(
     )
     ctes.append(f"wt0 as materialized (select {w0})")
     ver = {w: f"0_{w}" for w in range(n)}
+    older = dict(ver)
     momentum = 1.0
+    if ahead:
+        ctes.append("mo0 as (select cast(1 as double) as a, cast(0 as double) as push)")
+        ctes.append("cost0 as (select cast(1e10 as double) as cost)")
     for it in range(1, iterations + 1):
         wt = f"wt{it - 1}"
         for k in range(n):
@@ -486,20 +495,24 @@ def pairwise_ctes(
             ms = term_names(FUSED, rank)
             filled = ", ".join(f"coalesce(m{tag}.{c}, 0.0) as {c}" for c in ms)
             cur = f"s{tag}_start"
+            points = [f"{'a' if ahead else ''}{c}" for c in names]
+            moved = "".join(f", a.{c} + push * (a.{c} - o.{c}) as a{c}" for c in names) if ahead else ""
+            old = f" join a{older[k]} o on a.idx = o.idx, mo{it - 1}" if ahead else ""
             ctes.append(
-                f"{cur} as materialized (select a.idx, {', '.join('a.' + c for c in names)}, {filled} "
-                f"from {fac[k]} a left join m{tag} on a.idx = m{tag}.idx)"
+                f"{cur} as materialized (select a.idx, {', '.join('a.' + c for c in names)}, {filled}{moved} "
+                f"from {fac[k]} a left join m{tag} on a.idx = m{tag}.idx{old})"
             )
-            cols = ["idx", *names, *ms]
+            cols = ["idx", *names, *ms, *(points if ahead else [])]
+            base = dict(zip(names, points))
             for l in range(rank):
                 p = " + ".join(f"x{j} * fx_{j}_{l}" for j in range(rank))
                 q = " + ".join(f"y{j} * fy_{j}_{l}" for j in range(rank))
                 d = f"((1 - wx{l}) * x{l} - (1 - wy{l}) * y{l})"
                 new = {
-                    f"x{l}": f"x{l} - (({p}) - mx{l} + {l1} / nx * wx{l} * (wx{l} * ({p}) - mzx{l})"
+                    f"x{l}": f"{base[f'x{l}']} - (({p}) - mx{l} + {l1} / nx * wx{l} * (wx{l} * ({p}) - mzx{l})"
                     f" + {l2} / nx * (1 - wx{l}) * ((1 - wx{l}) * ({p}) - msx{l})"
                     f" + {l3} / nx * {d} * (1 - wx{l})) / nfx",
-                    f"y{l}": f"y{l} - (({q}) - my{l} + {l1} / ny * wy{l} * (wy{l} * ({q}) - mzy{l})"
+                    f"y{l}": f"{base[f'y{l}']} - (({q}) - my{l} + {l1} / ny * wy{l} * (wy{l} * ({q}) - mzy{l})"
                     f" + {l2} / ny * (1 - wy{l}) * ((1 - wy{l}) * ({q}) - msy{l})"
                     f" - {l3} / ny * {d} * (1 - wy{l})) / nfy",
                 }
@@ -517,7 +530,7 @@ def pairwise_ctes(
                     src = raw
                 new = {f"{s}{l}": f"case when {val[s]} < {e} then 0.0 else {val[s]} end" for s in ("x", "y")}
                 ctes.append(f"{cur} as materialized (select {_others(cols, new)} from {src})")
-            ver[k] = f"{tag}"
+            older[k], ver[k] = ver[k], f"{tag}"
             ctes.append(f"a{tag} as materialized (select idx, {', '.join(names)} from {cur})")
             ctes.append(f"g{tag} as materialized ({gram_row_sql(f'a{tag}', rank)})")
         fac = "a{}".format
@@ -554,16 +567,6 @@ def pairwise_ctes(
         ctes.append(
             f"wr{it} as materialized (select {', '.join(raw)}, {olds} from core{it}, fa{it}, {wt}, {grams})"
         )
-        following = (1 + (4 * momentum**2 + 1) ** 0.5) / 2
-        push = f"cast({(momentum - 1) / following!r} as double)"
-        momentum = following
-        total = {s: "(" + " + ".join(f"r{s}{r}" for r in range(rank)) + ")" for s in ("x", "y")}
-        new_w = ", ".join(
-            f"r{s}{r} / {total[s]} as w{s}{r}, "
-            f"r{s}{r} / {total[s]} + {push} * (r{s}{r} / {total[s]} - w{s}{r}) as z{s}{r}"
-            for s in ("x", "y") for r in range(rank)
-        )
-        ctes.append(f"wt{it} as materialized (select {new_w} from wr{it})")
         inner = ", ".join(
             " + ".join(f"in{s}_{r}" for r in range(rank)) + f" as in{s}" for s in ("x", "y")
         )
@@ -577,6 +580,24 @@ def pairwise_ctes(
             f"cost{it} as materialized (select ({part['x']} + {part['y']}) / 2 as cost "
             f"from (select {inner} from core{it}), fa{it}, nrm)"
         )
+        following = (1 + (4 * momentum**2 + 1) ** 0.5) / 2
+        push = "push" if ahead else f"cast({(momentum - 1) / following!r} as double)"
+        momentum = following
+        if ahead:
+            new_a = "(1 + sqrt(4 * a * a + 1)) / 2"
+            rises = f"cost{it}.cost > cost{it - 1}.cost"
+            ctes.append(
+                f"mo{it} as materialized (select case when {rises} then 1.0 else {new_a} end as a, "
+                f"case when {rises} then 0.0 else (a - 1) / ({new_a}) end as push "
+                f"from mo{it - 1}, cost{it}, cost{it - 1})"
+            )
+        total = {s: "(" + " + ".join(f"r{s}{r}" for r in range(rank)) + ")" for s in ("x", "y")}
+        new_w = ", ".join(
+            f"r{s}{r} / {total[s]} as w{s}{r}, "
+            f"r{s}{r} / {total[s]} + {push} * (r{s}{r} / {total[s]} - w{s}{r}) as z{s}{r}"
+            for s in ("x", "y") for r in range(rank)
+        )
+        ctes.append(f"wt{it} as materialized (select {new_w} from wr{it}{f', mo{it}' if ahead else ''})")
     return ctes, ver
 
 
@@ -600,8 +621,8 @@ def fit_rows(fixture: str, rank: int, iterations: int, ver: dict, weights: str |
     return " union all ".join(parts)
 
 
-def pairwise_oracle(fixture: str, rank: int, iterations: int) -> str:
-    ctes, ver = pairwise_ctes(fixture, rank, iterations)
+def pairwise_oracle(fixture: str, rank: int, iterations: int, ahead: bool = False) -> str:
+    ctes, ver = pairwise_ctes(fixture, rank, iterations, ahead=ahead)
     return with_(ctes, fit_rows(fixture, rank, iterations, ver, f"wt{iterations}"))
 
 
@@ -744,3 +765,87 @@ def sweep_oracle(fixture: str, rank: int, k: int, trials: int) -> str:
                 f"'{method}' as method, 0 as seed, {rank} as rank"
             )
     return " union all ".join(parts)
+
+
+def _setting_ctes(fixture: str, setting: tuple, iterations: int, k: int, trial: int):
+    """Tables of one trial of a (method, rank, alpha, beta) setting."""
+    method, rank, a, b = setting
+    if method == "pairwise":
+        return pairwise_ctes(fixture, rank, iterations, (a, b, 0.1), seed=1 + trial)
+    return baseline_ctes(fixture, rank, k, iterations, a, b, seed=1 + trial)
+
+
+def _setting_columns(setting: tuple, trial: int) -> str:
+    method, rank, a, b = setting
+    return (
+        f"'{method}' as method, {rank} as rank, cast({a!r} as double) as alpha, "
+        f"cast({b!r} as double) as beta, {trial} as \"trial_ID\""
+    )
+
+
+def settings_oracle(fixture: str, settings: list[tuple], k: int, trials: int) -> str:
+    """Costs of every setting and trial after one iteration."""
+    parts = []
+    for setting in settings:
+        for t in range(trials):
+            ctes, _ = _setting_ctes(fixture, setting, 1, k, t)
+            cost = with_(ctes, "select round(cost, 7) from cost1")
+            parts.append(f"select {_setting_columns(setting, t)}, ({cost}) as cost")
+    return " union all ".join(parts)
+
+
+def resumed_oracle(fixture: str, settings: list[tuple], trials: int, iterations: int, k: int = 1) -> str:
+    """Cost of every setting, trial and iteration, each in one row."""
+    parts = []
+    for setting in settings:
+        for t in range(trials):
+            ctes, _ = _setting_ctes(fixture, setting, iterations, k, t)
+            rows = " union all ".join(
+                f"select {it} as iter, round(cost, 7) as cost from cost{it}" for it in range(1, iterations + 1)
+            )
+            parts.append(
+                f"select {_setting_columns(setting, t)}, iter, 1::bigint as n_rows, cost from ({with_(ctes, rows)})"
+            )
+    return " union all ".join(parts)
+
+
+def sweep_weights_oracle(
+    fixture: str, settings: list[tuple], trials: int, iterations: int, rank: int, k: int = 1
+) -> str:
+    """Final weights of both sides for the settings of one rank."""
+    parts = []
+    for setting in settings:
+        for t in range(trials if setting[1] == rank else 0):
+            method, _, a, b = setting
+            ctes, _ = _setting_ctes(fixture, setting, iterations, k, t)
+            for s in ("x", "y"):
+                if method == "pairwise":
+                    ws = ", ".join(f"round(w{s}{r}, 7) as w{r}" for r in range(rank))
+                    rows = with_(ctes, f"select {ws} from wt{iterations}")
+                else:
+                    rows = "select " + ", ".join(f"round(cast({1.0 / rank!r} as double), 7) as w{r}" for r in range(rank))
+                parts.append(
+                    f"select '{method}' as method, cast({a!r} as double) as alpha, cast({b!r} as double) as beta, "
+                    f"{t} as \"trial_ID\", '{s.upper()}' as tensor, * from ({rows})"
+                )
+    return " union all ".join(parts)
+
+
+def stop_oracle(fixture: str, rank: int, stops: list[tuple[int, float]], most: int) -> str:
+    """First iteration after the first whose cost changed by less than the tolerance, else ``most``."""
+    parts = []
+    for seed, tolerance in stops:
+        ctes, _ = pairwise_ctes(fixture, rank, most, seed=seed)
+        t = f"cast({tolerance!r} as double)"
+        settled = " ".join(
+            f"when abs(cost{it}.cost - cost{it - 1}.cost) < {t} then {it}" for it in range(2, most)
+        )
+        row = with_(
+            ctes,
+            f"select case {settled} else {most} end as iterations, "
+            + ", ".join(f"cost{it}.cost as c{it}" for it in range(1, most + 1))
+            + f" from {', '.join(f'cost{it}' for it in range(1, most + 1))}",
+        )
+        cost = "case iterations " + " ".join(f"when {it} then c{it}" for it in range(1, most + 1)) + " end"
+        parts.append(f"select {seed} as seed, {t} as tolerance, iterations, round({cost}, 7) as cost from ({row})")
+    return " union all ".join(parts)

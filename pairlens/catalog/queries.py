@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pairlens.operators.align import (
     in_box,
     last_wins,
     members,
+    select_top,
     signals,
     subset,
     top_cells,
@@ -27,13 +30,25 @@ from pairlens.operators.align import (
 )
 from pairlens.operators.weights import normalize_weights, tag, widen_weights
 from pairlens.plans.baseline import baseline
-from pairlens.plans.fit import FitConfig, FitState, Workspace, fit, start_state
+from pairlens.plans.fit import FitConfig, FitState, Workspace, fit, fit_runs, start_state
 from pairlens.plans.pairwise import pairwise, update_way
-from pairlens.plans.sweep import RUN_KEYS, cost_delta, holdout_rmse, pending_runs, run_sweep
+from pairlens.plans.sweep import (
+    RUN_KEY_SCHEMA,
+    RUN_KEYS,
+    committed,
+    cost_delta,
+    holdout_rmse,
+    pending_runs,
+    run_grid,
+    run_name,
+    run_sweep,
+)
 from pairlens.schema import PairedTensor, coord_names, factor_columns
 from pairlens.operators.gather import plan_joins
 from pairlens.session import cut_lineage, ensure_checkpoint_dir
-from pairlens.sources.text_pair import positional_zip, read_text_pair
+from pairlens.sources.facts import read_cells
+from pairlens.sources.sinks import read_factors, remove_path, write_matrix
+from pairlens.sources.text_pair import CaseLayout, load_case, positional_zip, read_text_pair
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -41,6 +56,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {}
 RANK = fx.RANK
 FIT_RANK, FIT_ITERATIONS, FIT_COMMON = 3, 2, 2
 TOP_N = 4000
+CASE_TOP_N = 500
 TENTHS = 6.0
 
 
@@ -103,16 +119,16 @@ def _(spark, d):
 @query("topn_candidates", sql.candidates_oracle("order4", TOP_N))
 def _(spark, d):
     coords = coord_names(4)
-    tops = [top_cells(s, TOP_N, coords) for s in _sides(fx.order4_pair(spark, d), coords)]
-    return candidate_cells(*tops, coords)
+    sides = _sides(cut_lineage(fx.order4_pair(spark, d)), coords)
+    return candidate_cells(*[select_top(s, TOP_N, coords) for s in sides], coords)
 
 
 @query("paired_topn", sql.paired_topn_oracle("order4", TOP_N))
 def _(spark, d):
     coords = coord_names(4)
-    x_rows, y_rows = _sides(fx.order4_pair(spark, d), coords)
+    x_rows, y_rows = _sides(cut_lineage(fx.order4_pair(spark, d)), coords)
     candidates = candidate_cells(
-        top_cells(x_rows, TOP_N, coords), top_cells(y_rows, TOP_N, coords), coords
+        select_top(x_rows, TOP_N, coords), select_top(y_rows, TOP_N, coords), coords
     )
     pair = aligned(candidates, x_rows, y_rows, coords, candidate_bound=2 * TOP_N)
     return signals(pair, coords)
@@ -187,6 +203,34 @@ def _(spark, d):
     return read_text_pair(spark, f"{out}/dimensions_grid", f"{out}/values_grid", 3).drop("pos")
 
 
+def _export_sides(spark: SparkSession, pair: DataFrame, ways: int, path_of) -> None:
+    """Both sides as line-aligned coordinate and value files, in the order of their coordinates."""
+    coords = coord_names(ways)
+    for source, rows in zip(("good", "bad"), _sides(pair, coords)):
+        ordered = rows.repartitionByRange(4, *coords).sortWithinPartitions(*coords)
+        ordered.select(F.concat_ws(",", *coords)).write.text(path_of("dimensions", source))
+        ordered.select(F.col("value").cast("string")).write.text(path_of("values", source))
+
+
+@query("load_case", sql.paired_topn_oracle("event3", CASE_TOP_N))
+def _(spark, d):
+    """Both sides of an exported case, found by its layout: top-n, last line wins, signals."""
+    layout = CaseLayout(f"{ensure_checkpoint_dir(spark)}/case-{uuid.uuid4().hex}")
+    glob = lambda kind, source: layout.glob(kind, source, "events", "function", "by_user", 1)
+    # The first alternative of the glob is the plain name.
+    path = lambda kind, source: re.sub(r"\{([^,]*),.*\}$", r"\1", glob(kind, source))
+    _export_sides(spark, fx.event3_pair(spark, d), 3, path)
+    return load_case(spark, layout, "by_user", fx.EVENT3_DIMS, "events", n=CASE_TOP_N, seed=1).cells
+
+
+@query("one_file_source", sql.ORDER4_PAIR)
+def _(spark, d):
+    """The pair written as one CSV file set and read back with its stated schema."""
+    path = f"{ensure_checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    fx.order4_pair(spark, d).write.option("header", True).csv(path)
+    return read_cells(spark, path, 4, "csv", ("x", "y"), header="true")
+
+
 @query(
     "last_wins",
     "select cast(user_id % 16 as int) as i0, case event_type when 'click' then 0 when 'error' "
@@ -285,6 +329,13 @@ def _(spark, d):
     return _round_except(done, 4, "idx")
 
 
+@query("mttkrp_fibres", sql.mttkrp_oracle("order4", 0, RANK))
+def _(spark, d):
+    """The fused products with cells summed along their longest fibres first."""
+    t = fx.order4(spark, d)
+    return _round_except(al.mttkrp_fibres(t, _factors(spark, t), RANK, 0), 4, "idx")
+
+
 def _register_joins(name: str, target: int) -> None:
     """The fused products with every way joined by shuffle, and with salts on frequent indices."""
 
@@ -312,6 +363,7 @@ def _(spark, d):
 def _derived(spark, t: PairedTensor, rank: int = RANK) -> list[DataFrame]:
     """Factors that come from the data: the two plain products of every way."""
     start = _factors(spark, t, rank)
+    t = t.with_cells(cut_lineage(t.cells))  # one pass per way
     out = []
     for w in range(t.ways):
         done = al.complete(start[w].select("idx"), al.mttkrp(t, start, rank, w, al.FUSED_TERMS[:2]))
@@ -333,11 +385,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 @query("gram", sql.gram_oracle("order4", RANK))
 def _(spark, d):
-    units = _unit(spark, fx.order4(spark, d))
     grams = [
-        al.gram_long(f, RANK, s).select(F.lit(w).alias("way"), F.lit(s).alias("side"), "p", "q", "g")
-        for w, f in enumerate(units)
-        for s in ("x", "y")
+        al.unit_gram_long(f, RANK).select(F.lit(w).alias("way"), "side", "p", "q", "g")
+        for w, f in enumerate(_derived(spark, fx.order4(spark, d)))
     ]
     return _rounded(_union(grams), 6, ["g"])
 
@@ -521,6 +571,13 @@ def _(spark, d):
     return _fit_rows(spark, fit(fx.event3(spark, d), pairwise, _fit_config()))
 
 
+@query("pairwise_momentum", sql.pairwise_oracle("event3", FIT_RANK, 4, ahead=True))
+def _(spark, d):
+    """Factor momentum: the first push acts in the third of four iterations."""
+    cfg = replace(_fit_config(factor_momentum=True), max_iter=4)
+    return _fit_rows(spark, fit(fx.event3(spark, d), pairwise, cfg))
+
+
 @query("baseline_fit", sql.baseline_oracle("event3", FIT_RANK, FIT_COMMON, FIT_ITERATIONS))
 def _(spark, d):
     return _fit_rows(spark, fit(fx.event3(spark, d), baseline, _fit_config(**BASELINE)))
@@ -528,6 +585,19 @@ def _(spark, d):
 
 # --- run management --------------------------------------------------------
 
+#: (seed, tolerance) of runs that are fitted together and stop on their own.
+STOPS = [(1, 0.02), (1, 1e-9), (2, 0.02), (2, 0.001), (3, 0.05), (3, 1e-9)]
+
+
+@query("stop_rule", sql.stop_oracle("event3", 2, STOPS, 3))
+def _(spark, d):
+    """Iterations and final cost of six runs in one batch, each with a tolerance of its own."""
+    cfgs = [FitConfig(rank=2, max_iter=3, seed=s, tolerance=t) for s, t in STOPS]
+    results = fit_runs(fx.event3(spark, d), pairwise, cfgs)
+    rows = [(s, t, len(r.log), round(r.cost, 7)) for (s, t), r in zip(STOPS, results)]
+    return spark.createDataFrame(rows, "seed INT, tolerance DOUBLE, iterations INT, cost DOUBLE")
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     """One run per market segment (as case study), sampling month and parameter pair."""
     months = fx.table(spark, d, "orders").select(F.month("o_orderdate").alias("seed")).distinct()
@@ -551,6 +621,19 @@ def _(spark, d):
     return _grid(spark, d)
 
 
+@query(
+    "parameter_grid",
+    "select seed, method, rank, alpha from (select distinct cast(extract(month from o_orderdate) as int) "
+    "as seed from orders), (select unnest(['baseline', 'pairwise']) as method), (select unnest([4, 6]) as "
+    "rank), (select unnest([cast(0.1 as double), cast(1 as double)]) as alpha)",
+)
+def _(spark, d):
+    """The grid of a sweep over the sampling months that the orders have."""
+    months = fx.table(spark, d, "orders").select(F.month("o_orderdate").alias("m")).distinct()
+    seeds = sorted(r.m for r in months.collect())  # twelve at most
+    return run_grid(spark, seed=seeds, method=["baseline", "pairwise"], rank=[4, 6], alpha=[0.1, 1.0])
+
+
 @query(
     "pending_runs",
     f"select g.* from ({GRID_SQL}) g where not exists (select 1 from (select c_mktsegment as k, "
@@ -605,6 +688,106 @@ def _(spark, d):
     return _rounded(costs, 7, ["cost"])
 
 
+def _settings(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A grid of (method, rank, alpha, beta) over one sample, gamma 0.1, one common column."""
+    full = [(m, 0, r, 1, a, b, 0.1, 1e-8, 10.0) for m, r, a, b in rows]
+    return spark.createDataFrame(full, RUN_KEY_SCHEMA)
+
+
+#: Settings of several ranks and parameters that are fitted over one layout of the cells.
+SETTINGS = [
+    ("pairwise", 2, 0.1, 0.1), ("pairwise", 3, 0.1, 0.1), ("pairwise", 2, 0.5, 0.2), ("baseline", 2, 1e-4, 1e-4),
+    ("baseline", 3, 1e-3, 1e-4),
+]
+
+
+@query("sweep_settings", sql.settings_oracle("event3", SETTINGS, 1, 2))
+def _(spark, d):
+    """Final costs of several settings and ranks, two trials each, over cells loaded once."""
+    out = f"{ensure_checkpoint_dir(spark)}/sweep-{uuid.uuid4().hex}"
+    loads = []
+
+    def load(seed):
+        if loads:
+            raise ValueError("the cells of a sample are loaded once")
+        loads.append(seed)
+        return fx.event3(spark, d)
+
+    costs = run_sweep(spark, load, _settings(spark, SETTINGS), out, trials=2, max_iter=1)
+    return _rounded(costs.select("method", "rank", "alpha", "beta", "trial_ID", "cost"), 7, ["cost"])
+
+
+def _interrupted(spark: SparkSession, d: str, fmt: str = "parquet") -> str:
+    """A sweep broken off after two of five settings and called again; the folder of its output.
+
+    One of the two has written its weights, logs and infos but not its cost rows.
+    """
+    out = f"{ensure_checkpoint_dir(spark)}/sweep-{uuid.uuid4().hex}"
+    load = lambda seed: fx.event3(spark, d)
+    grid = _settings(spark, SETTINGS)
+    first = run_sweep(spark, load, _settings(spark, SETTINGS[:2]), out, trials=2, max_iter=2, fmt=fmt)
+    lost = first.where("rank = 3").select(*RUN_KEYS).distinct().collect()
+    remove_path(spark, f"{out}/cost_final/run={run_name(lost[0].asDict())}")
+    run_sweep(spark, load, grid, out, trials=2, max_iter=2, fmt=fmt)
+    return out
+
+
+@query("resume_sweep", sql.resumed_oracle("event3", SETTINGS, 2, 2))
+def _(spark, d):
+    """Logged costs of a sweep that was broken off between its sinks and repeated: every row once."""
+    out = _interrupted(spark, d)
+    log = committed(spark, spark.read.parquet(f"{out}/run_log"), out)
+    counted = log.groupBy("method", "rank", "alpha", "beta", "trial_ID", "iter").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("cost").alias("cost")
+    )
+    return _rounded(counted, 7, ["cost"])
+
+
+@query("sweep_weights", sql.sweep_weights_oracle("event3", SETTINGS, 2, 2, 3))
+def _(spark, d):
+    """Weight rows of the rank-3 settings of the same sweep, read back from its CSV sink."""
+    out = _interrupted(spark, d, "csv")
+    weights = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/weights_R3")
+    kept = committed(spark, weights, out, "csv")
+    names = [f"w{r}" for r in range(3)]
+    return _rounded(kept.select("method", "alpha", "beta", "trial_ID", "tensor", *names), 7, names)
+
+
+@query("warm_restart", sql.pairwise_oracle("event3", FIT_RANK, 3))
+def _(spark, d):
+    """A fit broken off in its third iteration goes on after its second one."""
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    tensor, cfg = fx.event3(spark, d), replace(_fit_config(), max_iter=3)
+
+    class BrokenOff(Exception):
+        pass
+
+    def broken(i, _state):
+        if i == 3:
+            raise BrokenOff
+
+    try:
+        fit(tensor, pairwise, cfg, on_iteration=broken, state_path=path)
+    except BrokenOff:
+        pass
+    seen = []
+    result = fit(tensor, pairwise, cfg, on_iteration=lambda i, _s: seen.append(i), state_path=path)
+    if seen != [3]:
+        raise ValueError(f"iterations {seen} were run after the restart")
+    return _fit_rows(spark, result)
+
+
+@query("factor_sink", sql.pairwise_oracle("event3", FIT_RANK, FIT_ITERATIONS))
+def _(spark, d):
+    """A fit from start factors that were written by the factor sink and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/factors-{uuid.uuid4().hex}"
+    tensor = fx.event3(spark, d)
+    for way, factor in enumerate(_factors(spark, tensor, FIT_RANK)):
+        write_matrix(factor, FIT_RANK, way, path, run="start", trial=0)
+    start = read_factors(spark, path, FIT_RANK, tensor.ways, run="start", trial=0)
+    return _fit_rows(spark, fit(tensor, pairwise, _fit_config(), init=start))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _o) in REGISTRY.items()}
 

@@ -36,22 +36,22 @@ INT_MAX = 2**31 - 1
 # --- factors ---------------------------------------------------------------
 
 def init_runs(
-    spark: SparkSession, dim: int, way: int, rank: int, starts: Sequence[tuple[int, str]]
+    spark: SparkSession, dim: int, way: int, starts: Sequence[tuple[int, str, int]]
 ) -> DataFrame:
     """Start values of several runs side by side, for every index of a way.
 
-    ``starts`` holds a (seed, kind) per run; indices without any cell are included.
+    ``starts`` holds a (seed, kind, rank) per run; indices without any cell are included.
     """
     kinds = {"formula": init_value, "hash": uniform_value}
-    partitions = partitions_for(dim, 1 + 2 * rank * len(starts))
+    columns = [(seed, kind, r) for seed, kind, rank in starts for r in range(rank)]
+    partitions = partitions_for(dim, 1 + 2 * len(columns))
     idx = "CAST(id AS INT) AS idx" if dim <= INT_MAX else "id AS idx"
     return spark.range(0, dim, 1, partitions).selectExpr(
         idx,
         *[
-            f"{kinds[kind]('id', way, r, side, seed)} AS {side}{b * rank + r}"
+            f"{kinds[kind]('id', way, r, side, seed)} AS {side}{c}"
             for side in SIDES
-            for b, (seed, kind) in enumerate(starts)
-            for r in range(rank)
+            for c, (seed, kind, r) in enumerate(columns)
         ],
     )
 
@@ -59,7 +59,7 @@ def init_runs(
 def init_factor(
     spark: SparkSession, dim: int, way: int, rank: int, seed: int, kind: str = "formula"
 ) -> DataFrame:
-    return init_runs(spark, dim, way, rank, [(seed, kind)])
+    return init_runs(spark, dim, way, [(seed, kind, rank)])
 
 
 def init_factors(
@@ -130,6 +130,27 @@ def gram_long(factor: DataFrame, rank: int, side: str) -> DataFrame:
     return row.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
+def unit_gram_long(factor: DataFrame, rank: int) -> DataFrame:
+    """Gram matrices of both sides after column normalisation, as ``(side, p, q, g)`` rows.
+
+    The norms stand on the diagonal of the raw Gram matrix, so one aggregate gives all of it and the
+    factor is not scaled. A column without positive norm is left as it is.
+    """
+    row = factor.selectExpr(*gram_sums(rank, "x", "gx"), *gram_sums(rank, "y", "gy"))
+
+    def norm(s: str, p: int) -> str:
+        return f"CASE WHEN g{s}_{p}_{p} > 0 THEN sqrt(g{s}_{p}_{p}) ELSE 1.0D END"
+
+    entries = [
+        f"named_struct('side', '{s}', 'p', {p}, 'q', {q}, 'g', "
+        f"g{s}_{min(p, q)}_{max(p, q)} / (({norm(s, p)}) * ({norm(s, q)})))"
+        for s in SIDES
+        for p in range(rank)
+        for q in range(rank)
+    ]
+    return row.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
 def gram_hadamard(factors: Sequence[DataFrame], rank: int, side: str) -> DataFrame:
     """``(p, q, g)`` of the Hadamard product over ways; joins R*R-row tables."""
     tables = [
@@ -245,6 +266,56 @@ def mttkrp_weighted(
     )
 
 
+def fibre_lengths(tensor: PairedTensor, way: int) -> dict[int, float]:
+    """Mean number of cells that differ in one way only, for every way but ``way`` (approximate)."""
+    others = [w for w in range(tensor.ways) if w != way]
+    rest = {w: [c for c in tensor.coords if c != f"i{w}"] for w in others}
+    row = tensor.cells.select(
+        F.count(F.lit(1)).alias("n"),
+        *[F.approx_count_distinct(F.xxhash64(*rest[w])).alias(f"f{w}") for w in others],
+    ).collect()[0]
+    return {w: row.n / max(row[f"f{w}"], 1) for w in others}
+
+
+def mttkrp_fibres(
+    tensor: PairedTensor,
+    factors: Sequence[DataFrame],
+    rank: int,
+    way: int,
+    terms: Sequence[tuple[str, str, str]] = FUSED_TERMS,
+    first: int | None = None,
+    plan: JoinPlan | None = None,
+) -> DataFrame:
+    """:func:`mttkrp` that sums cells along one way before it meets the other factors.
+
+    Cells that differ in way ``first`` only are a fibre. Their values times that way's factor rows are
+    summed, and the other factors are joined and multiplied once per fibre instead of once per cell.
+    Partial sums are formed map-side, so a long fibre reaches the shuffle as one row per task. It pays
+    where fibres are long; by default ``first`` is the way of the longest ones.
+    """
+    plan = plan or plan_joins(tensor.cells, tensor.dims, rank)
+    if first is None:
+        lengths = fibre_lengths(tensor, way)
+        first = max(lengths, key=lambda w: (lengths[w], w))
+    rest = [c for c in tensor.coords if c != f"i{first}"]
+    over = [w for w in range(tensor.ways) if w not in (way, first)]
+    summed = [
+        F.expr(f"sum({signal} * f{first}_{side}{r})").alias(f"{prefix}{r}")
+        for prefix, signal, side in terms
+        for r in range(rank)
+    ]
+    fibres = gather(tensor.cells, factors, rank, [first], plan).groupBy(*rest).agg(*summed)
+    wide = gather(fibres, factors, rank, over, plan, spread_by=rest) if over else fibres
+    products = {s: component_products(over, rank, s) if over else ["1.0D"] * rank for s in SIDES}
+    return wide.groupBy(F.col(f"i{way}").alias("idx")).agg(
+        *[
+            F.expr(f"sum({prefix}{r} * {products[side][r]})").alias(f"{prefix}{r}")
+            for prefix, _signal, side in terms
+            for r in range(rank)
+        ]
+    )
+
+
 def complete(factor: DataFrame, products: DataFrame, *extra: str) -> DataFrame:
     """Factor rows with their products; an index without cells contributes zero."""
     names = [c for c in products.columns if c != "idx"]

@@ -32,29 +32,30 @@ PRODUCT_TERMS = (("mx", "x", "x"), ("my", "y", "y"))
 
 def _products(ws: Workspace, factors: list[DataFrame], state: FitState, way: int) -> Compact:
     """Factor rows with both products and the discriminative row sums, held for the update."""
-    rank = state.rank
     products = mttkrp(ws.cells_for(way), factors, state.width, way, PRODUCT_TERMS, ws.plan)
     tails = [
-        f"{tail_mass(rank, s, run.cfg.distance, slot * rank)} AS tail_{s}{slot}"
-        for slot, run in enumerate(state.runs)
+        f"{tail_mass(run.cfg.rank, s, run.cfg.distance, first)} AS tail_{s}{slot}"
+        for slot, (run, first) in enumerate(zip(state.runs, state.firsts))
         for s in SIDES
     ]
     return hold_compact(complete(factors[way], products, *tails), ws.tensor.dims[way])
 
 
-def _stages(ws: Workspace, run: Run, slot: int, way: int, l: int) -> list[dict[str, str]]:
+def _stages(
+    ws: Workspace, run: Run, slot: int, first: int, way: int, l: int
+) -> list[dict[str, str]]:
     """Column l of one run as two successive sets of replacements.
 
     Common columns pull the sides towards each other, the second side seeing the first one's new
     value. Discriminative ones use the other side's stale row sum, with opposite signs.
     """
     cfg, n = run.cfg, {"x": ws.norm_x, "y": ws.norm_y}
-    c = slot * cfg.rank + l
+    c = first + l
     out = []
     for s, other in (("x", "y"), ("y", "x")):
         f = hadamard(run.grams(s), way)
         own = float(f[l, l])
-        dot = " + ".join(f"{s}{slot * cfg.rank + j} * {number(f[j, l])}" for j in range(cfg.rank))
+        dot = " + ".join(f"{s}{first + j} * {number(f[j, l])}" for j in range(cfg.rank))
         rest = f"m{s}{c} - ({dot})"
         if l < cfg.distance:
             a = n[s] * cfg.alpha
@@ -75,7 +76,10 @@ def _stages(ws: Workspace, run: Run, slot: int, way: int, l: int) -> list[dict[s
 
 
 def baseline(ws: Workspace, state: FitState) -> FitState:
-    rank, width, runs, ways = state.rank, state.width, state.runs, ws.tensor.ways
+    ranks, firsts, width, runs, ways = state.ranks, state.firsts, state.width, state.runs, ws.tensor.ways
+    rank = max(ranks)
+    if any(run.cfg.factor_momentum for run in runs):
+        raise ValueError("the baseline's columns have closed forms and take no factor momentum")
     factors, grams = [], []
     for way in range(ways):
         last = way == ways - 1
@@ -83,27 +87,28 @@ def baseline(ws: Workspace, state: FitState) -> FitState:
         source = carried if carried is not None else _products(ws, state.factors, state, way)
         live = source.table
         for l in range(rank):
-            stages = [_stages(ws, run, slot, way, l) for slot, run in enumerate(runs)]
+            own = [slot for slot in range(len(runs)) if l < ranks[slot]]
+            stages = [_stages(ws, runs[slot], slot, firsts[slot], way, l) for slot in own]
             for part in zip(*stages):
                 live = replaced(live, {k: v for new in part for k, v in new.items()})
-            names = [f"{s}{slot * rank + l}" for slot in range(len(runs)) for s in SIDES]
+            names = [f"{s}{firsts[slot] + l}" for slot in own for s in SIDES]
             live = replaced(live, {c: floored_sql(c, FACTOR_EPS) for c in names})
             if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
                 live = cut_lineage(live)
         new = cut_lineage(live.select(*factor_columns(width)))
-        row = only_row(new.selectExpr(*block_gram_aggregates(rank, len(runs))))
-        per_run = block_grams(row, rank, len(runs))
+        row = only_row(new.selectExpr(*block_gram_aggregates(ranks)))
+        per_run = block_grams(row, ranks)
         if not last:
             # Flooring came first, so unit columns and their Grams follow from the raw Grams.
-            own = [{s: np.sqrt(np.diag(g[s])) for s in SIDES} for g, _cross in per_run]
-            norms = {s: np.concatenate([o[s] for o in own]) for s in SIDES}
+            lengths = [{s: np.sqrt(np.diag(g[s])) for s in SIDES} for g, _cross in per_run]
+            norms = {s: np.concatenate([o[s] for o in lengths]) for s in SIDES}
             new = scaled_factor(new, width, norms)
             per_run = [
                 (
                     {s: scaled_gram(g[s], o[s]) for s in SIDES},
                     cross / (positive(o["x"]) * positive(o["y"])),
                 )
-                for (g, cross), o in zip(per_run, own)
+                for (g, cross), o in zip(per_run, lengths)
             ]
         source.release()
         factors.append(new)
@@ -118,9 +123,9 @@ def baseline(ws: Workspace, state: FitState) -> FitState:
         state.carried.table.selectExpr(
             *[
                 "sum("
-                + " + ".join(f"{s}{slot * rank + r} * m{s}{slot * rank + r}" for r in range(rank))
+                + " + ".join(f"{s}{c} * m{s}{c}" for c in range(first, first + rank))
                 + f") AS {s}{slot}"
-                for slot in range(len(runs))
+                for slot, (first, rank) in enumerate(zip(firsts, ranks))
                 for s in SIDES
             ]
         )

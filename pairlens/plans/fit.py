@@ -3,10 +3,12 @@
 Cells and factors stay DataFrames. Per iteration the driver sees one aggregate row per job:
 column norms, Gram matrices and core sums, all of component-count size.
 
-Runs with the same rank (trials, parameter settings) are fitted together: run b owns the columns
-``b * rank .. (b + 1) * rank - 1`` of each factor table, so one pass over the cells, and one
-aggregate per column, serves all of them. Their algebra stays separate, and a run that has
-stopped leaves the tables.
+Runs (trials, parameter settings, ranks) are fitted together: they own neighbouring columns of each
+factor table, run after run, so one pass over the cells, and one aggregate per column, serves all of
+them. Their algebra stays separate, and a run that has stopped leaves the tables.
+
+With a ``state_path`` the factors, Grams, weights and momentum of every iteration are written there
+(:mod:`pairlens.plans.resume`), and a fit that was broken off goes on after its last whole iteration.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +63,7 @@ class FitConfig:
     tolerance: float = 1e-6
     seed: int = 1
     init_kind: str = "formula"
+    factor_momentum: bool = False
     broadcast_bytes: int = FACTOR_BROADCAST_BYTES
     cells_per_salt: int = TARGET_CELLS_PER_SALT
 
@@ -77,6 +81,8 @@ class Run:
     zwx: np.ndarray
     zwy: np.ndarray
     momentum: float = 1.0
+    #: Share of the last change of a factor that its next update starts ahead of it.
+    push: float = 0.0
     inner_x: float = 0.0
     inner_y: float = 0.0
     cost: float = math.nan
@@ -96,14 +102,22 @@ class FitState:
     carried: Compact | None = None
 
     @property
-    def rank(self) -> int:
-        """Components of one run."""
-        return self.runs[0].cfg.rank
+    def ranks(self) -> list[int]:
+        return [run.cfg.rank for run in self.runs]
+
+    @property
+    def firsts(self) -> list[int]:
+        """First column of every run."""
+        return first_columns(self.ranks)
 
     @property
     def width(self) -> int:
         """Components of all runs together."""
-        return self.rank * len(self.runs)
+        return sum(self.ranks)
+
+
+def first_columns(ranks: Sequence[int]) -> list[int]:
+    return [0, *accumulate(ranks)][:-1]
 
 
 @dataclass
@@ -118,8 +132,11 @@ class Workspace:
     n_cells: int
 
     @classmethod
-    def prepare(cls, tensor: PairedTensor, cfg: FitConfig, runs: int = 1) -> Workspace:
-        """Layouts for jobs that fit ``runs`` runs of this configuration together."""
+    def prepare(
+        cls, tensor: PairedTensor, cfg: FitConfig, runs: int = 1, width: int | None = None
+    ) -> Workspace:
+        """Layouts for jobs that fit ``runs`` runs of this configuration, or ``width`` components
+        of any runs, together."""
         base = cut_lineage(tensor.cells)
         inside = " AND ".join(f"i{w} >= 0 AND i{w} < {d}" for w, d in enumerate(tensor.dims))
         row = only_row(
@@ -134,7 +151,7 @@ class Workspace:
         if not row.n or not row.x or not row.y:
             raise ValueError("both tensors need at least one non-zero cell")
         plan = plan_joins(
-            base, tensor.dims, cfg.rank * runs, cfg.broadcast_bytes, cfg.cells_per_salt, row.n
+            base, tensor.dims, width or cfg.rank * runs, cfg.broadcast_bytes, cfg.cells_per_salt, row.n
         )
         leads = {k: lead_way(plan, tensor.dims, k) for k in range(tensor.ways)}
         held = {
@@ -167,6 +184,7 @@ class FitResult:
     norm_y: float
     cost: float
     log: list[tuple[int, float, float, float]] = field(default_factory=list)
+    n_cells: int = 0
 
     def log_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -187,6 +205,8 @@ class FitResult:
             "alg": self.method, "R": c.rank, "distance": c.distance, "alpha": c.alpha,
             "beta": c.beta, "gamma": c.gamma, "delta": c.delta,
             "train_proportion": c.train_proportion, "max_iter": c.max_iter, "seed": c.seed,
+            "nb_points": self.n_cells, "init": c.init_kind, "factor_momentum": c.factor_momentum,
+            "max_time": c.max_time if math.isfinite(c.max_time) else None,
         }
         out.update({f"dim_{w}": d for w, d in enumerate(self.dims)})
         return out
@@ -219,41 +239,51 @@ def scaled_factor(factor: DataFrame, width: int, norms: dict[str, np.ndarray]) -
     return factor.selectExpr("idx", *columns)
 
 
-def run_columns(factor: DataFrame, rank: int, slots: Sequence[int]) -> DataFrame:
-    """The columns of the given runs, renumbered from zero."""
+#: Prefix of the columns that hold a factor's values before its last update (factor momentum).
+PREVIOUS = "before_"
+
+
+def with_previous(factor: DataFrame) -> bool:
+    return f"{PREVIOUS}x0" in factor.columns
+
+
+def run_columns(
+    factor: DataFrame, ranks: Sequence[int], slots: Sequence[int], previous: bool = False
+) -> DataFrame:
+    """The columns of the given runs, renumbered from zero; on request with those before the update."""
+    kinds = ["", PREVIOUS] if previous and with_previous(factor) else [""]
+    firsts = first_columns(ranks)
+    kept = [firsts[slot] + r for slot in slots for r in range(ranks[slot])]
     return factor.selectExpr(
         "idx",
         *[
-            f"{side}{slot * rank + r} AS {side}{new * rank + r}"
+            f"{kind}{side}{c} AS {kind}{side}{new}"
+            for kind in kinds
             for side in SIDES
-            for new, slot in enumerate(slots)
-            for r in range(rank)
+            for new, c in enumerate(kept)
         ],
     )
 
 
-def block_gram_aggregates(rank: int, runs: int) -> list[str]:
+def block_gram_aggregates(ranks: Sequence[int]) -> list[str]:
     """Gram sums of every run's own columns, and the diagonal cross products."""
     out = []
-    for b in range(runs):
+    for b, (first, rank) in enumerate(zip(first_columns(ranks), ranks)):
         for p in range(rank):
-            i = b * rank + p
+            i = first + p
             out.append(f"sum(x{i} * y{i}) AS cross_{i}")
             for q in range(p, rank):
-                j = b * rank + q
+                j = first + q
                 out += [f"sum({s}{i} * {s}{j}) AS g{s}{b}_{p}_{q}" for s in SIDES]
     return out
 
 
-def block_grams(row, rank: int, runs: int) -> list[tuple[dict[str, np.ndarray], np.ndarray]]:
+def block_grams(row, ranks: Sequence[int]) -> list[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Per run: both Gram matrices and the cross products."""
-    cross = vector(row, "cross", rank * runs)
+    cross = vector(row, "cross", sum(ranks))
     return [
-        (
-            {s: symmetric_matrix(row, f"g{s}{b}", rank) for s in SIDES},
-            cross[b * rank : (b + 1) * rank],
-        )
-        for b in range(runs)
+        ({s: symmetric_matrix(row, f"g{s}{b}", rank) for s in SIDES}, cross[first : first + rank])
+        for b, (first, rank) in enumerate(zip(first_columns(ranks), ranks))
     ]
 
 
@@ -273,33 +303,28 @@ def start_state(
     ``init`` gives one factor per way, with the columns of all runs side by side.
     """
     spark = tensor.cells.sparkSession
-    rank, n_runs = cfgs[0].rank, len(cfgs)
-    if any(c.rank != rank for c in cfgs):
-        raise ValueError("runs fitted together need the same rank")
-    width = rank * n_runs
+    ranks = [c.rank for c in cfgs]
+    width = sum(ranks)
     if init is None:
-        starts = [(c.seed, c.init_kind) for c in cfgs]
-        raw = [init_runs(spark, d, w, rank, starts) for w, d in enumerate(tensor.dims)]
+        starts = [(c.seed, c.init_kind, c.rank) for c in cfgs]
+        raw = [init_runs(spark, d, w, starts) for w, d in enumerate(tensor.dims)]
     else:
         raw = [cut_lineage(f.select(*factor_columns(width))) for f in init]
-    uniform = np.full(rank, 1.0 / rank)
-    runs = [
-        Run(c, [], [], [], uniform, uniform.copy(), uniform.copy(), uniform.copy()) for c in cfgs
-    ]
+    runs = [Run(c, [], [], [], *[np.full(c.rank, 1.0 / c.rank) for _ in range(4)]) for c in cfgs]
     factors = []
     for w, factor in enumerate(raw):
         # Distinct indices of a user's factor: the right number of rows may still miss some.
         distinct = "count(DISTINCT CASE WHEN idx >= 0 AND idx < {} THEN idx END) AS found"
         known = "count(1) AS found" if init is None else distinct.format(tensor.dims[w])
         row = only_row(
-            factor.selectExpr("count(1) AS n", known, *block_gram_aggregates(rank, n_runs))
+            factor.selectExpr("count(1) AS n", known, *block_gram_aggregates(ranks))
         )
         if row.n != tensor.dims[w]:
             raise ValueError(f"way {w}: factor has {row.n} rows, dimension is {tensor.dims[w]}")
         if row.found != row.n:
             raise ValueError(f"way {w}: factor misses {row.n - row.found} indices of the dimension")
         norms = {s: [] for s in SIDES}
-        for run, (grams, cross) in zip(runs, block_grams(row, rank, n_runs)):
+        for run, (grams, cross) in zip(runs, block_grams(row, ranks)):
             own = {s: np.sqrt(np.diag(grams[s])) for s in SIDES}
             run.gx.append(scaled_gram(grams["x"], own["x"]))
             run.gy.append(scaled_gram(grams["y"], own["y"]))
@@ -324,12 +349,20 @@ def run_cost(ws: Workspace, run: Run) -> float:
 
 
 def _advance(ws: Workspace, state: FitState, i: int, elapsed: float) -> list[int]:
-    """Record the iteration; slots of the runs that stop here."""
+    """Record the iteration; slots of the runs that stop here.
+
+    Shared jobs are paid by columns: a run is charged its share of the table's width, so its clock
+    runs about as it would alone and its time limit does not depend on the batch.
+    """
     stopped = []
     for slot, run in enumerate(state.runs):
         run.cost = run_cost(ws, run)
         change = abs(run.cost - run.previous)
-        run.log.append((i, elapsed, run.cost, change))
+        run.log.append((i, elapsed * run.cfg.rank / state.width, run.cost, change))
+        if run.cfg.factor_momentum and run.cost > run.previous:
+            # The extrapolation overshot: the next iteration starts from the iterate itself.
+            run.momentum, run.push = 1.0, 0.0
+            run.zwx, run.zwy = run.wx.copy(), run.wy.copy()
         spent = sum(entry[1] for entry in run.log)
         if spent > run.cfg.max_time or change < run.cfg.tolerance or i >= run.cfg.max_iter:
             stopped.append(slot)
@@ -344,13 +377,24 @@ def fit_runs(
     init: Sequence[DataFrame] | None = None,
     workspace: Workspace | None = None,
     on_iteration: Callable[[int, FitState], None] | None = None,
+    state_path: str | None = None,
 ) -> list[FitResult]:
-    """Fit several runs in shared jobs until each has settled, timed out or hit ``max_iter``."""
-    ws = workspace or Workspace.prepare(tensor, cfgs[0], len(cfgs))
+    """Fit several runs in shared jobs until each has settled, timed out or hit ``max_iter``.
+
+    ``state_path`` names a folder in which the fit keeps its state; it goes on from there if an
+    earlier call of the same fit was broken off, and finds its results there if it had ended.
+    """
+    from pairlens.plans.resume import StateStore
+
+    ws = workspace or Workspace.prepare(tensor, cfgs[0], width=sum(c.rank for c in cfgs))
+    store = state_path and StateStore(tensor.cells.sparkSession, state_path, step.__name__, ws, cfgs)
     state, results = None, {}
     try:
-        state = start_state(tensor, cfgs, init)
-        order, i = list(range(len(cfgs))), 0
+        found = store and store.load()
+        if found:
+            i, state, order, results = found
+        else:
+            i, state, order = 0, start_state(tensor, cfgs, init), list(range(len(cfgs)))
         while state.runs:
             i += 1
             begun = time.monotonic()
@@ -358,20 +402,20 @@ def fit_runs(
             stopped = _advance(ws, state, i, time.monotonic() - begun)
             if on_iteration is not None:
                 on_iteration(i, state)
+            ended = []
             for slot in stopped:
-                run = state.runs[slot]
-                factors = [run_columns(f, state.rank, [slot]) for f in state.factors]
-                results[order[slot]] = FitResult(
-                    step.__name__, run.cfg, tensor.dims, factors, run.wx, run.wy,
-                    ws.norm_x, ws.norm_y, run.cost, run.log,
-                )
+                factors = [run_columns(f, state.ranks, [slot]) for f in state.factors]
+                ended.append(order[slot])
+                results[order[slot]] = result_of(ws, step.__name__, state.runs[slot], factors)
             if stopped:
                 kept = [slot for slot in range(len(state.runs)) if slot not in stopped]
                 if state.carried is not None:
                     state.carried.release()
-                factors = [run_columns(f, state.rank, kept) for f in state.factors]
+                factors = [run_columns(f, state.ranks, kept, previous=True) for f in state.factors]
                 state = FitState(factors, [state.runs[slot] for slot in kept])
                 order = [order[slot] for slot in kept]
+            if store:
+                store.save(i, state, order, {k: results[k] for k in ended})
     finally:
         if state is not None and state.carried is not None:
             state.carried.release()
@@ -380,6 +424,13 @@ def fit_runs(
     return [results[k] for k in range(len(cfgs))]
 
 
+def result_of(ws: Workspace, method: str, run: Run, factors: list[DataFrame]) -> FitResult:
+    return FitResult(
+        method, run.cfg, ws.tensor.dims, factors, run.wx, run.wy, ws.norm_x, ws.norm_y, run.cost, run.log,
+        ws.n_cells,
+    )
+
+
 def fit(
     tensor: PairedTensor,
     step: Step,
@@ -387,6 +438,7 @@ def fit(
     init: Sequence[DataFrame] | None = None,
     workspace: Workspace | None = None,
     on_iteration: Callable[[int, FitState], None] | None = None,
+    state_path: str | None = None,
 ) -> FitResult:
     """Iterate ``step`` until the cost settles, time is up or ``max_iter`` is reached."""
-    return fit_runs(tensor, step, [cfg], init, workspace, on_iteration)[0]
+    return fit_runs(tensor, step, [cfg], init, workspace, on_iteration, state_path)[0]

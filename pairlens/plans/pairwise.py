@@ -2,7 +2,9 @@
 
 Ways are updated in turn, columns in turn within a way. A column update is row-local given
 the rank x rank Gram product, except for its norm over all rows, which is one aggregate for
-both sides. One cells pass per way; the weight update and the cost need no pass of their own:
+both sides. With factor momentum a column starts its step from a point ahead of the iterate,
+which is the iterate plus a share of its last change; a factor table then also carries the values
+before its last update, so that the point ahead is a row expression and costs no join or pass. One cells pass per way; the weight update and the cost need no pass of their own:
 with the last way's products M, any core sum is ``sum_i A[i, r] * M[i, r]``.
 """
 
@@ -25,6 +27,7 @@ from pairlens.operators.algebra import (
 from pairlens.operators.weights import floored, next_momentum, unit_sum
 from pairlens.plans.fit import (
     COLUMNS_PER_PLAN,
+    PREVIOUS,
     FitConfig,
     FitState,
     Run,
@@ -33,6 +36,7 @@ from pairlens.plans.fit import (
     block_grams,
     frobenius,
     replaced,
+    with_previous,
 )
 from pairlens.schema import SIDES, factor_columns
 from pairlens.session import cut_lineage, hold, hold_compact, only_row
@@ -55,9 +59,10 @@ class _Gradient:
     nf: dict[str, float]
     share: dict[str, np.ndarray]
     last: bool
+    ahead: bool = False
 
     @classmethod
-    def of(cls, ws: Workspace, run: Run, slot: int, way: int) -> _Gradient:
+    def of(cls, ws: Workspace, run: Run, first: int, way: int, factor: DataFrame) -> _Gradient:
         cfg = run.cfg
         quad, z, same, pull, nf, share = {}, {}, {}, {}, {}, {}
         for s, norm, w, sign in (("x", ws.norm_x, run.wx, 1.0), ("y", ws.norm_y, run.wy, -1.0)):
@@ -67,7 +72,8 @@ class _Gradient:
             z[s], same[s], pull[s], share[s] = n * cfg.alpha * w, n * cfg.beta * a, sign * n * cfg.gamma * a, a
             quad[s] = product * (1.0 + z[s] * w + same[s] * a)[np.newaxis, :]
         last = way == ws.tensor.ways - 1
-        return cls(cfg.rank, slot * cfg.rank, quad, z, same, pull, nf, share, last)
+        ahead = run.push > 0 and with_previous(factor)
+        return cls(cfg.rank, first, quad, z, same, pull, nf, share, last, ahead)
 
     def signal_weight(self, side: str, l: int) -> str:
         """Cell value whose product sum carries all signal terms of a component."""
@@ -92,7 +98,24 @@ class _Gradient:
             )
         apart = f"({number(self.share['x'][l])} * x{c} - {number(self.share['y'][l])} * y{c})"
         gradient = f"{quadratic or '0.0D'} - {target} + {number(self.pull[side][l])} * {apart}"
-        return f"{side}{c} - ({gradient}) / {number(self.nf[side])}"
+        base = f"{AHEAD}{side}{c}" if self.ahead else f"{side}{c}"
+        return f"{base} - ({gradient}) / {number(self.nf[side])}"
+
+
+# Prefix of the columns that hold the points the steps of an update start from.
+AHEAD = "ahead_"
+
+
+def _with_ahead(live: DataFrame, runs: list[Run], gradients: list[_Gradient]) -> DataFrame:
+    """Keep the values before the update and, where a run has a push, add the points ahead."""
+    columns = [c for c in live.columns if not c.startswith(PREVIOUS)]
+    for run, g in zip(runs, gradients):
+        for s in SIDES:
+            for c in range(g.first, g.first + g.rank):
+                columns.append(f"{s}{c} AS {PREVIOUS}{s}{c}")
+                if g.ahead:
+                    columns.append(f"{s}{c} + {number(run.push)} * ({s}{c} - {PREVIOUS}{s}{c}) AS {AHEAD}{s}{c}")
+    return live.selectExpr(*columns)
 
 
 # A derived squared norm below this share of its terms is measured instead.
@@ -114,28 +137,31 @@ def _column_norms(live: DataFrame, l: int, gradients: list[_Gradient]) -> dict[s
 def _norm_pair(live: DataFrame, l: int, gradients: list[_Gradient]) -> tuple[dict, dict | None]:
     """Norms of the stepped column l and of column l + 1 after it, from one aggregate.
 
+    Runs whose last column is l have no following one.
+
     With ``p`` the non-negative part of column l and ``n`` its norm, column l + 1 steps to
     ``base - c * p / n``: ``base`` and ``p`` are known in this pass, and the squared norm of the
     difference needs only their inner products.
     """
     columns = [(g, s, f"{s}{g.first + l}") for g in gradients for s in SIDES]
+    longer = [(g, s, c) for g, s, c in columns if l + 1 < g.rank]
     parts = live.selectExpr(
         *[f"{c} AS r_{c}" for _g, _s, c in columns],
-        *[f"greatest({c}, 0.0D) AS p_{c}" for _g, _s, c in columns],
-        *[f"{g.step(s, l + 1, without=l)} AS b_{c}" for g, s, c in columns],
+        *[f"greatest({c}, 0.0D) AS p_{c}" for _g, _s, c in longer],
+        *[f"{g.step(s, l + 1, without=l)} AS b_{c}" for g, s, c in longer],
     )
     row = only_row(
         parts.selectExpr(
+            *[f"sum(r_{c} * r_{c}) AS rr_{c}" for _g, _s, c in columns],
             *[
                 f"sum({a}_{c} * {b}_{c}) AS {a}{b}_{c}"
-                for _g, _s, c in columns
-                for a, b in (("r", "r"), ("p", "p"), ("b", "b"), ("b", "p"))
-            ]
+                for _g, _s, c in longer
+                for a, b in (("p", "p"), ("b", "b"), ("b", "p"))
+            ],
         )
     )
-    first, second = {}, {}
-    for g, s, name in columns:
-        first[name] = math.sqrt(row[f"rr_{name}"])
+    first, second = {name: math.sqrt(row[f"rr_{name}"]) for _g, _s, name in columns}, {}
+    for g, s, name in longer:
         c = g.quad[s][l, l + 1] / g.nf[s] / (first[name] or 1.0)
         plus = row[f"bb_{name}"] + c * c * row[f"pp_{name}"]
         squared = plus - 2.0 * c * row[f"bp_{name}"]
@@ -155,18 +181,20 @@ def _floored(live: DataFrame, l: int, gradients: list[_Gradient], norms: dict) -
 
 def _updated_columns(live: DataFrame, gradients: list[_Gradient], held: list) -> DataFrame:
     """All columns of a way in order; the last way carries the scale and needs no norms."""
-    following, rank, last = None, gradients[0].rank, gradients[0].last
+    following, last = None, gradients[0].last
+    rank = max(g.rank for g in gradients)
     for l in range(rank):
-        live = _stepped(live, l, gradients)
+        own = [g for g in gradients if l < g.rank]
+        live = _stepped(live, l, own)
         if last:
             norms = {}
         elif following is not None:
             norms, following = following, None
         elif l + 1 < rank:
-            norms, following = _norm_pair(live, l, gradients)
+            norms, following = _norm_pair(live, l, own)
         else:
-            norms = _column_norms(live, l, gradients)
-        live = _floored(live, l, gradients, norms)
+            norms = _column_norms(live, l, own)
+        live = _floored(live, l, own, norms)
         if (l + 1) % COLUMNS_PER_PLAN == 0 and l + 1 < rank:
             live = hold(cut_lineage(live))
             held.append(live)
@@ -182,16 +210,21 @@ CORE_SUMS = {
 
 def update_way(ws: Workspace, state: FitState, way: int) -> list[dict] | None:
     """Update one way of all runs; the last way also returns each run's core sums."""
-    rank, width, runs = state.rank, state.width, state.runs
+    ranks, width, runs = state.ranks, state.width, state.runs
     last = way == ws.tensor.ways - 1
-    gradients = [_Gradient.of(ws, run, slot, way) for slot, run in enumerate(runs)]
+    gradients = [
+        _Gradient.of(ws, run, first, way, state.factors[way])
+        for run, first in zip(runs, state.firsts)
+    ]
+    owner = [(g, l) for g in gradients for l in range(g.rank)]
+    momentum = any(run.cfg.factor_momentum for run in runs)
     cells = ws.cells_for(way)
     if last:
         products = mttkrp(cells, state.factors, width, way, plan=ws.plan)
     else:
         # All signal terms of a side enter linearly, so they are summed as one column.
         def combined(side):
-            return lambda c: gradients[c // rank].signal_weight(side, c % rank)
+            return lambda c: owner[c][0].signal_weight(side, owner[c][1])
 
         products = mttkrp_weighted(
             cells, state.factors, width, way,
@@ -199,12 +232,13 @@ def update_way(ws: Workspace, state: FitState, way: int) -> list[dict] | None:
         )
     source = hold_compact(complete(state.factors[way], products), ws.tensor.dims[way])
     held = [source.held]
-    live = _updated_columns(source.table, gradients, held)
+    live = _with_ahead(source.table, runs, gradients) if momentum else source.table
+    live = _updated_columns(live, gradients, held)
     cores = None
     if last:
         row = only_row(
             live.selectExpr(
-                *block_gram_aggregates(rank, len(runs)),
+                *block_gram_aggregates(ranks),
                 *[
                     f"sum({side}{c} * {m}{c}) AS {name}_{c}"
                     for name, (side, m) in CORE_SUMS.items()
@@ -214,16 +248,18 @@ def update_way(ws: Workspace, state: FitState, way: int) -> list[dict] | None:
         )
         sums = {name: vector(row, name, width) for name in CORE_SUMS}
         cores = [
-            {name: v[b * rank : (b + 1) * rank] for name, v in sums.items()}
-            for b in range(len(runs))
+            {name: v[g.first : g.first + g.rank] for name, v in sums.items()} for g in gradients
         ]
-    factor = cut_lineage(live.select(*factor_columns(width)))
+    kept = factor_columns(width)
+    if momentum:
+        kept += [PREVIOUS + c for c in kept[1:]]
+    factor = cut_lineage(live.select(*kept))
     if not last:
-        row = only_row(factor.selectExpr(*block_gram_aggregates(rank, len(runs))))
+        row = only_row(factor.selectExpr(*block_gram_aggregates(ranks)))
     for df in held:
         df.unpersist()
     state.factors[way] = factor
-    for run, (grams, cross) in zip(runs, block_grams(row, rank, len(runs))):
+    for run, (grams, cross) in zip(runs, block_grams(row, ranks)):
         run.gx[way], run.gy[way], run.cross[way] = grams["x"], grams["y"], cross
     return cores
 
@@ -262,6 +298,7 @@ def update_weights(run: Run, core: dict) -> None:
     run.zwx = new_x + push * (new_x - run.wx)
     run.zwy = new_y + push * (new_y - run.wy)
     run.wx, run.wy, run.momentum = new_x, new_y, following
+    run.push = push if cfg.factor_momentum else 0.0
 
 
 def pairwise(ws: Workspace, state: FitState) -> FitState:

@@ -1,13 +1,21 @@
 """Trials, hyper-parameter grids and resumable sweeps.
 
-A sweep is a small table of pending runs (grid minus completed keys); its rows are settings,
-so the loop over them lives on the driver while each run is a sequence of Spark jobs.
+A sweep is a small table of pending runs (grid minus completed keys); its rows are settings. Runs
+over the same cells (seed and train share) are fitted together, whatever their settings and ranks:
+the cells are loaded and laid out once, and every pass over them serves as many components as
+:data:`COMPONENTS_PER_JOB` allows.
+
+Output is written run by run into partitions of its own, which a repeated run replaces, and the final
+cost rows come last: they are the commit. A sweep that was broken off anywhere is called again and
+leaves every row once. :func:`committed` reads only what belongs to committed runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +27,15 @@ from pairlens.plans.baseline import baseline
 from pairlens.plans.fit import FitConfig, FitResult, Workspace, fit_runs
 from pairlens.plans.pairwise import pairwise
 from pairlens.schema import PairedTensor
-from pairlens.sources.sinks import completed_runs, run_info_table, write_matrix, write_table
+from pairlens.session import cut_lineage
+from pairlens.sources.sinks import (
+    completed_runs,
+    read_table,
+    remove_path,
+    replace_partitions,
+    run_info_table,
+    write_matrix,
+)
 
 # Width limit of jobs shared by several runs, in components.
 COMPONENTS_PER_JOB = 24
@@ -35,6 +51,7 @@ FINAL_COST_SCHEMA = (
 RUN_KEYS = (
     "method", "seed", "rank", "distance", "alpha", "beta", "gamma", "delta", "train_proportion"
 )
+COST_TABLE_SCHEMA = FINAL_COST_SCHEMA + ", method STRING, seed INT, rank INT, run STRING"
 RUN_KEY_SCHEMA = (
     "method STRING, seed INT, rank INT, distance INT, alpha DOUBLE, beta DOUBLE, gamma DOUBLE, "
     "delta DOUBLE, train_proportion DOUBLE"
@@ -72,24 +89,45 @@ def run_trials(
 
     Trials share their jobs, as many at a time as :data:`COMPONENTS_PER_JOB` allows.
     """
-    spark = tensor.cells.sparkSession
+    cfgs = [replace(cfg, seed=cfg.seed + t) for t in range(trials)]
+    width = min(sum(c.rank for c in cfgs), max(COMPONENTS_PER_JOB, cfg.rank))
+    workspace = Workspace.prepare(tensor, cfg, width=width)
+    results = []
+    try:
+        for batch in batches(cfgs, lambda c: c.rank):
+            results += fit_runs(tensor, METHODS[method], batch, workspace=workspace)
+    finally:
+        workspace.release()
+    return trial_tables(tensor.cells.sparkSession, cfg, results, case, ground_truth_k, noise)
+
+
+def batches(items: Sequence, rank: Callable[[object], int]) -> list[list]:
+    """Neighbouring items in groups of at most :data:`COMPONENTS_PER_JOB` components (or one item)."""
+    out, width = [], COMPONENTS_PER_JOB + 1
+    for item in items:
+        width += rank(item)
+        if width > COMPONENTS_PER_JOB:
+            out.append([])
+            width = rank(item)
+        out[-1].append(item)
+    return out
+
+
+def trial_tables(
+    spark: SparkSession,
+    cfg: FitConfig,
+    results: Sequence[FitResult],
+    case: str = "case",
+    ground_truth_k: str | None = None,
+    noise: float = 0.0,
+) -> TrialTables:
+    """The tables of the trials of one setting."""
     truth = ground_truth_k or case
-    together = max(1, min(trials, COMPONENTS_PER_JOB // cfg.rank))
-    workspace = Workspace.prepare(tensor, cfg, together)
-    costs, weights, logs, infos = [], [], [], []
     tags = {
         "ground_truth_k": truth, "k": case, "noise": float(noise), "alpha": cfg.alpha,
         "beta": cfg.beta, "delta": cfg.delta, "gamma": cfg.gamma, "distance": cfg.distance,
     }
-
-    results = []
-    try:
-        for first in range(0, trials, together):
-            batch = range(first, min(first + together, trials))
-            cfgs = [replace(cfg, seed=cfg.seed + t) for t in batch]
-            results += fit_runs(tensor, METHODS[method], cfgs, workspace=workspace)
-    finally:
-        workspace.release()
+    costs, weights, logs, infos = [], [], [], []
     for t, result in enumerate(results):
         costs.append(
             (t, 0, result.cost, t, truth, case, float(noise), float(cfg.train_proportion),
@@ -98,10 +136,11 @@ def run_trials(
         wide = widen_weights(result.weights_table(spark), cfg.rank)
         weights.append(tag(wide, trial_ID=t, **tags))
         logs.append(tag(result.log_table(spark), trial_ID=t, **tags))
-        infos.append(tag(run_info_table(spark, result.info(), result.final()), trial_ID=t))
+        info = {**result.info(), "noise": float(noise)}
+        infos.append(tag(run_info_table(spark, info, result.final()), trial_ID=t))
     return TrialTables(
         spark.createDataFrame(costs, FINAL_COST_SCHEMA), _union(weights), _union(logs),
-        _union(infos), results,
+        _union(infos), list(results),
     )
 
 
@@ -136,48 +175,114 @@ def run_sweep(
     noise: float = 0.01,
     fmt: str = "parquet",
     save_factors: bool = False,
+    keep_states: bool = False,
     **config: object,
 ) -> DataFrame:
-    """Fit every pending run of ``grid`` (columns :data:`RUN_KEYS`) and append its tables.
+    """Fit every pending run of ``grid`` (columns :data:`RUN_KEYS`) and write its tables.
 
-    ``load(seed)`` gives the tensor of a bootstrap sample. The final cost table is written
-    last and doubles as the completion record, so an interrupted run is repeated.
+    ``load(seed)`` gives the tensor of a bootstrap sample; it is called once per seed, and the cells
+    are laid out once per seed and train share. The final cost rows are written last and are the
+    completion record, so an interrupted run is repeated and replaces what it had written. With
+    ``keep_states`` fits store every iteration and a repeated sweep goes on inside them; that takes
+    the same grid, trials and settings.
     """
     cost_path = f"{output_path}/cost_final"
-    done = completed_runs(spark, cost_path, RUN_KEYS, RUN_KEY_SCHEMA)
+    done = completed_runs(spark, cost_path, RUN_KEYS, COST_TABLE_SCHEMA, fmt)
     # Settings only: as many rows as there are parameter combinations.
-    runs = pending_runs(grid, done).select(*RUN_KEYS).orderBy("seed", *RUN_KEYS).collect()
-    current, tensor = None, None
-    for run in runs:
-        if run.seed != current:
-            current, tensor = run.seed, load(run.seed)
-        keys = run.asDict()
-        train = tensor
-        if run.train_proportion < 10:
-            cells = with_split(tensor.cells, tensor.coords, run.train_proportion)
-            train = tensor.with_cells(subset(cells, "train").drop("split"))
-        cfg = FitConfig(
-            rank=run["rank"], alpha=run.alpha, beta=run.beta, gamma=run.gamma, delta=run.delta,
-            distance=run.distance, train_proportion=run.train_proportion, max_iter=max_iter,
-            **config,
-        )
-        tables = run_trials(train, cfg, run.method, trials, case, noise=noise)
-        named = {k: v for k, v in keys.items() if k in ("method", "seed", "rank")}
-        write_table(
-            tag(tables.weights, train_proportion=cfg.train_proportion, **named),
-            f"{output_path}/weights_R{cfg.rank}", fmt,
-        )
-        write_table(tag(tables.log, **named), f"{output_path}/run_log", fmt)
-        write_table(tag(tables.info, **named), f"{output_path}/run_info", "parquet")
-        if save_factors:
-            for t, result in enumerate(tables.results):
+    pending = pending_runs(grid.select(*RUN_KEYS).distinct(), done).orderBy("seed", *RUN_KEYS).collect()
+    by_seed = {seed: list(rows) for seed, rows in groupby(pending, lambda r: r.seed)}
+    for seed, runs in by_seed.items():
+        tensor = load(seed)
+        shares = sorted({r.train_proportion for r in runs})
+        if len(shares) > 1:
+            tensor = tensor.with_cells(cut_lineage(tensor.cells))
+        for share in shares:
+            own = [
+                (r.asDict(), FitConfig(
+                    rank=r["rank"], alpha=r.alpha, beta=r.beta, gamma=r.gamma, delta=r.delta,
+                    distance=r.distance, train_proportion=share, max_iter=max_iter, **config,
+                ))
+                for r in runs if r.train_proportion == share
+            ]
+            _fit_share(tensor, share, own, trials, keep_states and output_path, lambda finished: _write_runs(
+                spark, finished, output_path, case, noise, fmt, save_factors
+            ))
+    return completed_cost(spark, cost_path, fmt)
+
+
+def _fit_share(
+    tensor: PairedTensor,
+    share: float,
+    runs: Sequence[tuple[dict, FitConfig]],
+    trials: int,
+    states: str | bool,
+    write: Callable[[list[tuple[dict, FitConfig, list[FitResult]]]], None],
+) -> None:
+    """Fit all settings of one sample and share together; hands over runs as they are complete."""
+    train = tensor
+    if share < 10:
+        cells = with_split(tensor.cells, tensor.coords, share)
+        train = tensor.with_cells(subset(cells, "train").drop("split"))
+    fits = [(k, replace(cfg, seed=cfg.seed + t)) for k, (_keys, cfg) in enumerate(runs) for t in range(trials)]
+    found: dict[int, list[FitResult]] = {k: [] for k in range(len(runs))}
+    per_method = [
+        (method, batch)
+        for method in sorted({keys["method"] for keys, _ in runs})
+        for batch in batches([f for f in fits if runs[f[0]][0]["method"] == method], lambda f: f[1].rank)
+    ]
+    widths = [sum(cfg.rank for _k, cfg in batch) for _method, batch in per_method]
+    workspace = Workspace.prepare(train, runs[0][1], width=max(widths))
+    folders: dict[str, set[int]] = {}
+    try:
+        for method, batch in per_method:
+            name = "-".join(dict.fromkeys(run_name(runs[k][0]) for k, _cfg in batch))
+            folder = states and f"{states}/states/{hashlib.sha256(name.encode()).hexdigest()[:24]}"
+            cfgs = [cfg for _k, cfg in batch]
+            results = fit_runs(train, METHODS[method], cfgs, workspace=workspace, state_path=folder or None)
+            for (k, _cfg), result in zip(batch, results):
+                found[k].append(result)
+            whole = [k for k in dict.fromkeys(k for k, _cfg in batch) if len(found[k]) == trials]
+            if whole:
+                write([(*runs[k], found[k]) for k in whole])
+            if folder:
+                folders[folder] = {k for k, _cfg in batch}
+            for old in [f for f, own in folders.items() if all(len(found[k]) == trials for k in own)]:
+                remove_path(train.cells.sparkSession, old)
+                del folders[old]
+    finally:
+        workspace.release()
+
+
+def _write_runs(
+    spark: SparkSession,
+    finished: Sequence[tuple[dict, FitConfig, list[FitResult]]],
+    output_path: str,
+    case: str,
+    noise: float,
+    fmt: str,
+    save_factors: bool,
+) -> None:
+    """Replace the partitions of the finished runs, table by table; the cost rows commit them."""
+    tables = []
+    for keys, cfg, results in finished:
+        named = {k: keys[k] for k in ("method", "seed", "rank")} | {"run": run_name(keys)}
+        tables.append((named, cfg, trial_tables(spark, cfg, results, case, noise=noise)))
+    for rank in sorted({cfg.rank for _n, cfg, _t in tables}):
+        weights = [
+            tag(t.weights, train_proportion=cfg.train_proportion, **n) for n, cfg, t in tables if cfg.rank == rank
+        ]
+        replace_partitions(_union(weights), f"{output_path}/weights_R{rank}", fmt=fmt)
+    replace_partitions(_union([tag(t.log, **n) for n, _c, t in tables]), f"{output_path}/run_log", fmt=fmt)
+    replace_partitions(_union([tag(t.info, **n) for n, _c, t in tables]), f"{output_path}/run_info")
+    if save_factors:
+        for named, cfg, t in tables:
+            for trial, result in enumerate(t.results):
                 for way, factor in enumerate(result.factors):
                     write_matrix(
                         factor, cfg.rank, way, f"{output_path}/factors_R{cfg.rank}", fmt,
-                        run=run_name(keys), trial=t,
+                        mode="overwrite", run=named["run"], trial=trial,
                     )
-        write_table(tag(tables.final_cost, **named), cost_path, "parquet")
-    return completed_cost(spark, cost_path)
+    replace_partitions(_union([tag(t.final_cost, **n) for n, _c, t in tables]), f"{output_path}/cost_final", fmt=fmt)
 
 
 def run_name(keys: dict) -> str:
@@ -185,8 +290,19 @@ def run_name(keys: dict) -> str:
     return "_".join(str(keys[k]) for k in RUN_KEYS)
 
 
-def completed_cost(spark: SparkSession, cost_path: str) -> DataFrame:
-    return spark.read.parquet(cost_path)
+def completed_cost(spark: SparkSession, cost_path: str, fmt: str = "parquet") -> DataFrame:
+    """The final cost table, without the partition label."""
+    return read_table(spark, cost_path, COST_TABLE_SCHEMA, fmt).drop("run")
+
+
+def committed(
+    spark: SparkSession, table: DataFrame, output_path: str, fmt: str = "parquet"
+) -> DataFrame:
+    """The rows of a sweep's table that belong to committed runs and trials (``trial_ID`` or ``trial``)."""
+    trial = "trial_ID" if "trial_ID" in table.columns else "trial"
+    costs = read_table(spark, f"{output_path}/cost_final", COST_TABLE_SCHEMA, fmt)
+    kept = costs.select("run", F.col("trial_ID").alias(trial)).distinct()
+    return table.join(F.broadcast(kept), ["run", trial], "left_semi")  # a row per fit
 
 
 def cost_delta(log: DataFrame, run: Sequence[str], by: str = "iter") -> DataFrame:

@@ -72,7 +72,9 @@ def start(dims, rank, seed):
 
 
 class Pairwise:
-    def __init__(self, x, y, u, v, lam):
+    def __init__(self, x, y, u, v, lam, ahead=False):
+        self.ahead, self.push, self.previous, self.restarts = ahead, 0.0, 1e10, 0
+        self.old = [m.copy() for m in u], [m.copy() for m in v]
         self.x, self.y, self.u, self.v, self.lam = x, y, u, v, lam
         self.zx, self.zy = np.maximum(x - y, 0), np.maximum(y - x, 0)
         self.s = None
@@ -85,6 +87,8 @@ class Pairwise:
         n1, n2 = 1 / np.sqrt((self.x**2).sum()), 1 / np.sqrt((self.y**2).sum())
         ways, rank = len(u), u[0].shape[1]
         for k in range(ways):
+            begun = u[k].copy(), v[k].copy()
+            pu, pv = (m + self.push * (m - o[k]) for m, o in zip(begun, self.old))
             fx, fy = gram_product(u, k), gram_product(v, k)
             mx, my = mttkrp(self.x, u, k), mttkrp(self.y, v, k)
             mz1, mz2 = mttkrp(self.zx, u, k), mttkrp(self.zy, v, k)
@@ -97,12 +101,13 @@ class Pairwise:
                       + n1 * l2 * a * (a * p - ms1[:, l]) + n1 * l3 * d * a)
                 gv = (q - my[:, l] + n2 * l1 * self.wy[l] * (self.wy[l] * q - mz2[:, l])
                       + n2 * l2 * b * (b * q - ms2[:, l]) - n2 * l3 * d * b)
-                nu = u[k][:, l] - gu / np.linalg.norm(fx)
-                nv = v[k][:, l] - gv / np.linalg.norm(fy)
+                nu = pu[:, l] - gu / np.linalg.norm(fx)
+                nv = pv[:, l] - gv / np.linalg.norm(fy)
                 if k < ways - 1:
                     nu, nv = unit(nu), unit(nv)
                 u[k][:, l] = np.where(nu < EPS, 0, nu)
                 v[k][:, l] = np.where(nv < EPS, 0, nv)
+            self.old[0][k], self.old[1][k] = begun
         fx, fy = gram_product(u), gram_product(v)
         uu = sum((m * m).sum(0) for m in u)
         vv = sum((m * m).sum(0) for m in v)
@@ -119,7 +124,13 @@ class Pairwise:
         c = (self.momentum - 1) / following
         self.zwx, self.zwy = rx + c * (rx - self.wx), ry + c * (ry - self.wy)
         self.wx, self.wy, self.momentum = rx, ry, following
-        return cost(self.x, self.y, u, v)
+        now = cost(self.x, self.y, u, v)
+        if self.ahead:
+            self.push = c
+            if now > self.previous:
+                self.restarts, self.momentum, self.push, self.zwx, self.zwy = self.restarts + 1, 1.0, 0.0, rx, ry
+        self.previous = now
+        return now
 
 
 def baseline_step(x, y, u, v, k, alpha, beta):

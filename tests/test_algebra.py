@@ -75,6 +75,37 @@ def test_fused_mttkrp_matches_dense(tensor, factors, dense, way, kind):
         assert np.allclose(as_matrix(got, DIMS[way], prefix), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("way", [0, 1, 2])
+@pytest.mark.parametrize("first", [None, 0, 1, 2])
+def test_products_by_fibres(tensor, factors, dense, way, first):
+    if first == way:
+        return
+    got = al.mttkrp_fibres(tensor, factors, RANK, way, first=first)
+    for prefix, signal, side in al.FUSED_TERMS:
+        want = nm.mttkrp(dense[signal], MATS[side], way)
+        assert np.allclose(as_matrix(got, DIMS[way], prefix), want)
+
+
+def test_fibres_of_two_ways_and_their_lengths(spark):
+    pair = spark.createDataFrame([(i, j, 1.0, 2.0) for i in range(3) for j in range(8)], "i0 INT, i1 INT, x DOUBLE, y DOUBLE")
+    t = PairedTensor(signals(pair, coord_names(2)), (3, 8))
+    factors = al.init_factors(spark, t.dims, 2, 1)
+    assert al.fibre_lengths(t, 0)[1] == pytest.approx(8, rel=0.3)
+    rows = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+    for way in (0, 1):
+        assert rows(al.mttkrp_fibres(t, factors, 2, way)) == rows(al.mttkrp(t, factors, 2, way))
+
+
+def test_unit_gram_equals_gram_of_unit_columns(spark, factors):
+    factor = factors[0].withColumn("x1", F.lit(0.0))
+    unit = al.normalize_columns(factor, factor_columns(RANK)[1:])
+    got = {(r.side, r.p, r.q): r.g for r in al.unit_gram_long(factor, RANK).collect()}
+    for s in ("x", "y"):
+        want = {(s, r.p, r.q): r.g for r in al.gram_long(unit, RANK, s).collect()}
+        assert all(np.isclose(got[k], v, atol=1e-12) for k, v in want.items())
+    assert len(got) == 2 * RANK * RANK
+
+
 def test_every_cell_counts_once(tensor, factors):
     """With all factors one, the product of a way is its plain marginal sum."""
     ones = [f.select("idx", *[F.lit(1.0).alias(c) for c in f.columns[1:]]) for f in factors]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -71,6 +72,39 @@ def test_pairwise_parity(event3, dense, joins):
     assert_factors(result, u, v, 4)
 
 
+@pytest.mark.parametrize("iterations,restarts", [(4, 0), (8, 1)])
+def test_factor_momentum_parity(event3, dense, iterations, restarts):
+    """Steps from points ahead of the iterate; the cost rises in the seventh iteration."""
+    cfg = FitConfig(rank=2, max_iter=iterations, factor_momentum=True)
+    jobs = []
+    result = fit(event3, pairwise, cfg, on_iteration=lambda i, s: jobs.append(s.runs[0].push))
+    u, v = nm.start(event3.dims, 2, 1)
+    model = nm.Pairwise(dense["x"], dense["y"], u, v, (0.1, 0.1, 0.1), ahead=True)
+    model.s = dense["s"]
+    costs = [model.step() for _ in range(iterations)]
+    assert np.allclose([r[2] for r in result.log], costs, atol=1e-7)
+    assert np.allclose(result.weights_x, model.wx, atol=1e-7)
+    assert np.allclose(result.weights_y, model.wy, atol=1e-7)
+    assert_factors(result, u, v, 2)
+    assert jobs[0] == 0.0 < max(jobs)
+    assert model.restarts == restarts == jobs[1:].count(0.0)
+    assert result.factors[0].columns == ["idx", *(f"{s}{r}" for s in "xy" for r in range(2))]
+
+
+def test_factor_momentum_of_some_runs(event3):
+    """Runs with and without momentum, of several lengths, in shared jobs."""
+    cfgs = [
+        FitConfig(rank=1, max_iter=4, factor_momentum=True),
+        FitConfig(rank=2, max_iter=3, seed=2),
+        FitConfig(rank=1, max_iter=1, seed=3, factor_momentum=True),
+    ]
+    for shared, cfg in zip(fit_runs(event3, pairwise, cfgs), cfgs):
+        alone = fit(event3, pairwise, cfg)
+        assert np.allclose([r[2] for r in shared.log], [r[2] for r in alone.log], atol=1e-10)
+    with pytest.raises(ValueError, match="momentum"):
+        fit(event3, baseline, cfgs[0])
+
+
 def test_baseline_parity(event3, dense):
     result = fit(event3, baseline, FitConfig(rank=4, max_iter=3, alpha=1e-4, beta=1e-4, distance=2))
     u, v = nm.start(event3.dims, 4, 1)
