@@ -7,14 +7,15 @@ of the segment bound. Segments are indexed by (l, number, content), and every li
 lengths l, l-1, .. l-threshold with the few substrings that can matter.
 
 A segment that many lines share is not expanded into pairs. Its lines are compared with one hub, and
-those that still stand in several classes are dealt again by what sets them apart from the hub. An
-edit spoils at most GRAM runs of GRAM characters, so of the runs that one line has and the hub has
-not, all but GRAM * threshold are in every line within the threshold as well; the same holds for the
-runs that only the hub has. Two such lines thus share one of the first GRAM * threshold + 1 of these
-runs in any order, if either has so many. Lines that differ from the hub by fewer runs of both kinds
-are dealt by their characters instead: split into groups by a hash, some group is the same in two
-lines within the threshold. Only members that share such a key are joined, in pairs of different
-classes and about equal length.
+those that still stand in several classes are dealt again by where they leave the hub: the number of
+first characters and of last characters that they share with it. If two lines within the threshold
+share different numbers of first characters with the hub, they part where the shorter number ends,
+and the other line goes on as the hub does. One of the three edits that give that line the hub's next
+character there thus brings it nearer to the other; the same holds at the end. So every line is
+dealt together with what it becomes by such edits, and two lines within the threshold either become
+the same or agree in both numbers before the threshold is used up. Where that still leaves large
+buckets, one of their own lines is their next hub. Only members of one bucket are joined, in pairs
+of different classes and about equal length.
 
 Candidates are verified by a bit-parallel automaton over the band of diagonals that the threshold
 allows: one short mask per number of edits, moved on by every character.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, listed, stored, table
+from pairlens.llm.common import NO_ID, WORD_PATTERN, class_labels, hub_order, listed, stored, table
 
 THRESHOLD = 2
 #: Shorter lines are matched exactly only: with two edits they are often other lines.
@@ -34,8 +35,6 @@ LEAST_CHARS = 20
 SMALL_BUCKET = 64
 #: So many (ordered) pairs of different classes per matched row are expanded even from large ones.
 PAIRS_PER_ROW = 2
-#: Characters of the runs that tell lines from their hub.
-GRAM = 3
 #: Parts per segment in the filter before verification.
 FILTER_PARTS = 4
 _LINES_PER_DOC = 1 << 31
@@ -185,55 +184,112 @@ def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
 
 
-def character_groups(line: Column, threshold: int) -> Column:
-    """Hashes of the sorted characters of ``line`` in each of 2 * threshold + 1 groups.
+def _shared(a: Column, b: Column, last: bool = False) -> Column:
+    """Number of first (or last) characters that two strings share, found bit by bit from the top."""
+    least = F.least(F.length(a), F.length(b))
 
-    An edit adds or takes two characters at most, so lines within the threshold agree in a group.
-    """
-    groups = 2 * threshold + 1
+    def part(text: Column, done: Column, size: Column) -> Column:
+        return text.substr(F.length(text) - done - size + 1 if last else done + 1, size)
 
-    def group(chars: Column, g: int) -> Column:
-        own = F.filter(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(groups)) == g)
-        return F.xxhash64(F.lit(g), F.array_sort(own))
+    def step(done: Column, size: Column) -> Column:
+        return F.when((done + size <= least) & (part(a, done, size) == part(b, done, size)), done + size).otherwise(done)
 
-    # The lambda binds the characters, which would else be split anew for every group.
-    return F.transform(
-        F.array(F.split(line, "")), lambda chars: F.array(*[group(chars, g) for g in range(groups)])
-    )[0]
+    sizes = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    return F.aggregate(sizes, F.lit(0), step)
 
 
-def grams(line: Column) -> Column:
-    """Hashes of all different runs of GRAM characters."""
-    runs = F.transform(
-        F.array(F.split(line, "")),
-        lambda chars: F.transform(
-            chars, lambda c, i: F.xxhash64(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, GRAM)])
-        ),
-    )[0]
-    return F.array_distinct(runs)
+def _towards(text: Column, hub: Column, first: Column, last: Column) -> Column:
+    """The (at most six) strings that one edit makes of ``text`` where it leaves ``hub``."""
+    n, m = F.length(text), F.length(hub)
+
+    def edits(head: Column, own: Column, other: Column, tail: Column, put: Column) -> list[Column]:
+        """``other`` for ``own``, ``own`` left out, and both as ``put``; null where there is none."""
+        swap = F.when((own != "") & (other != ""), F.concat(head, other, tail))
+        return [swap, F.when(own != "", F.concat(head, tail)), F.when(other != "", F.concat(head, put, tail))]
 
+    def at(s: Column, i: Column) -> Column:
+        return F.when((i >= 1) & (i <= F.length(s)), s.substr(i, F.lit(1))).otherwise("")
 
-def apart_keys(a: Column, b: Column, threshold: int) -> Column:
-    """Keys of line ``b`` by what sets it apart from the hub ``a``; see the module's text.
+    end = n - last
+    own, other = at(text, first + 1), at(hub, first + 1)
+    left = edits(text.substr(F.lit(1), first), own, other, text.substr(first + 2, n), F.concat(other, own))
+    own, other = at(text, end), at(hub, m - last)
+    right = edits(text.substr(F.lit(1), end - 1), own, other, text.substr(end + 1, n), F.concat(own, other))
+    return F.array_distinct(F.array_compact(F.array(*left, *right)))
 
-    Runs at the end of a line are shorter; an edit there spoils no more of them.
+
+def _dealt(rows: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Deals the members (key, hub_text, h, label, text, used) of buckets by where they leave the hub.
+
+    ``text`` is what ``used`` edits made of line h. Returns such members of the new buckets, without
+    ``hub_text``, and the pairs (a, b) of lines that became the same.
     """
-    most = GRAM * threshold
-
-    def first(runs: Column, sign: int) -> Column:
-        chosen = F.slice(F.array_sort(runs), 1, most + 1)
-        return F.transform(chosen, lambda g: F.xxhash64(F.lit(sign), g))
-
-    def keys(e: Column) -> Column:
-        only_b, only_a = F.array_except(e["b"], e["a"]), F.array_except(e["a"], e["b"])
-        near = F.size(only_b) <= most
-        return F.concat(
-            first(only_b, 1),
-            F.when(near, first(only_a, 2)).otherwise(F.array().cast("array<bigint>")),
-            F.when(near & (F.size(only_a) <= most), character_groups(b, threshold)).otherwise(F.array().cast("array<bigint>")),
+    columns = ["key", "hub_text", "h", "label", "text", "used"]
+    placed, made = [], rows.select(*columns)
+    for _ in range(threshold):
+        made = stored(
+            made.withColumn("first", _shared(F.col("text"), F.col("hub_text")))
+            .withColumn("last", _shared(F.col("text"), F.col("hub_text"), last=True))
         )
-
-    return F.transform(F.array(F.struct(grams(a).alias("a"), grams(b).alias("b"))), keys)[0]
+        placed.append(made)
+        nearer = _towards(F.col("text"), F.col("hub_text"), F.col("first"), F.col("last"))
+        made = (
+            made.where(F.col("used") < threshold)
+            .select("key", "hub_text", "h", "label", F.explode(nearer).alias("text"), (F.col("used") + 1).alias("used"))
+        )
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionByName(more)
+    # Strings that come of few edits first: all lines that reach one are linked through the nearest.
+    reached = whole.select("h", "used", "text").unionByName(made.select("h", "used", "text"))
+    reached = stored(reached.select("h", "used", F.xxhash64("text").alias("w")).distinct())
+    nearest = reached.groupBy("w").agg(F.min(F.struct("used", "h")).alias("near"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = reached.join(nearest, "w").where(F.col("used") + F.col("near.used") <= threshold)
+    same = same.select(F.col("near.h").alias("a"), F.col("h").alias("b")).where("a <> b")
+    buckets = whole.where(F.col("used") < threshold).select(
+        F.xxhash64("key", "first", "last").alias("key"), "h", "label", "text", "used"
+    )
+    return buckets, stored(same)
+
+
+def _apart_pairs(told: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of different classes that may be within the threshold, of lines (h, label, text)
+    with their hub (key, hub_text)."""
+    rows, used, pairs, left = told.count(), F.col("used"), None, None
+    members = told.withColumn("used", F.lit(0))
+    while True:
+        dealt, same = _dealt(members, threshold)
+        pairs = same if pairs is None else pairs.union(same)
+        # Rows of which two may still have edits left; buckets without any were settled as the same.
+        able = F.when(used * 2 < threshold, hub_order("used", "h"))
+        per_class = dealt.groupBy("key", "label").agg(
+            F.count(F.lit(1)).cast("double").alias("members"), F.max_by("text", able).alias("hub_text")
+        )
+        # No pair is within the largest class of a key, so only the others look for partners.
+        size = F.struct("members", "label")
+        buckets = stored(
+            per_class.groupBy("key").agg(
+                F.max_by("label", size).alias("most"), F.count(F.lit(1)).alias("classes"),
+                ((F.sum("members") - F.max("members")) * F.sum("members")).alias("product"),
+                F.max_by("hub_text", F.when(F.col("hub_text").isNotNull(), size)).alias("hub_text"),
+            ).where("classes > 1 and hub_text is not null")
+        )
+        big = F.col("product") > SMALL_BUCKET
+        product = buckets.agg(F.coalesce(F.sum(F.when(big, F.col("product"))), F.lit(0))).first()[0]
+        # Large buckets are dealt again while that leaves less than half of their pairs.
+        last = product <= PAIRS_PER_ROW * rows or left is not None and product > left / 2
+        left = product
+        done = buckets if last else buckets.where(~big)
+        held = dealt.join(done.select("key", "most"), "key").withColumn("n", F.length("text"))
+        one = held.where("label <> most").select("key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("used").alias("ua"))
+        two = held.select(F.col("key").alias("key_b"), "most", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("used").alias("ub"))
+        met = one.join(two, F.expr(
+            f"key = key_b and la <> lb and (lb = most or a < b) and ua + ub < {threshold} and abs(na - nb) <= {threshold} - ua - ub"
+        ))
+        pairs = stored(pairs.union(met.select("a", "b")))
+        if last:
+            return pairs
+        members = dealt.join(buckets.where(big).select("key", "hub_text"), "key")
 
 
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -272,22 +328,10 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     mixed = classed.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     classed = stored(classed.join(mixed.select("hub"), "hub", "left_semi"))
     told = _with_texts(classed.select(F.col("hub").alias("a"), F.col("h").alias("b"), "label"), lines)
-    keyed = stored(
-        told.select("a", "b", "label", F.length("line_b").alias("n"), apart_keys(F.col("line_a"), F.col("line_b"), threshold).alias("keys"))
-        .select(F.explode("keys").alias("k"), "a", "b", "label", "n")
-        .select(F.xxhash64("a", "k").alias("key"), F.col("b").alias("h"), "label", "n").distinct()
-    )
-    # No pair is within the largest class of a key, so only the others look for partners.
-    per_class = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
-    most = stored(
-        per_class.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
-        .where("classes > 1").select("key", "most")
-    )
-    held = keyed.join(most, "key")
-    left = held.where("label <> most").select("key", F.col("h").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = held.select(F.col("key").alias("key_b"), "most", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    apart = f"key = key_b and la <> lb and (lb = most or a < b) and abs(na - nb) <= {threshold}"
-    pairs = left.join(right, F.expr(apart)).select("a", "b")
+    told = stored(told.select(
+        F.col("a").alias("key"), F.col("line_a").alias("hub_text"), F.col("b").alias("h"), "label", F.col("line_b").alias("text")
+    ))
+    pairs = _apart_pairs(told, threshold)
     tested = stored(tested.unionByName(_verified(_new_pairs(pairs, tested), lines, threshold)))
     return tested.where("ok").select("a", "b"), class_labels(tested.where("ok"))
 

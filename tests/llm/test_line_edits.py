@@ -126,20 +126,37 @@ def test_hot_segments_are_dealt_by_what_sets_lines_apart(spark, monkeypatch):
         assert got == brute_force(texts, 2)
 
 
-def test_keys_of_lines_within_the_threshold(spark):
-    """Any two lines within the threshold share a key, whatever the hub."""
+@pytest.mark.parametrize("threshold,small", [(2, 0), (3, 64)])
+def test_lines_within_the_threshold_meet(spark, monkeypatch, threshold, small):
+    """Any two lines within the threshold are connected by the pairs found, whatever the hub."""
+    monkeypatch.setattr(L, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(L, "SMALL_BUCKET", small)
     rng = random.Random(8)
-    rows = []
-    for _ in range(400):
+    lines, hubs = {}, {}
+    for key in range(30):
         hub = "".join(rng.choice("abcd ") for _ in range(rng.randint(20, 50)))
-        a = edited(rng, hub, rng.randint(0, 9))
-        rows.append((hub, a, edited(rng, a, rng.randint(0, 3))))
-    df = spark.createDataFrame(rows, "hub string, a string, b string")
-    for t in (1, 2, 3):
-        keys = df.select("a", "b", *[L.apart_keys(F.col("hub"), F.col(c), t).alias(f"k{c}") for c in "ab"]).collect()
-        near = [r for r in keys if distance(r.a, r.b) <= t]
-        assert near and all(set(r.ka) & set(r.kb) for r in near)
-        assert sum(bool(set(r.ka) & set(r.kb)) for r in keys) <= len(keys)
+        near = [edited(rng, hub, rng.randint(0, 9)) for _ in range(3)]
+        for text in [hub, *near, *(edited(rng, rng.choice(near), rng.randint(0, 3)) for _ in range(12))]:
+            lines.setdefault(text, len(lines))
+            hubs.setdefault((key, text), hub)
+    rows = [(key, hub, lines[text], lines[text], text) for (key, text), hub in hubs.items()]
+    told = spark.createDataFrame(rows, "key long, hub_text string, h long, label long, text string")
+    root = {h: h for h in lines.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = {tuple(sorted(p)) for p in L._apart_pairs(told, threshold).select("a", "b").collect()}
+    text_of = {h: text for text, h in lines.items()}
+    for a, b in pairs:
+        if distance(text_of[a], text_of[b]) <= threshold:
+            root[find(a)] = find(b)
+    together = [(x, y) for x in hubs for y in hubs if x[0] == y[0] and x[1] < y[1]]
+    near = [(x, y) for (_, x), (_, y) in together if distance(x, y) <= threshold]
+    assert near and all(find(lines[x]) == find(lines[y]) for x, y in near)
+    assert len(pairs) < len(together)
 
 
 def test_rows_that_repeat_an_id_with_other_texts(spark):
