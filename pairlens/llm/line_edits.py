@@ -35,6 +35,8 @@ LEAST_CHARS = 20
 SMALL_BUCKET = 64
 #: So many (ordered) pairs of different classes per matched row are expanded even from large ones.
 PAIRS_PER_ROW = 2
+#: Rows that one task deals anew.
+ROWS_PER_TASK = 5_000
 #: Parts per segment in the filter before verification.
 FILTER_PARTS = 4
 _LINES_PER_DOC = 1 << 31
@@ -257,8 +259,10 @@ def _apart_pairs(told: DataFrame, threshold: int) -> DataFrame:
     with their hub (key, hub_text)."""
     rows, used, pairs, left = told.count(), F.col("used"), None, None
     members = told.withColumn("used", F.lit(0))
+    # Few rows, but much work on each: spread over all cores, and further as they grow.
+    parts = max(told.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK)
     while True:
-        dealt, same = _dealt(members, threshold)
+        dealt, same = _dealt(members.repartition(parts, "h"), threshold)
         pairs = same if pairs is None else pairs.union(same)
         # Rows of which two may still have edits left; buckets without any were settled as the same.
         able = F.when(used * 2 < threshold, hub_order("used", "h"))
