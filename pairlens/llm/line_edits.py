@@ -227,31 +227,31 @@ def _dealt(rows: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     ``hub_text``, and the pairs (a, b) of lines that became the same.
     """
     columns = ["key", "hub_text", "h", "label", "text", "used"]
-    placed, made = [], rows.select(*columns)
+    placed, ends, made = [], [], rows.select(*columns)
     for _ in range(threshold):
         made = stored(
-            made.withColumn("first", _shared(F.col("text"), F.col("hub_text")))
+            made.where(F.col("used") < threshold)
+            .withColumn("first", _shared(F.col("text"), F.col("hub_text")))
             .withColumn("last", _shared(F.col("text"), F.col("hub_text"), last=True))
         )
         placed.append(made)
         nearer = _towards(F.col("text"), F.col("hub_text"), F.col("first"), F.col("last"))
-        made = (
-            made.where(F.col("used") < threshold)
-            .select("key", "hub_text", "h", "label", F.explode(nearer).alias("text"), (F.col("used") + 1).alias("used"))
+        made = made.select(
+            "key", "hub_text", "h", "label", F.explode(nearer).alias("text"), (F.col("used") + 1).alias("used")
         )
+        ends.append(made.where(F.col("used") == threshold))
     whole = placed[0]
     for more in placed[1:]:
         whole = whole.unionByName(more)
     # Strings that come of few edits first: all lines that reach one are linked through the nearest.
-    reached = whole.select("h", "used", "text").unionByName(made.select("h", "used", "text"))
+    reached = whole.select("h", "used", "text")
+    for end in ends:
+        reached = reached.unionByName(end.select("h", "used", "text"))
     reached = stored(reached.select("h", "used", F.xxhash64("text").alias("w")).distinct())
     nearest = reached.groupBy("w").agg(F.min(F.struct("used", "h")).alias("near"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same = reached.join(nearest, "w").where(F.col("used") + F.col("near.used") <= threshold)
     same = same.select(F.col("near.h").alias("a"), F.col("h").alias("b")).where("a <> b")
-    buckets = whole.where(F.col("used") < threshold).select(
-        F.xxhash64("key", "first", "last").alias("key"), "h", "label", "text", "used"
-    )
-    return buckets, stored(same)
+    return whole.select(F.xxhash64("key", "first", "last").alias("key"), "h", "label", "text", "used"), stored(same)
 
 
 def _apart_pairs(told: DataFrame, threshold: int) -> DataFrame:
