@@ -17,8 +17,8 @@ the same or agree in both numbers before the threshold is used up. Where that st
 buckets, one of their own lines is their next hub. Only members of one bucket are joined, in pairs
 of different classes and about equal length.
 
-Candidates are verified by a bit-parallel automaton over the band of diagonals that the threshold
-allows: one short mask per number of edits, moved on by every character.
+Candidates are verified by Spark's edit distance over the band of diagonals that the threshold
+allows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ SMALL_BUCKET = 64
 PAIRS_PER_ROW = 2
 #: Rows that one task deals anew.
 ROWS_PER_TASK = 5_000
-#: Parts per segment in the filter before verification.
-FILTER_PARTS = 4
 _LINES_PER_DOC = 1 << 31
 
 
@@ -103,80 +101,14 @@ def probes(rows: DataFrame, threshold: int, index_only: bool = False) -> DataFra
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings are within ``threshold`` edits.
-
-    Bit t of mask e: after the characters of b read so far, that number plus t - threshold
-    characters of a can be used up with at most e edits. The masks lie side by side in one long.
-    """
-    width = 2 * threshold + 1
-    full = (1 << width) - 1
-
-    def masks(state):
-        return [F.shiftright(state, e * width).bitwiseAND(full) for e in range(threshold + 1)]
-
-    def packed(rows):
-        out = rows[0]
-        for e, r in enumerate(rows[1:], 1):
-            out = out.bitwiseOR(F.shiftleft(r, e * width))
-        return out
-
-    def closed(rows):
-        """Skipping a character of a costs an edit and moves one diagonal up."""
-        out = [rows[0]]
-        for r in rows[1:]:
-            out.append(r.bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(full)))
-        return out
-
-    def step(x, y, state, j):
-        same = F.lit(0).cast("long")
-        for t in range(width):
-            here = F.get(x, j + (t - threshold)) == F.get(y, j)
-            same = same.bitwiseOR(F.when(here, F.lit(1 << t).cast("long")).otherwise(F.lit(0).cast("long")))
-        old = masks(state)
-        new = [old[0].bitwiseAND(same)]
-        for e in range(1, threshold + 1):
-            new.append(old[e].bitwiseAND(same).bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)))
-        return F.when(state == 0, state).otherwise(packed(closed(new)))
-
-    start = [1 << threshold]
-    for _ in range(threshold):
-        start.append((1 << threshold) | (start[-1] << 1) & full)
-    begun = sum(m << (e * width) for e, m in enumerate(start))
-    steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
-    # The lambda binds both arrays of characters, which would else be split anew at every step.
-    both = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
-    last = F.transform(
-        both,
-        lambda p: F.aggregate(steps, F.lit(begun).cast("long"), lambda state, j: step(p["x"], p["y"], state, j)),
-    )[0]
-    gap = F.length(a) - F.length(b)
-    reached = F.shiftright(last, threshold * width).bitwiseAND(full)
-    bit = F.element_at(F.array(*[F.lit(1 << t) for t in range(width)]), gap + threshold + 1)
-    return F.when(F.abs(gap) <= threshold, reached.bitwiseAND(bit) != 0).otherwise(F.lit(False))
-
-
-def plausible(a: Column, b: Column, n: Column, threshold: int) -> Column:
-    """False where too few of many even parts of ``a`` (n characters) occur near their place in
-    ``b``: every edit spoils one part and moves the others by one place at most."""
-    parts = FILTER_PARTS * (threshold + 1)
-    size = F.floor(n / parts).cast("int")
-    kept = F.lit(0)
-    for k in range(parts):
-        at = size * k
-        low = F.greatest(at - threshold, F.lit(0))
-        near = b.substr(low + 1, at - low + size + threshold)
-        kept = kept + F.when(F.contains(near, a.substr(at + 1, size)), 1).otherwise(0)
-    return (n < parts) | (kept >= parts - threshold)
+    """Whether two strings are within ``threshold`` edits; only the band that allows is worked out."""
+    return F.levenshtein(a, b, threshold) >= 0
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, ok) for pairs of line hashes."""
-    a, b = F.col("line_a"), F.col("line_b")
-    joined = _with_texts(pairs, lines).withColumn("n_a", F.length("line_a")).withColumn(
-        "maybe", plausible(a, b, F.col("n_a"), threshold)
-    )
-    ok = F.when(F.col("maybe"), within(a, b, threshold)).otherwise(F.lit(False))
-    return joined.select("a", "b", ok.alias("ok"))
+    ok = within(F.col("line_a"), F.col("line_b"), threshold)
+    return _with_texts(pairs, lines).select("a", "b", ok.alias("ok"))
 
 
 def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -187,17 +119,29 @@ def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _shared(a: Column, b: Column, last: bool = False) -> Column:
-    """Number of first (or last) characters that two strings share, found bit by bit from the top."""
-    least = F.least(F.length(a), F.length(b))
+    """Number of first (or last) characters that two strings share.
 
-    def part(text: Column, done: Column, size: Column) -> Column:
-        return text.substr(F.length(text) - done - size + 1 if last else done + 1, size)
-
-    def step(done: Column, size: Column) -> Column:
-        return F.when((done + size <= least) & (part(a, done, size) == part(b, done, size)), done + size).otherwise(done)
+    Shared bytes are found bit by bit from the top, as places in bytes need no reading of the
+    characters before them, and then counted as characters; one cut by the end does not count.
+    """
+    x, y = a.cast("binary"), b.cast("binary")
+    least = F.least(F.octet_length(a), F.octet_length(b))
 
-    sizes = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
-    return F.aggregate(sizes, F.lit(0), step)
+    def part(text: Column, done: Column, size: Column) -> Column:
+        return F.substr(text, F.octet_length(text) - done - size + 1 if last else done + 1, size)
+
+    def step(done: Column, bit: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((done + size <= least) & (part(x, done, size) == part(y, done, size)), done + size).otherwise(done)
+
+    top = F.floor(F.log2(F.greatest(least, F.lit(1)))).cast("int")
+    done = F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.lit(0), step)
+    if last:
+        rest = F.substr(x, F.lit(1), F.octet_length(a) - done).cast("string")
+        return F.length(a) - F.length(rest)
+    after = F.substr(x, done + 1, F.lit(1))
+    cut = (after >= F.lit(b"\x80")) & (after < F.lit(b"\xc0"))
+    return F.length(F.substr(x, F.lit(1), done).cast("string")) - F.when(cut, 1).otherwise(0)
 
 
 def _towards(text: Column, hub: Column, first: Column, last: Column) -> Column:

@@ -96,6 +96,29 @@ def test_automaton(spark):
         assert all(r.ok == (distance(r.a, r.b) <= threshold) for r in out)
 
 
+def test_shared_ends_and_plans_of_long_lines(spark):
+    """Whole characters are counted, of one to four bytes, and no step walks lines by character."""
+    rng = random.Random(7)
+    signs = "aébè€☃😀😁"
+    pairs = [("", ""), ("a", ""), ("é", "è"), ("😀", "😁"), ("x😀", "y😀")]
+    for _ in range(300):
+        a = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
+        cut = rng.randint(0, len(a))
+        pairs.append((a, a[:cut] + rng.choice(["", *signs]) + a[min(cut + rng.randint(0, 1), len(a)) :]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", L._shared(F.col("a"), F.col("b")).alias("f"), L._shared(F.col("a"), F.col("b"), last=True).alias("l"))
+
+    def first(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    assert all((r.f, r.l) == (first(r.a, r.b), first(r.a[::-1], r.b[::-1])) for r in got.collect())
+    pair = spark.createDataFrame([(1, 2)], "a long, b long")
+    lines = spark.createDataFrame([(1, "a" * 400), (2, "a" * 399)], "h long, line string")
+    checked = L._verified(pair, lines, 2)
+    assert checked.collect() == [(1, 2, True)]
+    assert "lambda" not in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nulls_repeats_and_no_rows(spark):
     long = "this is a line of more than twenty characters"
     docs = spark.createDataFrame(
