@@ -43,6 +43,8 @@ SKETCHES, PER_SKETCH = 20, 3
 SMALL_BUCKET = 8
 #: So many pairs of different classes per row of all buckets are expanded even from large buckets.
 PAIRS_PER_ROW = 1
+#: Longs of 64 bits in which a text's k-mers are noted, to tell texts apart before they are paired.
+NOTES = 16
 #: K-mers of one row on their way to verification, and pairs that share one copy of a hub's k-mers.
 PIECE, PAIRS_PER_HEAD = 1024, 256
 _HASH_VALUES = 1 << 62
@@ -279,6 +281,13 @@ def _checked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "ok"])
 
 
+def noted(kmers: DataFrame) -> DataFrame:
+    """(rep, notes): for every bit whether the number of k-mers that fall on it is odd."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("kmer", 32).bitwiseAND(63).cast("int"))
+    longs = [F.bit_xor(F.when(F.col("kmer").bitwiseAND(NOTES - 1) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(NOTES)]
+    return kmers.groupBy("rep").agg(F.struct(*[x.alias(f"w{i}") for i, x in enumerate(longs)]).alias("notes"))
+
+
 def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of different classes of ``members`` (rep, label) that may be alike.
 
@@ -286,6 +295,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     In any order of all k-mers the first common one thus has at most (1 - similarity) * n before it
     in one text and (1 - similarity) * m in the other. The rarest come first, so a passage that all
     members have brings no pairs. k-mers of one text only are counted but not joined.
+
+    A pair that meets is kept only if it may be alike by its notes: every bit in which they differ
+    stands for a k-mer that one of both texts lacks, and alike texts have few of those.
     """
     members = stored(members)
     whole = stored(kmers_of(members, docs, labels=True))
@@ -297,17 +309,24 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
              .withColumn("take", (F.size("known") - common + 1).cast("int")).where("take > 0")
              .select("rep", "n", F.explode(F.slice("known", F.lit(1), F.col("take"))).alias("k")))
     placed = stored(first.select("rep", "n", "k.kmer").distinct().join(members, "rep"))
+    notes = stored(noted(kmers.join(placed.select("rep").distinct(), "rep", "left_semi")))
     per_class = placed.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("members"))
     # No pair is within the largest class, so only the others look for partners.
     mixed = stored(
         per_class.groupBy("kmer").agg(F.max_by("label", F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("classes"))
         .where("classes > 1").select("kmer", "most")
     )
-    held = placed.join(mixed, "kmer")
-    left = held.where("label <> most").select("kmer", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = held.select("kmer", "most", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    held = placed.join(mixed, "kmer").join(notes, "rep")
+    left = held.where("label <> most").select(
+        "kmer", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("notes").alias("wa")
+    )
+    right = held.select(
+        "kmer", "most", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("notes").alias("wb")
+    )
+    apart = sum((F.bit_count(F.col(f"wa.w{i}").bitwiseXOR(F.col(f"wb.w{i}"))) for i in range(NOTES)), F.lit(0))
+    lacking = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity))
     met = left.join(right, "kmer").where("la <> lb and (lb = most or a < b)").where(
-        F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)
+        (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)) & (apart <= lacking + F.lit(1e-6))
     )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -137,6 +137,24 @@ def test_prefix_pairs_hold_every_alike_pair(spark):
     assert want and want <= met
 
 
+def test_prefix_pairs_leave_out_what_notes_tell_apart(spark):
+    """Copies of a base with edits of their own meet in its k-mers, but only alike ones become pairs."""
+    rng = random.Random(12)
+    base = words(rng, 300)
+    texts = []
+    for k in range(80):
+        own = list(base)
+        for i in rng.sample(range(300), rng.choice([2, 8])):
+            own[i] = f"n{k}_{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = O.vertices_of(O.sketch_documents(docs)).select("rep", F.col("rep").alias("label"))
+    met = {(int(r.a) >> 62, int(r.b) >> 62) for r in O.prefix_pairs(members, docs, 0.8).collect()}
+    arrays = [np.array([hash(x) for x in runs(t)]) for t in texts]
+    want = {(i, j) for j in range(80) for i in range(j) if O.alike(arrays[i], arrays[j])[0]}
+    assert want and want <= met and len(met) <= 1.1 * len(want)
+
+
 @pytest.mark.parametrize("members", [5, 3_000_000, 1 << 40])
 def test_hub_is_of_the_smallest_class_at_any_size(spark, members):
     rows = spark.createDataFrame([(1, -members), (2, -4), (3, -members)], "rep long, weight long")
