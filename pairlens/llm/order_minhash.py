@@ -45,6 +45,8 @@ SMALL_BUCKET = 8
 PAIRS_PER_ROW = 1
 #: Longs of 64 bits in which a text's k-mers are noted, to tell texts apart before they are paired.
 NOTES = 16
+#: So many of a text's rarest k-mers travel with the later ones, to tell whether a pair has met before.
+LEAD = 32
 #: K-mers of one row on their way to verification, and pairs that share one copy of a hub's k-mers.
 PIECE, PAIRS_PER_HEAD = 1024, 256
 _HASH_VALUES = 1 << 62
@@ -297,7 +299,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     members have brings no pairs. k-mers of one text only are counted but not joined.
 
     A pair that meets is kept only if it may be alike by its notes: every bit in which they differ
-    stands for a k-mer that one of both texts lacks, and alike texts have few of those.
+    stands for a k-mer that one of both texts lacks, and alike texts have few of those. From the first
+    common k-mer on, both texts must have as many as the pair needs. A pair is left out where it has
+    met before, in a k-mer among the ``LEAD`` rarest of both.
     """
     members = stored(members)
     whole = stored(kmers_of(members, docs, labels=True))
@@ -307,8 +311,11 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     first = (kmers.join(shared, "kmer").groupBy("rep", "n")
              .agg(F.sort_array(F.collect_list(F.struct("texts", "kmer"))).alias("known"))
              .withColumn("take", (F.size("known") - common + 1).cast("int")).where("take > 0")
-             .select("rep", "n", F.explode(F.slice("known", F.lit(1), F.col("take"))).alias("k")))
-    placed = stored(first.select("rep", "n", "k.kmer").distinct().join(members, "rep"))
+             .select("rep", "n", F.size("known").alias("size"), F.transform(F.slice("known", 1, LEAD), lambda k: k["kmer"]).alias("lead"),
+                     F.posexplode(F.slice("known", F.lit(1), F.col("take"))).alias("at", "k")))
+    before = F.slice("lead", F.lit(1), F.least(F.col("at"), F.lit(LEAD))).alias("before")
+    room = (F.col("size") - F.col("at")).alias("room")
+    placed = stored(first.select("rep", "n", "k.kmer", room, before).distinct().join(members, "rep"))
     notes = stored(noted(kmers.join(placed.select("rep").distinct(), "rep", "left_semi")))
     per_class = placed.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("members"))
     # No pair is within the largest class, so only the others look for partners.
@@ -318,15 +325,19 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, similarity: float) -> Data
     )
     held = placed.join(mixed, "kmer").join(notes, "rep")
     left = held.where("label <> most").select(
-        "kmer", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("notes").alias("wa")
+        "kmer", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
+        F.col("notes").alias("wa"), F.col("before").alias("before_a"), F.col("room").alias("ra"),
     )
     right = held.select(
-        "kmer", "most", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("notes").alias("wb")
+        "kmer", "most", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
+        F.col("notes").alias("wb"), F.col("before").alias("before_b"), F.col("room").alias("rb"),
     )
     apart = sum((F.bit_count(F.col(f"wa.w{i}").bitwiseXOR(F.col(f"wb.w{i}"))) for i in range(NOTES)), F.lit(0))
     lacking = (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity))
     met = left.join(right, "kmer").where("la <> lb and (lb = most or a < b)").where(
         (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-6)) & (apart <= lacking + F.lit(1e-6))
+        & (F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+        & ~F.arrays_overlap("before_a", "before_b")
     )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -149,7 +149,9 @@ def test_prefix_pairs_leave_out_what_notes_tell_apart(spark):
         texts.append(" ".join(own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     members = O.vertices_of(O.sketch_documents(docs)).select("rep", F.col("rep").alias("label"))
-    met = {(int(r.a) >> 62, int(r.b) >> 62) for r in O.prefix_pairs(members, docs, 0.8).collect()}
+    rows = [(int(r.a) >> 62, int(r.b) >> 62) for r in O.prefix_pairs(members, docs, 0.8).collect()]
+    met = set(rows)
+    assert len(rows) == len(met)  # once, in however many k-mers they meet
     arrays = [np.array([hash(x) for x in runs(t)]) for t in texts]
     want = {(i, j) for j in range(80) for i in range(j) if O.alike(arrays[i], arrays[j])[0]}
     assert want and want <= met and len(met) <= 1.1 * len(want)
