@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ ORDER4_DIMS = (25, 25, 6, 5)
 EVENT3_DIMS = (16, 5, 24)
 RANK = 4
 SEED = 1
+#: Order lines that one task joins with their orders, or merges into cells.
+LINES_PER_TASK = 1 << 18
 
 # Category -> index, as stated with the fixtures.
 PART_TYPES = ("ECONOMY", "SMALL", "STANDARD", "PROMO", "MEDIUM")      # anything else: 5
@@ -71,8 +75,11 @@ def event3_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line3_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _returned_or_accepted(spark, sf_dir).join(
-        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    """Cells are nearly as many as order lines, so tasks are counted by lines: none grows with the tables."""
+    lines = table(spark, sf_dir, "lineitem").count()  # from file footers
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_PER_TASK))
+    facts = _returned_or_accepted(spark, sf_dir).repartition(parts, "l_orderkey").join(
+        table(spark, sf_dir, "orders").repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     return pair_from_facts(
         facts,
@@ -80,6 +87,7 @@ def line3_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_x=F.col("l_returnflag") == "R",
         is_y=F.col("l_returnflag") == "A",
         value=F.col("l_quantity"),
+        parts=parts,
     )
 
 

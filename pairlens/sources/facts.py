@@ -16,12 +16,17 @@ def pair_from_facts(
     is_x: Column,
     is_y: Column,
     value: Column,
+    parts: int | None = None,
 ) -> DataFrame:
     """Aggregate a fact table straight into both sides of the pair.
 
     One group-by: both sides share the scan, the map-side partial sums and the shuffle,
     and rows on neither side are filtered before any of it. A hot cell is merged map-side,
     so it reaches a reducer as at most one row per map task.
+
+    Where cells are nearly as many as facts, partial sums merge nothing and hold all rows of a task.
+    ``parts`` then deals the facts by cell to so many tasks before any sum, and the session's number
+    and size of shuffle partitions do not matter.
     """
     columns = bins if isinstance(bins, list) else list(bins.values())
     keys = [c.cast("int").alias(f"i{w}") for w, c in enumerate(columns)]
@@ -30,6 +35,8 @@ def pair_from_facts(
         F.when(is_x, value.cast("double")).otherwise(F.lit(0.0)).alias("_x"),
         F.when(is_y, value.cast("double")).otherwise(F.lit(0.0)).alias("_y"),
     )
+    if parts is not None:
+        wide = wide.repartition(parts, *coord_names(len(keys)))
     return wide.groupBy(*coord_names(len(keys))).agg(
         F.sum("_x").alias("x"), F.sum("_y").alias("y")
     )

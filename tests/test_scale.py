@@ -132,3 +132,28 @@ def test_checkpoint_folder_is_needed_off_a_local_master():
 
     with pytest.raises(ValueError, match="checkpoint"):
         ensure_checkpoint_dir(Session())
+
+
+def test_order_line_cells_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    """A task of full_alignment holds a bounded number of cells, whatever the session's partitions are."""
+    from pairlens.catalog import queries as catalog
+
+    n = 12_000
+    flag = F.element_at(F.array(F.lit("R"), F.lit("A"), F.lit("N")), (F.col("id") % 3 + 1).cast("int"))
+    lines = spark.range(n).select(
+        F.floor(F.col("id") / 4).alias("l_orderkey"), (F.col("id") % 997).alias("l_partkey"),
+        (F.col("id") % 13).alias("l_suppkey"), flag.alias("l_returnflag"), (F.col("id") % 50 + 1.0).alias("l_quantity"),
+    )
+    # A line that repeats a cell, and one without an order.
+    lines = lines.unionByName(lines.where("l_orderkey = 0")).unionByName(lines.limit(1).withColumn("l_orderkey", F.lit(10**6).cast("long")))
+    orders = spark.range(n // 4).select(F.col("id").alias("o_orderkey"), (F.col("id") % 501).alias("o_custkey"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 250, raising=False)
+    found = catalog.REGISTRY["full_alignment"][0](spark, str(tmp_path))
+    held = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 40 and max(r["count"] for r in held) <= 500
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_returnflag in ('R', 'A')")
+    side = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0))
+    want = joined.groupBy("o_custkey", "l_partkey", "l_suppkey").agg(side("R"), side("A"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
