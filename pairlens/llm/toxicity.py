@@ -5,13 +5,14 @@ word itself, so a misspelling shares most of its vectors with the word it hides.
 over short spans, and a softmax over the span's average gives its probability; a document is as
 toxic as its worst span. Averaging over a whole document would drown a single insult in a long text.
 
-Training is fitted on a bounded sample of labelled rows on the driver. Scoring is linear in the
-embeddings, so the fitted model is one number per n-gram bucket, and documents are scored in arrow
-batches wherever they lie, without a shuffle.
+Training is fitted on a bounded sample of labelled rows in one task; texts never reach the driver,
+which only gets the model. Scoring is linear in the embeddings, so the fitted model is one number per
+n-gram bucket, and documents are scored in arrow batches wherever they lie, without a shuffle.
 """
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,9 +116,11 @@ class _Batch:
 
     def __init__(self, texts: list[str]):
         hashes = words_of(lowered(texts))
-        _, one, self.which = np.unique(hashes.words(), return_index=True, return_inverse=True)
-        self.refs, self.counts = subwords(hashes, one)
+        _, one, which = np.unique(hashes.words(), return_index=True, return_inverse=True)
+        refs, self.counts = subwords(hashes, one)
         self.first, self.doc = _spans(hashes.words_per_doc)
+        # All batches are held at once.
+        self.which, self.refs = which.astype(np.int32), refs.astype(np.int32)
         self.per_doc = hashes.words_per_doc
         self.words = len(self.which)
 
@@ -247,15 +250,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     if chosen is None or not totals.get(1):
         return Model(np.zeros(BUCKETS, np.float32), -5.0)
     # At most 2 * rows_per_class ids: small by the bound above.
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .orderBy("doc_id").select("text", "toxic").toPandas()
-    )
-    toxic = rows["toxic"].to_numpy(np.int64)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def run(batches):
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column("text").fill_null("").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        model = _fitted(texts, np.array(toxic, np.int64), totals)
+        del texts
+        _give_back()
+        yield pa.RecordBatch.from_pydict({"bucket": [model.bucket.tobytes()], "bias": [model.bias]})
+
+    # The sample is bounded, and so is its one task; the driver gets the model and no texts.
+    sample = rows.repartition(1).sortWithinPartitions("doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    fitted = sample.mapInArrow(run, "bucket binary, bias double").collect()
+    if not fitted:
+        return _fitted([], np.zeros(0, np.int64), totals)
+    return Model(np.frombuffer(bytes(fitted[0].bucket), np.float32), fitted[0].bias)
+
+
+def _give_back() -> None:
+    """Returns freed memory, which a worker that is used again would hold on to."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def _fitted(texts: list[str], toxic: np.ndarray, totals: dict[int, int]) -> Model:
+    """The model of sampled texts in order of their ids; ``totals`` has the labelled rows of each class."""
     found = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     weight = np.where(toxic == 1, totals[1] / found[1], totals.get(0, 0) / found[0])
     order = np.random.default_rng(SEED).permutation(len(toxic))
-    texts = rows["text"].fillna("").tolist()
     return train([texts[i] for i in order], toxic[order], weight[order])
 
 

@@ -89,3 +89,23 @@ def test_without_labels(spark):
     assert [r.predicted for r in T.score_documents(docs, T.fit(docs, none)).collect()] == [0]
     empty = docs.limit(0)
     assert T.score_documents(empty, T.fit(empty, none)).count() == 0
+
+
+def test_texts_are_fitted_in_a_task_and_not_on_the_driver(spark, monkeypatch):
+    rows = make(80, 5, BAD)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(400, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(400, 0)], "doc_id long, toxic int")
+    # What the whole sample gives, in the order of its ids; held-out rows are not learned from.
+    learned = [r for r in [*rows, (400, "", 0)] if zlib.crc32(str(r[0]).encode()) % 5]
+    toxic = np.array([r[2] for r in learned])
+    order = np.random.default_rng(T.SEED).permutation(len(learned))
+    want = T.train([learned[i][1] for i in order], toxic[order], np.ones(len(learned)))
+    assert want.bucket.any()
+
+    def refused(*args):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(T, "train", refused)
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    got = T.fit(docs, labels)
+    assert np.array_equal(got.bucket, want.bucket) and got.bias == want.bias
